@@ -1,0 +1,6 @@
+"""No operator lives here: every capability of this engine is a batch plan.
+
+All inputs are complete monthly tables, so there is no watermark, event-time
+window or long-lived state to manage.  The only feedback loop, the recursive
+forecast, is bounded by its horizon and sits in ``monthloom.operators.forecast``.
+"""
