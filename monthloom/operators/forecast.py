@@ -84,6 +84,9 @@ def prepare(
         )
         .when(rows < least, F.concat(F.lit(f"at least {least} months of history are required, found "), rows.cast("string")))
     )
+    if least:
+        empty = F.exists("ahead", lambda r: F.coalesce(*[F.when(r[m].isNull(), True) for m in spec.exog], F.lit(False)))
+        problem = F.coalesce(problem, F.when(empty, F.lit("missing feature values")))
     if expect is not None:
         problem = F.coalesce(problem, F.when(F.size("ahead") != expect, F.lit("missing months")))
     out = joined.withColumn("problem", problem).drop("_known")
@@ -169,11 +172,18 @@ def forecast_by_rule(
         missing = F.raise_error(
             F.concat(F.lit("missing feature values for "), ahead[spec.time].cast("string"))
         ).cast("double")
-        return F.concat(past, F.array(F.greatest(F.lit(0.0), F.coalesce(value, missing))))
+        if on_problem == "skip":
+            missing = F.lit(None).cast("double")
+        # through a one-element array, so that the rule is written out once
+        clamped = F.transform(F.array(value), lambda v: F.when(v.isNull(), missing).otherwise(F.greatest(F.lit(0.0), v)))
+        return F.concat(past, clamped)
 
     known = F.coalesce(F.col("past"), F.array().cast("array<double>"))
-    filled = F.aggregate("ahead", known, step)
-    return _unfold(state.withColumn("filled", filled), spec, tags)
+    state = state.withColumn("filled", F.aggregate("ahead", known, step))
+    if on_problem == "skip":
+        made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
+        state = state.filter(~F.exists(made, lambda v: v.isNull()))
+    return _unfold(state, spec, tags)
 
 
 def forecast_by_model(

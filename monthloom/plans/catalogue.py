@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from monthloom.plans import columns, combining, summaries  # noqa: F401
+from monthloom.plans import columns, combining, forecasting, learning, storage, summaries  # noqa: F401
 from monthloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,37 +90,29 @@ def write_batch(spark: SparkSession, path: str, runs: Sequence[tuple]) -> DataFr
     return df
 
 
-def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
-    """Runs from files holding one object, an array of objects or one object per line.
+def read_run_documents(spark: SparkSession, *paths: str) -> DataFrame:
+    """Runs from documents that hold one object or an array of objects each.
 
     The schema is stated, so parameter names that differ between algorithms
     stay keys of a map instead of becoming columns.
     """
-    text = spark.read.option("wholetext", False).text(list(paths))
-    # one-line objects parse on their own; anything else is read as a whole file
-    lines = text.withColumn("_run", F.from_json("value", RUN_SCHEMA)).filter(
-        F.trim("value").startswith("{") & F.trim("value").endswith("}") & F.col("_run").isNotNull()
-    )
-    single = lines.select("_run.*").filter(F.col("algorithm").isNotNull())
-    whole = (
-        spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(list(paths))
-        .withColumn("_file", F.input_file_name())
-    )
-    line_files = text.withColumn("_file", F.input_file_name()).filter(
-        F.trim("value").startswith("{") & F.trim("value").endswith("}")
-        & F.from_json("value", RUN_SCHEMA)["algorithm"].isNotNull()
-    ).select("_file").distinct()
-    pretty = whole.join(line_files, "_file", "left_anti").drop("_file").filter(F.col("algorithm").isNotNull())
-    return single.unionByName(pretty)
+    return spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(list(paths))
+
+
+def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
+    """Runs appended by this module: one object per line."""
+    return spark.read.schema(RUN_SCHEMA).json(list(paths))
 
 
 def best_runs(runs: DataFrame, by: str = "district") -> DataFrame:
-    """Run with the smallest error per scope (largest accuracy where no error is recorded)."""
-    order = [
-        F.col("rmse").asc_nulls_last(), F.col("accuracy").desc_nulls_last(), F.col("trained_at").desc_nulls_last(),
-        F.col("algorithm"),
-    ]
-    return (
-        runs.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-        .filter(F.col("_rank") == 1).drop("_rank")
+    """Run with the smallest error per scope (largest accuracy where no error is recorded).
+
+    An ordered minimum instead of a ranking: it combines before the shuffle,
+    so a scope with very many runs needs no sort.
+    """
+    order = F.struct(
+        F.col("rmse").isNull(), "rmse", F.col("accuracy").isNull(), -F.col("accuracy"), "algorithm",
+        "version", "trained_at",
     )
+    row = F.struct(*[c for c in runs.columns if c != by])
+    return runs.groupBy(by).agg(F.min_by(row, order).alias("_best")).select(by, "_best.*")
