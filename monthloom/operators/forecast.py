@@ -6,16 +6,18 @@ forecast with their measures as a second array.  Each step reads its lags from
 the end of the first array and appends the clamped prediction to it.
 
 * ``Rule`` predictions (fixed or fitted linear forms) run as one array fold.
-* Fitted pipelines run as ``horizon`` narrow projections over the same rows:
-  no shuffle, no action and no checkpoint between the steps.
+* Fitted pipelines run as ``horizon`` narrow projections over the same rows,
+  without a shuffle between the steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ from monthloom.functions import maths
 from monthloom.operators import features as feat
 from monthloom.operators.joins import asof_before
 from monthloom.operators.windows import next_period
+from monthloom.session import checkpoint_root
 from monthloom.spec import PanelSpec
 
-STEPS_PER_CHECKPOINT = 24
+STEPS_PER_CHECKPOINT = 6
 
 
 @dataclass(frozen=True)
@@ -186,10 +189,29 @@ def forecast_by_rule(
     return _unfold(state, spec, tags)
 
 
+def used_positions(spec: PanelSpec, horizon: int) -> list[int]:
+    """Positions from the end of the known targets that some step looks at."""
+    reach = set(spec.lags) | {k for n in spec.rolls for k in range(1, n + 1)}
+    return sorted({k - j for k in reach for j in range(horizon) if k > j})
+
+
+def _split_stages(model: PipelineModel, spec: PanelSpec) -> tuple[list, list]:
+    """Stages that depend on the series only, and stages to run at every step."""
+    fixed_columns, once, each = set(spec.series), [], []
+    for stage in model.stages:
+        inputs = {stage.getInputCol()} if stage.hasParam("inputCol") and stage.isSet("inputCol") else None
+        if inputs is not None and inputs <= fixed_columns:
+            once.append(stage)
+            fixed_columns.add(stage.getOutputCol())
+        else:
+            each.append(stage)
+    return once, each
+
+
 def forecast_by_model(
     history: DataFrame,
     future: DataFrame,
-    model: Transformer | PipelineModel,
+    model: PipelineModel,
     spec: PanelSpec,
     horizon: int,
     tags: tuple[str, ...] = (),
@@ -199,32 +221,32 @@ def forecast_by_model(
 ) -> DataFrame:
     """Run a fitted pipeline ``horizon`` times over rows that carry their arrays.
 
-    Requests with fewer months finish early: their spare steps see zeros and
-    append nothing.
+    Stages that see only the series key run once, before the steps.  Requests
+    with fewer months finish early: their spare steps see zeros and append
+    nothing.  A reliable checkpoint every few steps keeps the plan short; it
+    holds one compact row per (series, tags).
     """
     least = 12 if fallback == "full" else 0
-    state = settle(prepare(history, future, spec, tags, _depth(spec, fallback), least, expect), on_problem)
-    too_long = F.size("ahead") > horizon
-    state = state.filter(
-        F.when(~too_long, F.lit(True)).otherwise(F.raise_error(F.lit("request is longer than horizon")).cast("boolean"))
-    ).withColumn("filled", F.coalesce(F.col("past"), F.array().cast("array<double>")))
+    state = prepare(history, future, spec, tags, _depth(spec, fallback), least, expect)
+    late = F.when(F.size("ahead") > horizon, F.lit(f"more than {horizon} months requested"))
+    if fallback == "full":
+        gaps = [_lag(F.col("past"), k).isNull() for k in used_positions(spec, horizon)]
+        late = late.when(reduce(or_, gaps), F.lit("missing feature values"))
+    state = settle(state.withColumn("problem", F.coalesce("problem", late)), on_problem)
+    state = state.withColumn("filled", F.coalesce(F.col("past"), F.array().cast("array<double>"))).drop("past")
+    once, each = _split_stages(model, spec)
+    for stage in once:
+        state = stage.transform(state)
     kept = state.columns
     for h in range(1, horizon + 1):
-        active = F.size("ahead") >= h
-        now = F.get("ahead", F.lit(h - 1))
-        values = step_features(F.col("filled"), now, spec, fallback)
-        # the label keeps a null feature of a live step from passing as zero
-        state = state.withColumns({
-            name: F.when(
-                active,
-                F.coalesce(value, F.raise_error(F.lit(f"missing feature value: {name}")).cast("double")),
-            ).otherwise(F.lit(0.0))
-            for name, value in values.items()
-        })
-        scored = model.transform(state)
+        values = step_features(F.col("filled"), F.get("ahead", F.lit(h - 1)), spec, fallback)
+        state = state.withColumns({name: F.coalesce(v, F.lit(0.0)) for name, v in values.items()})
+        for stage in each:
+            state = stage.transform(state)
         grown = F.concat("filled", F.array(F.greatest(F.lit(0.0), F.col("prediction"))))
-        state = scored.withColumn("filled", F.when(active, grown).otherwise(F.col("filled"))).select(*kept)
+        state = state.withColumn("filled", F.when(F.size("ahead") >= h, grown).otherwise(F.col("filled"))).select(*kept)
         if h % STEPS_PER_CHECKPOINT == 0 and h < horizon:
+            checkpoint_root(history.sparkSession)
             state = state.checkpoint()
     return _unfold(state, spec, tags)
 
@@ -292,14 +314,13 @@ def backtest(
     cutoffs: list,
     horizon: int,
     rule: Callable | None = None,
-    model: Transformer | None = None,
+    model: PipelineModel | None = None,
     on_problem: str = "raise",
 ) -> DataFrame:
     """Forecast after every cut-off from the history up to it, next to what was observed."""
     future = backtest_future(history, spec, cutoffs, horizon)
     last = history.agg(F.max(spec.time).alias("m")).scalar()
     expect = F.least(F.lit(horizon), cal.months_apart(last, F.col("cutoff")))
-    # months before the first forecast month: the cut-off is the month just before it
     if rule is not None:
         made = forecast_by_rule(history, future, rule, spec, ("cutoff",), "full", on_problem, expect)
     else:

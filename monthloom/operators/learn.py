@@ -102,7 +102,7 @@ def _boosting(params: Mapping) -> Estimator:
 
 
 def _robust(params: Mapping) -> Estimator:
-    return LinearRegression(featuresCol="features", labelCol="label", loss="huber", maxIter=100, **params)
+    return LinearRegression(featuresCol="features", labelCol="label", loss="huber", maxIter=50, tol=1e-4, **params)
 
 
 FOREST = Learner("forest", _forest, {

@@ -11,6 +11,7 @@ from monthloom.operators.aggregate import build_panel, distinct_values
 from monthloom.plans import tables as t
 from monthloom.plans.registry import query
 from monthloom.plans.sql import FEATURES, W
+from monthloom.session import written
 from monthloom.spec import NATION, REGION
 
 NUMERIC = features.feature_names(REGION)[1:]
@@ -22,10 +23,10 @@ QUICK_ROBUST = (learn.ROBUST, {"epsilon": 1.35, "regParam": 0.01})
 
 
 def _frame(spark, d) -> DataFrame:
-    """Complete feature rows, marked train or test, cached for the fits."""
+    """Complete feature rows, marked train or test, written once for the fits."""
     marked = split.period_split(t.panel(spark, d), REGION)
     frame = features.create_features(marked, REGION)
-    return features.complete_rows(frame, features.feature_names(REGION)).persist()
+    return written(features.complete_rows(frame, features.feature_names(REGION)), "frame")
 
 
 def _parts(frame):
@@ -43,7 +44,6 @@ def _scored(spark, d, candidate) -> DataFrame:
     train, test = _parts(frame)
     results, _ = learn.compare(train, test, REGION, NUMERIC, [candidate])
     naive = _naive_rmse(test).first()[0]
-    frame.unpersist()
     return results.select("model", "mae", "rmse", "smape", "mape", "accuracy", "r2", "error").withColumn(
         "naive_rmse", F.lit(naive))
 
@@ -116,7 +116,6 @@ def _search_rows(spark, d, learner, points, n_splits):
     frame = _frame(spark, d)
     train, _ = _parts(frame)
     found = learn.search(train, REGION, NUMERIC, learner, points, n_splits)
-    frame.unpersist()
     best = learn.best_point(found)
     rows = [(r["model"], {k: str(v) for k, v in r["params"].items()}, r["rmse"], r is best) for r in found]
     return spark.createDataFrame(rows, "model string, params map<string,string>, rmse double, best boolean")
@@ -125,7 +124,7 @@ def _search_rows(spark, d, learner, points, n_splits):
 @query("M8")
 def grid_search(spark, d):
     """Every point of a small grid over five expanding folds."""
-    return _search_rows(spark, d, learn.ROBUST, learn.grid_points({"epsilon": [1.35, 2.0], "regParam": [0.0, 0.1]}), 5)
+    return _search_rows(spark, d, learn.FOREST, learn.grid_points({"numTrees": [5, 10], "maxDepth": [3, 5]}), 5)
 
 
 @query("M9")
@@ -141,7 +140,6 @@ def fitted_and_evaluated(spark, d):
     train, test = _parts(frame)
     model = learn.fit(train, REGION, NUMERIC, *QUICK_BOOSTING)
     row = learn.evaluate_model(model, test, REGION)
-    frame.unpersist()
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
 
 
@@ -152,7 +150,6 @@ def _comparison(spark, d):
     broken = learn.Learner("unusable", lambda params: learn.GBTRegressor(featuresCol="absent", labelCol="label"))
     results, models = learn.compare(
         train, test, REGION, NUMERIC, [QUICK_FOREST, QUICK_BOOSTING, QUICK_ROBUST, (broken, {})])
-    frame.unpersist()
     return results, models
 
 
@@ -173,7 +170,7 @@ def best_of_comparison(spark, d):
 
 def _final(spark, d, candidate=QUICK_BOOSTING):
     """Model refitted on every complete row, with the panel and its frame."""
-    panel = t.panel(spark, d).persist()
+    panel = written(t.panel(spark, d), "panel")
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     return panel, frame, learn.fit(frame, REGION, NUMERIC, *candidate)
 
@@ -214,7 +211,7 @@ def parameters(spark, d):
 @query("T14_model", "DRS d:cutoff d:PERIODE r:observe r:prevu")
 def model_backtest(spark, d):
     """Back-test with a model trained up to the cut-off only."""
-    panel = t.panel(spark, d).persist()
+    panel = written(t.panel(spark, d), "panel")
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     known = frame.filter(F.col("PERIODE") <= F.lit("1999-12-01").cast("date"))
     model = learn.fit(known, REGION, NUMERIC, *QUICK_BOOSTING)
@@ -224,7 +221,7 @@ def model_backtest(spark, d):
 @query("T16_linear", "DRS d:PERIODE r:prediction")
 def fitted_line_forecast(spark, d):
     """A fitted linear model turned into a column rule for the array fold."""
-    panel = t.panel(spark, d).persist()
+    panel = written(t.panel(spark, d), "panel")
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     plain = learn.Learner("line", learn.ROBUST.build)
     rule = learn.as_rule(learn.fit(frame, REGION, NUMERIC, plain, QUICK_ROBUST[1], key=None), frame)
@@ -237,6 +234,7 @@ def national_forest(spark, d):
     """The national series as one more series of the same kind."""
     spec = REGION.having(exog_agg=NATION.exog_agg)
     nation = build_panel(t.merged(spark, d).withColumn("DRS", F.lit("national")), spec)
-    frame = features.complete_rows(features.create_features(nation, spec), features.feature_names(spec)).persist()
+    frame = features.complete_rows(features.create_features(nation, spec), features.feature_names(spec))
+    frame = written(frame, "national")
     model = learn.fit(frame, spec, NUMERIC, *QUICK_FOREST, key=None)
     return model.transform(frame).select("PERIODE", "cas", "prediction")

@@ -14,7 +14,7 @@ from monthloom.plans.learning import NUMERIC, QUICK_ROBUST
 from monthloom.plans.registry import query
 from monthloom.plans.rules import RULE
 from monthloom.plans.sql import AHEAD, CLIMATOLOGY, MONTHS_FR, W, WCOLS, WEDGE, cols, recursion
-from monthloom.session import scratch_dir
+from monthloom.session import scratch_dir, written
 from monthloom.sources import readers, registry, writers
 from monthloom.spec import DISTRICT, REGION
 
@@ -70,11 +70,10 @@ def stored_model(spark, d):
     """Save a fitted pipeline with features and history, load it, forecast with it."""
     from monthloom.operators import learn
 
-    panel = t.panel(spark, d).persist()
+    panel = written(t.panel(spark, d), "panel")
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     path = registry.save_model(
         spark, scratch_dir(spark, "model"), learn.fit(frame, REGION, NUMERIC, *QUICK_ROBUST), NUMERIC, panel)
-    panel.unpersist()
     stored = registry.load_model(spark, path)
     weather = futures.by_persistence(stored.history, REGION, futures.after_history(stored.history, REGION), 6)
     return forecast.forecast_by_model(stored.history, weather, stored.model, REGION, 6)
@@ -107,8 +106,8 @@ def wide_table(spark, d):
 
 @query("S10", "source DRS PERIODE r:prediction r:precipitation",
        """SELECT 'previsions' AS source, DRS, strftime(PERIODE, '%Y-%m-%d') AS PERIODE, round_even(prediction, 1) AS prediction,
-            NULL AS precipitation FROM fitted
-          UNION ALL SELECT 'meteo_utilisee', DRS, strftime(PERIODE, '%Y-%m-%d'), NULL, precipitation FROM panel""", ctes=FITTED)
+            CAST(NULL AS DOUBLE) AS precipitation FROM fitted
+          UNION ALL SELECT 'meteo_utilisee', DRS, strftime(PERIODE, '%Y-%m-%d'), CAST(NULL AS DOUBLE), precipitation FROM panel""", ctes=FITTED)
 def named_exports(spark, d):
     """Forecast and weather used, one folder per name."""
     made = writers.forecast_export(_fitted(spark, d), REGION)
@@ -150,10 +149,9 @@ def _runs(spark, d):
 def appended_runs(spark, d):
     """Two appends to one folder; the reader sees both."""
     path = scratch_dir(spark, "runs")
-    runs = _runs(spark, d).persist()
+    runs = written(_runs(spark, d), "runs")
     registry.append_runs(runs.filter("algorithm = 'rule'"), path)
     registry.append_runs(runs.filter("algorithm <> 'rule'"), path)
-    runs.unpersist()
     return registry.read_runs(spark, path)
 
 
@@ -173,14 +171,13 @@ def batch_of_runs(spark, d):
 def best_runs(spark, d):
     """Objects and arrays of objects in one registry, best run per region."""
     lines, arrays = scratch_dir(spark, "runs"), scratch_dir(spark, "arrays")
-    runs = _runs(spark, d).persist()
+    runs = written(_runs(spark, d), "runs")
     registry.append_runs(runs.filter("algorithm = 'rule'"), lines)
     # one text file per region, holding an array of objects
     rest = runs.filter("algorithm <> 'rule'").withColumn("rmse", F.bround("rmse", 4))
     rest.groupBy("district").agg(
         F.to_json(F.collect_list(F.struct("district", "algorithm", "rmse", "training_rows", "version", "best_params"))).alias("value")
     ).withColumn("file", F.col("district")).select("value", "file").write.partitionBy("file").text(arrays)
-    runs.unpersist()
     found = registry.read_runs(spark, lines).unionByName(
         registry.read_run_documents(spark, arrays).select(*registry.RUN_SCHEMA.fieldNames()))
     return registry.best_runs(found)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that hold from a laptop to a large cluster.  Partition
 # counts are left to adaptive execution: it starts from an upper bound and
@@ -62,3 +62,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder, for tables written between steps."""
     return os.path.join(checkpoint_root(spark), "monthloom", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, for results that several jobs read.
+
+    Unlike a cache it neither occupies executors nor is lost with them.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
