@@ -14,6 +14,7 @@ from monthloom.operators.windows import with_exog_lags
 from monthloom.spec import PanelSpec
 
 PIVOT_LIMIT = 2000
+MEMBER_LIMIT = 100_000
 
 
 def _measure(spec: PanelSpec, name: str) -> Column:
@@ -162,13 +163,23 @@ def key_list(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def hierarchy(df: DataFrame, upper: str, lower: str) -> DataFrame:
+def hierarchy_pairs(df: DataFrame, upper: str, lower: str) -> DataFrame:
+    """Distinct (upper, lower) pairs: the hierarchy in long form, of any size."""
+    return df.select(upper, lower).filter(F.col(upper).isNotNull() & F.col(lower).isNotNull()).distinct()
+
+
+def hierarchy(df: DataFrame, upper: str, lower: str, limit: int = MEMBER_LIMIT) -> DataFrame:
     """Lower keys of every upper key, with the same pair as a JSON object.
 
-    Pairs are reduced to distinct ones before they are collected.
+    Members are counted before they are gathered: an upper key with more than
+    ``limit`` of them fails the job and is to be read from ``hierarchy_pairs``.
     """
-    pairs = df.select(upper, lower).filter(F.col(upper).isNotNull() & F.col(lower).isNotNull()).distinct()
-    grouped = pairs.groupBy(upper).agg(F.array_sort(F.collect_list(lower)).alias("members"))
+    pairs = hierarchy_pairs(df, upper, lower)
+    sizes = pairs.groupBy(upper).agg(F.count(F.lit(1)).alias("_n"))
+    fits = F.when(F.col("_n") <= limit, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {limit} members of "), F.col(upper))).cast("boolean"))
+    grouped = pairs.join(sizes.filter(fits), upper).groupBy(upper).agg(
+        F.array_sort(F.collect_list(lower)).alias("members"))
     return grouped.withColumn("json", F.to_json(F.create_map(F.col(upper), F.col("members"))))
 
 

@@ -167,6 +167,8 @@ def search(
     Encoding is fitted on the training part of each fold and applied once;
     all points of the fold then share its cached rows.
     """
+    if key:
+        require_few_keys(frame, key)
     marked = expanding_folds(labelled(frame, spec), spec, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
     scores: list[list[float]] = [[] for _ in points]
     try:
@@ -202,6 +204,8 @@ def best_point(results: Sequence[Mapping]) -> Mapping:
 
 def fit(frame: DataFrame, spec: PanelSpec, numeric: Sequence[str], learner: Learner, params: Mapping, key: str | None = "DRS") -> PipelineModel:
     """Encoder and estimator fitted as one pipeline model."""
+    if key:
+        require_few_keys(frame, key)
     rows = labelled(frame, spec)
     prepared = encoder(key, numeric, learner.scaled).fit(rows)
     coded = prepared.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)

@@ -89,7 +89,8 @@ def complete_feature_rows(spark, d):
     return features.complete_rows(frame, features.feature_names(REGION))
 
 
-@query("P10")
+@query("P10", "DRS i:n_rows problem",
+       "SELECT DRS, count(*) AS n_rows, 'merged: missing columns: absent_1, absent_2' AS problem FROM merged GROUP BY DRS")
 def required_columns(spark, d):
     """Schema check on the merged table: names the absent columns, no job."""
     df = t.merged(spark, d)

@@ -118,7 +118,8 @@ def _search_rows(spark, d, learner, points, n_splits):
     found = learn.search(train, REGION, NUMERIC, learner, points, n_splits)
     best = learn.best_point(found)
     rows = [(r["model"], {k: str(v) for k, v in r["params"].items()}, r["rmse"], r is best) for r in found]
-    return spark.createDataFrame(rows, "model string, params map<string,string>, rmse double, best boolean")
+    made = spark.createDataFrame(rows, "model string, params map<string,string>, rmse double, best boolean")
+    return made.withColumn("params", F.to_json("params"))
 
 
 @query("M8")

@@ -155,7 +155,9 @@ def appended_runs(spark, d):
     return registry.read_runs(spark, path)
 
 
-@query("S12", "district algorithm r:rmse i:training_rows version")
+@query("S12", "district algorithm r:rmse i:training_rows version",
+       "SELECT 'national' AS district, algorithm, round_even(avg(rmse), 4) AS rmse, sum(training_rows) AS training_rows, "
+       "'1.0.0' AS version FROM runs GROUP BY algorithm", ctes=FITTED + "," + _RUNS)
 def batch_of_runs(spark, d):
     """One batch written as a whole, from the three national averages."""
     path = scratch_dir(spark, "batch")

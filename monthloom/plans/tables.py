@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from monthloom.functions import calendar as cal
 from monthloom.operators.aggregate import build_panel
@@ -17,8 +18,15 @@ from monthloom.spec import REGION, PanelSpec
 MERGE_KEYS = ["DRS", "PERIODE", "DISTRICT"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table; its schema is read from a footer once per path and then stated."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,20 @@ SETTINGS = {
 }
 
 
+def sized_for(input_bytes: int, cores: int, target: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle settings for an input size: partitions near ``target`` bytes.
+
+    The count is an upper bound that adaptive execution coalesces, so that a
+    reduce task fits in memory before any skew splitting sets in.
+    """
+    partitions = max(2 * cores, -(-input_bytes // target))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target),
+    }
+
+
 def build_session(app: str = "monthloom", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the defaults above; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
