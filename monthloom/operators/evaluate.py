@@ -23,16 +23,20 @@ def _r_squared(y: Column, error: Column, flat: Column) -> Column:
     return F.when(n < 2, F.lit(None)).when(total > 0, 1 - F.sum(error * error) / total).otherwise(flat)
 
 
-def backtest_metrics(df: DataFrame, y: str = "observe", p: str = "prevu", by: tuple[str, ...] = ()) -> DataFrame:
-    """MAE, RMSE, MAPE over positive observations, R2 and bias."""
+def _backtest_columns(y: str, p: str) -> list[Column]:
     obs, error = F.col(y), F.col(p) - F.col(y)
-    return df.groupBy(*by).agg(
+    return [
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         (F.avg(F.when(obs > 0, F.abs(error / obs))) * 100).alias("mape"),
         _r_squared(obs, error, F.lit(None).cast("double")).alias("r2"),
         F.avg(error).alias("bias"),
-    )
+    ]
+
+
+def backtest_metrics(df: DataFrame, y: str = "observe", p: str = "prevu", by: tuple[str, ...] = ()) -> DataFrame:
+    """MAE, RMSE, MAPE over positive observations, R2 and bias."""
+    return df.groupBy(*by).agg(*_backtest_columns(y, p))
 
 
 def training_metrics(df: DataFrame, y: str = "observe", p: str = "prevu", by: tuple[str, ...] = ()) -> DataFrame:
@@ -69,11 +73,10 @@ def floored_metrics(df: DataFrame, y: str = "observe", p: str = "prevu", by: tup
 
 
 def metrics_by_series(df: DataFrame, spec: PanelSpec, y: str = "observe", p: str = "prevu") -> DataFrame:
-    """Back-test metrics of every series with totals and the total gap in %."""
-    totals = df.groupBy(*spec.series).agg(
-        F.sum(y).alias("observed_total"), F.sum(p).alias("predicted_total")
+    """Back-test metrics of every series with totals and the total gap in %, in one aggregate."""
+    return df.groupBy(*spec.series).agg(
+        F.sum(y).alias("observed_total"), F.sum(p).alias("predicted_total"), *_backtest_columns(y, p)
     ).withColumn("gap_percent", maths.change_percent(F.col("predicted_total"), F.col("observed_total")))
-    return totals.join(backtest_metrics(df, y, p, spec.series), list(spec.series))
 
 
 def alert_thresholds(history: DataFrame, spec: PanelSpec, multiplier: float = 2.0) -> DataFrame:

@@ -76,15 +76,24 @@ def prepare(
     joined = requests.join(known, list(spec.series), "left").withColumn(
         "past", F.transform(F.filter("_known", lambda r: r["t"] < start), lambda r: r["y"])
     )
+    out = with_problem(joined, spec, least, expect, F.col("_known").isNull()).drop("_known")
+    if depth is not None:
+        out = out.withColumn(
+            "past", F.slice("past", -F.least(F.lit(depth), F.greatest(F.size("past"), F.lit(1))), depth))
+    return out
+
+
+def with_problem(
+    state: DataFrame, spec: PanelSpec, least: int, expect: Column | None = None, unknown: Column | None = None
+) -> DataFrame:
+    """Name what is wrong with each row of ``past`` and ``ahead``; null when fine."""
     rows = F.coalesce(F.size("past"), F.lit(0))
     months = F.transform("ahead", lambda r: r[spec.time])
+    first, last = F.try_element_at(months, F.lit(1)), F.try_element_at(months, F.lit(-1))
     problem = (
-        F.when(F.col("_known").isNull(), F.lit("unknown series"))
+        F.when(F.lit(False) if unknown is None else unknown, F.lit("unknown series"))
         .when(F.size(F.array_distinct(months)) < F.size("ahead"), F.lit("repeated months"))
-        .when(
-            F.size("ahead") < cal.months_apart(F.element_at(months, -1), F.element_at(months, 1)) + 1,
-            F.lit("missing months"),
-        )
+        .when(F.size("ahead") < cal.months_apart(last, first) + 1, F.lit("missing months"))
         .when(rows < least, F.concat(F.lit(f"at least {least} months of history are required, found "), rows.cast("string")))
     )
     if least:
@@ -92,10 +101,7 @@ def prepare(
         problem = F.coalesce(problem, F.when(empty, F.lit("missing feature values")))
     if expect is not None:
         problem = F.coalesce(problem, F.when(F.size("ahead") != expect, F.lit("missing months")))
-    out = joined.withColumn("problem", problem).drop("_known")
-    if depth is not None:
-        out = out.withColumn("past", F.slice("past", -F.least(F.lit(depth), F.greatest(rows, F.lit(1))), depth))
-    return out
+    return state.withColumn("problem", problem)
 
 
 def settle(state: DataFrame, on_problem: str = "raise") -> DataFrame:
@@ -156,20 +162,8 @@ def _unfold(state: DataFrame, spec: PanelSpec, tags: tuple[str, ...]) -> DataFra
     )
 
 
-def forecast_by_rule(
-    history: DataFrame,
-    future: DataFrame,
-    rule: Callable[[dict[str, Column]], Column],
-    spec: PanelSpec,
-    tags: tuple[str, ...] = (),
-    fallback: str = "full",
-    on_problem: str = "raise",
-    expect: Column | None = None,
-) -> DataFrame:
-    """Fold the rule over the future months of every row; any horizon."""
-    least = 12 if fallback == "full" else 0
-    state = settle(prepare(history, future, spec, tags, _depth(spec, fallback), least, expect), on_problem)
-
+def fill_by_rule(state: DataFrame, rule: Callable, spec: PanelSpec, fallback: str, on_problem: str) -> DataFrame:
+    """Fold the rule over ``ahead``, starting from ``past``, into ``filled``."""
     def step(past: Column, ahead: Column) -> Column:
         value = rule(step_features(past, ahead, spec, fallback))
         missing = F.raise_error(
@@ -186,7 +180,23 @@ def forecast_by_rule(
     if on_problem == "skip":
         made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
         state = state.filter(~F.exists(made, lambda v: v.isNull()))
-    return _unfold(state, spec, tags)
+    return state
+
+
+def forecast_by_rule(
+    history: DataFrame,
+    future: DataFrame,
+    rule: Callable[[dict[str, Column]], Column],
+    spec: PanelSpec,
+    tags: tuple[str, ...] = (),
+    fallback: str = "full",
+    on_problem: str = "raise",
+    expect: Column | None = None,
+) -> DataFrame:
+    """Fold the rule over the future months of every row; any horizon."""
+    least = 12 if fallback == "full" else 0
+    state = settle(prepare(history, future, spec, tags, _depth(spec, fallback), least, expect), on_problem)
+    return _unfold(fill_by_rule(state, rule, spec, fallback, on_problem), spec, tags)
 
 
 def used_positions(spec: PanelSpec, horizon: int) -> list[int]:
@@ -208,26 +218,16 @@ def _split_stages(model: PipelineModel, spec: PanelSpec) -> tuple[list, list]:
     return once, each
 
 
-def forecast_by_model(
-    history: DataFrame,
-    future: DataFrame,
-    model: PipelineModel,
-    spec: PanelSpec,
-    horizon: int,
-    tags: tuple[str, ...] = (),
-    fallback: str = "full",
-    on_problem: str = "raise",
-    expect: Column | None = None,
+def fill_by_model(
+    state: DataFrame, model: PipelineModel, spec: PanelSpec, horizon: int, fallback: str, on_problem: str
 ) -> DataFrame:
-    """Run a fitted pipeline ``horizon`` times over rows that carry their arrays.
+    """Run the pipeline step by step over ``ahead``, starting from ``past``, into ``filled``.
 
     Stages that see only the series key run once, before the steps.  Requests
     with fewer months finish early: their spare steps see zeros and append
     nothing.  A reliable checkpoint every few steps keeps the plan short; it
-    holds one compact row per (series, tags).
+    holds one compact row per request.
     """
-    least = 12 if fallback == "full" else 0
-    state = prepare(history, future, spec, tags, _depth(spec, fallback), least, expect)
     late = F.when(F.size("ahead") > horizon, F.lit(f"more than {horizon} months requested"))
     if fallback == "full":
         gaps = [_lag(F.col("past"), k).isNull() for k in used_positions(spec, horizon)]
@@ -246,9 +246,26 @@ def forecast_by_model(
         grown = F.concat("filled", F.array(F.greatest(F.lit(0.0), F.col("prediction"))))
         state = state.withColumn("filled", F.when(F.size("ahead") >= h, grown).otherwise(F.col("filled"))).select(*kept)
         if h % STEPS_PER_CHECKPOINT == 0 and h < horizon:
-            checkpoint_root(history.sparkSession)
+            checkpoint_root(state.sparkSession)
             state = state.checkpoint()
-    return _unfold(state, spec, tags)
+    return state
+
+
+def forecast_by_model(
+    history: DataFrame,
+    future: DataFrame,
+    model: PipelineModel,
+    spec: PanelSpec,
+    horizon: int,
+    tags: tuple[str, ...] = (),
+    fallback: str = "full",
+    on_problem: str = "raise",
+    expect: Column | None = None,
+) -> DataFrame:
+    """Run a fitted pipeline over the future months of every row, up to ``horizon``."""
+    least = 12 if fallback == "full" else 0
+    state = prepare(history, future, spec, tags, _depth(spec, fallback), least, expect)
+    return _unfold(fill_by_model(state, model, spec, horizon, fallback, on_problem), spec, tags)
 
 
 def latest_rows(requests: DataFrame, frame: DataFrame, spec: PanelSpec, values: list[str]) -> DataFrame:
@@ -296,16 +313,39 @@ def month_range_requests(history: DataFrame, spec: PanelSpec, start: Column, sto
     return history.select(*spec.series).distinct().withColumn(spec.time, F.explode(cal.month_list(start, stop)))
 
 
-def backtest_future(history: DataFrame, spec: PanelSpec, cutoffs: list, horizon: int, name: str = "cutoff") -> DataFrame:
-    """Observed measures after each cut-off as the months to forecast.
+def _unfold_backtest(state: DataFrame, spec: PanelSpec) -> DataFrame:
+    made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
+    months = F.transform("ahead", lambda r: r[spec.time])
+    return state.select(
+        *spec.series, "cutoff",
+        F.inline(F.arrays_zip(months.alias(spec.time), F.col("seen").alias("observe"), made.alias("prevu"))),
+    )
+
+
+def prepare_backtest(history: DataFrame, spec: PanelSpec, cutoffs: list, horizon: int, last: Column | None = None) -> DataFrame:
+    """One row per (series, cut-off) cut out of the whole history of the series.
 
-    A row unfolds only the cut-offs it follows within the horizon, so months
-    past the last observation do not appear.
+    History and future are slices of the same array, so a series is grouped
+    once whatever the number of cut-offs.  Months past ``last``, the last one
+    on record over all series, are not asked for.
     """
+    row = F.struct(spec.time, spec.target, *spec.exog)
+    whole = history.groupBy(*spec.series).agg(F.array_sort(F.collect_list(row)).alias("_all"))
     given = F.array(*[F.lit(c).cast("date") for c in cutoffs])
-    time = F.col(spec.time)
-    mine = F.filter(given, lambda c: (c < time) & (time <= F.add_months(c, horizon)))
-    return history.select(*spec.keys, *spec.exog, F.explode(mine).alias(name))
+    cut = F.col("cutoff")
+    rows = whole.withColumn("cutoff", F.explode(given))
+    before = F.filter("_all", lambda r: r[spec.time] <= cut)
+    after = F.filter("_all", lambda r: (r[spec.time] > cut) & (r[spec.time] <= F.add_months(cut, horizon)))
+    rows = rows.withColumns({
+        "past": F.transform(before, lambda r: r[spec.target]),
+        "ahead": F.transform(after, lambda r: F.struct(r[spec.time], *[r[m] for m in spec.exog])),
+        "seen": F.transform(after, lambda r: r[spec.target]),
+    }).drop("_all")
+    if last is None:
+        last = history.agg(F.max(spec.time).alias("m")).scalar()
+    expect = F.greatest(F.lit(0), F.least(F.lit(horizon), cal.months_apart(last, cut)))
+    # a cut-off at or after the last month has nothing to compare with
+    return with_problem(rows, spec, 12, expect).filter(expect > 0)
 
 
 def backtest(
@@ -316,19 +356,15 @@ def backtest(
     rule: Callable | None = None,
     model: PipelineModel | None = None,
     on_problem: str = "raise",
+    last: Column | None = None,
 ) -> DataFrame:
     """Forecast after every cut-off from the history up to it, next to what was observed."""
-    future = backtest_future(history, spec, cutoffs, horizon)
-    last = history.agg(F.max(spec.time).alias("m")).scalar()
-    expect = F.least(F.lit(horizon), cal.months_apart(last, F.col("cutoff")))
+    state = prepare_backtest(history, spec, cutoffs, horizon, last)
     if rule is not None:
-        made = forecast_by_rule(history, future, rule, spec, ("cutoff",), "full", on_problem, expect)
+        filled = fill_by_rule(settle(state, on_problem), rule, spec, "full", on_problem)
     else:
-        made = forecast_by_model(history, future, model, spec, horizon, ("cutoff",), "full", on_problem, expect)
-    seen = history.select(*spec.keys, F.col(spec.target).alias("observe"))
-    return made.join(seen, spec.keys).select(
-        *spec.series, "cutoff", spec.time, "observe", F.col("prediction").alias("prevu")
-    )
+        filled = fill_by_model(state, model, spec, horizon, "full", on_problem)
+    return _unfold_backtest(filled, spec)
 
 
 def national(forecast: DataFrame, time: str = "PERIODE") -> DataFrame:

@@ -86,22 +86,33 @@ def apply_absolute(months: DataFrame, spec: PanelSpec, presets: dict[str, dict[s
 
 
 def scenario_totals(forecast: DataFrame, base: str = fixed.BASE_SCENARIO, name: str = "scenario") -> DataFrame:
-    """Total of each scenario and its change on the base in %."""
+    """Total of each scenario and its change on the base in %.
+
+    The totals, one row per scenario, are packed into one row to meet the
+    base, so the forecast behind them is evaluated once.
+    """
     totals = forecast.groupBy(name).agg(F.sum("prediction").alias("total"))
-    base_total = forecast.filter(F.col(name) == base).agg(F.sum("prediction").alias("t")).scalar()
-    return totals.withColumn(
-        "vs_base_percent",
-        F.when(F.col(name) != base, maths.change_percent(F.col("total"), base_total)),
+    packed = totals.agg(F.collect_list(F.struct(name, "total")).alias("_all"))
+    base_total = F.get(F.filter("_all", lambda r: r[name] == base), 0)["total"]
+    return packed.select(base_total.alias("_base"), F.inline("_all")).select(
+        name, "total",
+        F.when(F.col(name) != base, maths.change_percent(F.col("total"), F.col("_base"))).alias("vs_base_percent"),
     )
 
 
 def scenario_gaps(forecast: DataFrame, spec: PanelSpec, base: str = fixed.BASE_SCENARIO, name: str = "scenario") -> DataFrame:
-    """Monthly difference of each other scenario to the base."""
-    reference = forecast.filter(F.col(name) == base).select(*spec.keys, F.col("prediction").alias("_base"))
+    """Prediction of each other scenario and its monthly difference to the base.
+
+    One grouping by series and month, whose groups hold one row per scenario.
+    """
+    grouped = forecast.groupBy(*spec.keys).agg(
+        F.max(F.when(F.col(name) == base, F.col("prediction"))).alias("_base"),
+        F.collect_list(F.struct(name, "prediction")).alias("_all"),
+    )
     return (
-        forecast.filter(F.col(name) != base)
-        .join(reference, spec.keys, "left")
-        .select(name, *spec.keys, (F.col("prediction") - F.col("_base")).alias("gap"))
+        grouped.select(*spec.keys, "_base", F.inline("_all"))
+        .filter(F.col(name) != base)
+        .select(name, *spec.keys, "prediction", (F.col("prediction") - F.col("_base")).alias("gap"))
     )
 
 

@@ -176,7 +176,7 @@ asked AS (
   UNION ALL SELECT DRS, last_month, first_month FROM seen
   UNION ALL SELECT 'DRS ' || r_name, (SELECT min(first_month) FROM seen), (SELECT max(last_month) FROM seen) FROM region)""")
 def request_problems(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     seen = panel.groupBy("DRS").agg(F.min("PERIODE").alias("a"), F.max("PERIODE").alias("b"))
     a, b = F.col("a"), F.col("b")
     pairs = F.array(*[
@@ -207,7 +207,7 @@ def profile_columns(spark, d):
 
 @query("P20", "DRS DISTRICT d:PERIODE r:cas", "SELECT DRS, DISTRICT, PERIODE, cas FROM surv")
 def drop_duplicates(spark, d):
-    once = t.surveillance(spark, d)
+    once = t.surveillance_once(spark, d)
     return clean.drop_repeats(once.unionByName(once), ["DRS", "DISTRICT", "PERIODE"])
 
 

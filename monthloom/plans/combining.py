@@ -17,12 +17,16 @@ from monthloom.spec import REGION
 DRY = scenarios.relative_presets()[2]
 
 
-def _fitted(spark, d):
+def fitted_rows(panel):
     """Rule predictions on the complete feature rows."""
-    frame = features.create_features(t.panel(spark, d), REGION)
+    frame = features.create_features(panel, REGION)
     return RULE.on(features.complete_rows(frame, features.feature_names(REGION)))
 
 
+def _fitted(spark, d):
+    return fitted_rows(t.panel(spark, d))
+
+
 FITTED = FEATURES + f""",
 fitted AS (SELECT *, {rule_on_columns()} AS prediction FROM features
   WHERE target_lag_12 IS NOT NULL AND {' AND '.join(f'{w} IS NOT NULL' for w in W)})"""
@@ -38,7 +42,7 @@ def surveillance_with_weather(spark, d):
        ctes=AHEAD + f""",
 replay AS (SELECT DRS, CAST(PERIODE + INTERVAL 12 MONTH AS DATE) AS PERIODE, {WCOLS} FROM panel)""")
 def future_with_weather(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
     replay = panel.withColumn("PERIODE", F.add_months("PERIODE", 12)).select("DRS", "PERIODE", *W)
     return joins.left_by_keys(months, replay, ["DRS", "PERIODE"])
@@ -47,8 +51,8 @@ def future_with_weather(spark, d):
 @query("J3", "DRS d:PERIODE r:prediction r:observe",
        "SELECT f.DRS, f.PERIODE, f.prediction, p.cas AS observe FROM fitted f JOIN panel p USING (DRS, PERIODE)", ctes=FITTED)
 def forecast_and_observed(spark, d):
-    made = _fitted(spark, d).select("DRS", "PERIODE", "prediction")
-    return joins.join_observed(made, t.panel(spark, d), REGION)
+    panel = t.panel_once(spark, d)
+    return joins.join_observed(fitted_rows(panel).select("DRS", "PERIODE", "prediction"), panel, REGION)
 
 
 def _centroids(spark, d):
@@ -86,7 +90,7 @@ def colour_lookup(spark, d):
 dense AS (SELECT DISTRICT, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS PERIODE FROM (
   SELECT DISTINCT DISTRICT, (SELECT min(PERIODE) FROM surv) AS a, (SELECT max(PERIODE) FROM surv) AS b FROM surv))""")
 def absent_months(spark, d):
-    seen = t.surveillance(spark, d)
+    seen = t.surveillance_once(spark, d)
     ends = seen.agg(F.struct(F.min("PERIODE").alias("a"), F.max("PERIODE").alias("b")).alias("e")).scalar()
     keys = seen.select("DISTRICT").distinct().withColumn("e", ends)
     dense = joins.months_for_series(keys, F.col("e.a"), F.col("e.b"), "PERIODE")
@@ -109,7 +113,7 @@ def latest_before(spark, d):
 
 @query("J9", "DRS d:PERIODE", "SELECT DRS, PERIODE FROM ahead", ctes=AHEAD)
 def series_by_months(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
 
 
@@ -117,7 +121,7 @@ def series_by_months(spark, d):
        "SELECT p.DRS, p.PERIODE, p.cas, c.precipitation AS usual FROM panel p "
        "LEFT JOIN clim c ON c.DRS = p.DRS AND c.month = month(p.PERIODE)", ctes=CLIMATOLOGY)
 def climatology_lookup(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     usual = climatology(panel, REGION).select("DRS", "month", F.col("precipitation").alias("usual"))
     return joins.by_month_of_year(panel, usual, REGION)
 
@@ -126,7 +130,7 @@ def climatology_lookup(spark, d):
        "SELECT p.DRS, p.PERIODE, p.cas, y.precipitation AS then FROM panel p JOIN panel y "
        "ON y.DRS = p.DRS AND month(y.PERIODE) = month(p.PERIODE) AND year(y.PERIODE) = 1998")
 def reference_year_lookup(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     year = panel.filter(F.year("PERIODE") == 1998).select(
         "DRS", F.month("PERIODE").alias("month"), F.col("precipitation").alias("then"))
     return joins.strict_by_month_of_year(panel, year, REGION)
@@ -136,7 +140,7 @@ def reference_year_lookup(spark, d):
        "SELECT p.DRS, p.PERIODE, p.cas, b.cas AS year_before FROM panel p LEFT JOIN panel b "
        "ON b.DRS = p.DRS AND b.PERIODE = CAST(p.PERIODE - INTERVAL 12 MONTH AS DATE)")
 def same_month_year_before(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return joins.year_before(panel, panel, REGION)
 
 
@@ -166,8 +170,9 @@ def scenarios_side_by_side(spark, d):
           FROM (SELECT DRS, CAST(PERIODE + INTERVAL 6 MONTH AS DATE) AS PERIODE, prediction FROM fitted) f
           LEFT JOIN panel p USING (DRS, PERIODE)""", ctes=FITTED)
 def observed_overlay(spark, d):
-    made = _fitted(spark, d).select("DRS", F.add_months("PERIODE", 6).alias("PERIODE"), "prediction")
-    return joins.join_observed(made, t.panel(spark, d), REGION, "left")
+    panel = t.panel_once(spark, d)
+    made = fitted_rows(panel).select("DRS", F.add_months("PERIODE", 6).alias("PERIODE"), "prediction")
+    return joins.join_observed(made, panel, REGION, "left")
 
 
 # -------------------------------------------------------------- set operations
@@ -177,7 +182,7 @@ def observed_overlay(spark, d):
        "SELECT DRS, PERIODE, cas, precipitation FROM panel UNION ALL SELECT a.DRS, a.PERIODE, NULL, c.precipitation "
        "FROM ahead a JOIN clim c ON c.DRS = a.DRS AND c.month = month(a.PERIODE)", ctes=AHEAD + ",\n" + CLIMATOLOGY)
 def history_and_future(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
     return panel.unionByName(futures.from_climatology(panel, months, REGION), allowMissingColumns=True)
 

@@ -8,13 +8,14 @@ from monthloom.functions import fixed
 from monthloom.operators import evaluate, features, forecast, futures, joins, scenarios, split, validate
 
 from monthloom.plans import tables as t
-from monthloom.plans.combining import FITTED, _fitted
+from monthloom.plans.combining import FITTED, fitted_rows
 from monthloom.plans.registry import query
 from monthloom.plans.rules import RULE
 from monthloom.plans.sql import (
     AHEAD, CLIMATOLOGY, DISTRICT_FEATURES, FEATURES, PARTIAL_MEAN_3, W, WCOLS, WEDGE,
     cols, recursion,
 )
+from monthloom.session import written
 from monthloom.spec import DISTRICT, REGION
 
 _T1 = (f"DRS d:PERIODE r:cas {WEDGE} r:target_lag_1 r:target_lag_2 r:target_lag_3 r:target_lag_6 r:target_lag_12 "
@@ -40,14 +41,14 @@ def district_features(spark, d):
           FROM panel JOIN (SELECT PERIODE, row_number() OVER (ORDER BY PERIODE) AS i, count(*) OVER () AS n
             FROM (SELECT DISTINCT PERIODE FROM panel)) USING (PERIODE)""")
 def split_by_period(spark, d):
-    return split.period_split(t.panel(spark, d), REGION)
+    return split.period_split(t.panel_once(spark, d), REGION)
 
 
 @query("T4", "DISTRICT d:PERIODE part",
        """SELECT DISTRICT, PERIODE, CASE WHEN row_number() OVER (ORDER BY PERIODE, md5(DISTRICT), DISTRICT)
             <= CAST(floor(count(*) OVER () * 0.8) AS BIGINT) THEN 'train' ELSE 'test' END AS part FROM surv""")
 def split_by_rows(spark, d):
-    return split.row_split(t.surveillance(spark, d), DISTRICT)
+    return split.row_split(t.surveillance_once(spark, d), DISTRICT)
 
 
 @query("T5", "DRS d:PERIODE i:fold",
@@ -55,7 +56,7 @@ def split_by_rows(spark, d):
           FROM panel JOIN (SELECT PERIODE, row_number() OVER (ORDER BY PERIODE) - 1 AS i, count(*) OVER () AS n
             FROM (SELECT DISTINCT PERIODE FROM panel)) USING (PERIODE)""")
 def folds(spark, d):
-    return split.expanding_folds(t.panel(spark, d), REGION)
+    return split.expanding_folds(t.panel_once(spark, d), REGION)
 
 
 def _ahead(panel):
@@ -69,7 +70,7 @@ future AS (SELECT a.DRS, a.PERIODE, a.h, {cols('c')} FROM ahead a
 
 @query("T6", f"DRS d:PERIODE {WEDGE}", "SELECT * FROM future", ctes=_CLIM_FUTURE)
 def weather_by_climatology(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return futures.from_climatology(panel, _ahead(panel), REGION)
 
 
@@ -77,7 +78,7 @@ def weather_by_climatology(spark, d):
        f"SELECT a.DRS, a.PERIODE, {cols('p')} FROM ahead a JOIN panel p "
        "ON p.DRS = a.DRS AND month(p.PERIODE) = month(a.PERIODE) AND year(p.PERIODE) = 1998", ctes=AHEAD)
 def weather_by_year(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return futures.from_year(panel, _ahead(panel), REGION, 1998)
 
 
@@ -92,7 +93,7 @@ future AS (SELECT t.DRS, CAST(b.last_month + to_months(CAST(r.k AS INTEGER)) AS
 
 @query("T8", f"DRS d:PERIODE {WEDGE}", "SELECT * FROM future", ctes=_PERSIST.format(n=19))
 def weather_by_persistence(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 18)
 
 
@@ -113,7 +114,7 @@ def weather_with_override(spark, d):
 dense AS (SELECT DRS, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS PERIODE FROM (
   SELECT DISTINCT DRS, (SELECT min(PERIODE) FROM surv) AS a, (SELECT max(PERIODE) FROM weather) + INTERVAL 2 MONTH AS b FROM surv))""")
 def weather_problems(spark, d):
-    weather, cases = t.weather(spark, d), t.surveillance(spark, d)
+    weather, cases = t.weather_once(spark, d), t.surveillance_once(spark, d)
     validate.require_columns(weather, [*REGION.keys, *REGION.exog], "weather")
     first = cases.agg(F.min("PERIODE").alias("m")).scalar()
     last = weather.agg(F.add_months(F.max("PERIODE"), 2).alias("m")).scalar()
@@ -165,20 +166,20 @@ future AS (SELECT DRS, PERIODE, row_number() OVER (PARTITION BY DRS ORDER BY PER
 @query("T14", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_RETRO + "," + recursion("future"))
 def recursive_forecast(spark, d):
     """Retro-forecast of eighteen months with the observed weather."""
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     months = panel.filter(F.col("PERIODE").between(F.lit("2000-01-01").cast("date"), F.lit("2001-06-01").cast("date")))
     return forecast.forecast_by_rule(panel, months.drop("cas"), RULE, REGION)
 
 
 @query("T15", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_CLIM_FUTURE + "," + recursion("future"))
 def forecast_all_regions(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     return forecast.forecast_by_rule(panel, futures.from_climatology(panel, _ahead(panel), REGION), RULE, REGION)
 
 
 @query("T16", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_PERSIST.format(n=13) + "," + recursion("future"))
 def forecast_next_year(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
     return forecast.forecast_by_rule(panel, weather, RULE, REGION)
 
@@ -186,7 +187,7 @@ def forecast_next_year(spark, d):
 @query("T17", "DRS d:PERIODE r:prediction", "SELECT * FROM made",
        ctes=_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3))
 def forecast_with_partial_means(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     spec = REGION.having(rolls=(3, 6, 12))
     weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
     return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial")
@@ -202,7 +203,8 @@ def _shot_sql(terms) -> str:
 
 def _complete_districts(spark, d):
     frame = features.create_district_features(t.merged(spark, d).drop("DRS", "tpi2"), DISTRICT)
-    return features.complete_rows(frame, [c for c in frame.columns if c not in ("DISTRICT", "PERIODE")])
+    complete = features.complete_rows(frame, [c for c in frame.columns if c not in ("DISTRICT", "PERIODE")])
+    return written(complete, "district_features")
 
 
 _COMPLETE = DISTRICT_FEATURES + """,
@@ -218,7 +220,7 @@ _CARRIED = ["cas", *W, "lag_1", "lag_12", "rolling_mean_3", "month", "quarter",
            ASOF JOIN complete f ON f.DISTRICT = a.DISTRICT AND a.PERIODE > f.PERIODE""", ctes=_COMPLETE)
 def one_shot_forecasts(spark, d):
     """One request per district and shipping month; the rain is given for half of them."""
-    weather = t.weather(spark, d)
+    weather = t.weather_once(spark, d)
     given = weather.select(
         "DISTRICT", "PERIODE", F.when(F.month("PERIODE") <= 6, F.col("precipitation")).alias("precipitation"))
     return forecast.one_shot(
@@ -247,8 +249,9 @@ def range_and_next_month(spark, d):
             avg(cas) + 1 * stddev_samp(cas) AS threshold FROM panel GROUP BY DRS) t USING (DRS)
           WHERE f.prediction > t.threshold""", ctes=FITTED)
 def alerts(spark, d):
-    limits = evaluate.alert_thresholds(t.panel(spark, d), REGION, 1.0)
-    return evaluate.detect_alerts(_fitted(spark, d).select("DRS", "PERIODE", "prediction"), limits, REGION)
+    panel = t.panel_once(spark, d)
+    limits = evaluate.alert_thresholds(panel, REGION, 1.0)
+    return evaluate.detect_alerts(fitted_rows(panel).select("DRS", "PERIODE", "prediction"), limits, REGION)
 
 
 _CUTOFFS = ["1998-12-01", "1999-12-01", "2000-06-01"]
@@ -262,7 +265,7 @@ back AS (SELECT m.DRS, m.cutoff, m.PERIODE, m.h, p.cas AS observe, m.prediction
 
 
 def _backtest(spark, d):
-    return forecast.backtest(t.panel(spark, d), REGION, _CUTOFFS, 12, rule=RULE, on_problem="skip")
+    return forecast.backtest(t.panel_once(spark, d), REGION, _CUTOFFS, 12, rule=RULE, on_problem="skip")
 
 
 @query("T21", "DRS d:cutoff d:PERIODE r:observe r:prevu", "SELECT * FROM back", ctes=_BACKTEST)
@@ -285,7 +288,7 @@ _BASE = fixed.RELATIVE_SCENARIOS[0][0]
 
 
 def _scenario_forecast(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     usual = futures.from_climatology(panel, _ahead(panel), REGION)
     every = scenarios.apply_adjustments(usual, scenarios.relative_presets())
     return forecast.forecast_by_rule(panel, every, RULE, REGION, ("scenario",))
@@ -296,9 +299,7 @@ def _scenario_forecast(spark, d):
            JOIN made b ON b.DRS = m.DRS AND b.PERIODE = m.PERIODE AND b.scenario = '{_BASE}'
            WHERE m.scenario <> '{_BASE}'""", ctes=_SCENARIOS)
 def compared_scenarios(spark, d):
-    made = _scenario_forecast(spark, d)
-    gaps = scenarios.scenario_gaps(made, REGION, _BASE)
-    return gaps.join(made, ["scenario", "DRS", "PERIODE"])
+    return scenarios.scenario_gaps(_scenario_forecast(spark, d), REGION, _BASE)
 
 
 @query("A22", "scenario r:total r:vs_base_percent",
@@ -323,6 +324,6 @@ def national_forecast(spark, d):
           WHERE i > n - greatest(1, CAST(floor(n * 0.2) AS INTEGER))""", ctes=FITTED)
 def actual_and_predicted(spark, d):
     """Predictions on the complete rows of the test months."""
-    frame = features.create_features(split.period_split(t.panel(spark, d), REGION), REGION)
+    frame = features.create_features(split.period_split(t.panel_once(spark, d), REGION), REGION)
     rows = features.complete_rows(frame.filter(F.col("part") == "test"), features.feature_names(REGION))
     return RULE.on(rows)

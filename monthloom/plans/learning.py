@@ -24,7 +24,7 @@ QUICK_ROBUST = (learn.ROBUST, {"epsilon": 1.35, "regParam": 0.01})
 
 def _frame(spark, d) -> DataFrame:
     """Complete feature rows, marked train or test, written once for the fits."""
-    marked = split.period_split(t.panel(spark, d), REGION)
+    marked = split.period_split(t.panel_once(spark, d), REGION)
     frame = features.create_features(marked, REGION)
     return written(features.complete_rows(frame, features.feature_names(REGION)), "frame")
 
@@ -171,7 +171,7 @@ def best_of_comparison(spark, d):
 
 def _final(spark, d, candidate=QUICK_BOOSTING):
     """Model refitted on every complete row, with the panel and its frame."""
-    panel = written(t.panel(spark, d), "panel")
+    panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     return panel, frame, learn.fit(frame, REGION, NUMERIC, *candidate)
 
@@ -212,7 +212,7 @@ def parameters(spark, d):
 @query("T14_model", "DRS d:cutoff d:PERIODE r:observe r:prevu")
 def model_backtest(spark, d):
     """Back-test with a model trained up to the cut-off only."""
-    panel = written(t.panel(spark, d), "panel")
+    panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     known = frame.filter(F.col("PERIODE") <= F.lit("1999-12-01").cast("date"))
     model = learn.fit(known, REGION, NUMERIC, *QUICK_BOOSTING)
@@ -222,7 +222,7 @@ def model_backtest(spark, d):
 @query("T16_linear", "DRS d:PERIODE r:prediction")
 def fitted_line_forecast(spark, d):
     """A fitted linear model turned into a column rule for the array fold."""
-    panel = written(t.panel(spark, d), "panel")
+    panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     plain = learn.Learner("line", learn.ROBUST.build)
     rule = learn.as_rule(learn.fit(frame, REGION, NUMERIC, plain, QUICK_ROBUST[1], key=None), frame)

@@ -9,7 +9,7 @@ from monthloom.functions import calendar as cal
 from monthloom.functions import fixed
 from monthloom.operators import features, forecast, futures
 from monthloom.plans import tables as t
-from monthloom.plans.combining import FITTED, _fitted
+from monthloom.plans.combining import FITTED, _fitted, fitted_rows
 from monthloom.plans.learning import NUMERIC, QUICK_ROBUST
 from monthloom.plans.registry import query
 from monthloom.plans.rules import RULE
@@ -70,7 +70,7 @@ def stored_model(spark, d):
     """Save a fitted pipeline with features and history, load it, forecast with it."""
     from monthloom.operators import learn
 
-    panel = written(t.panel(spark, d), "panel")
+    panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     path = registry.save_model(
         spark, scratch_dir(spark, "model"), learn.fit(frame, REGION, NUMERIC, *QUICK_ROBUST), NUMERIC, panel)
@@ -110,8 +110,9 @@ def wide_table(spark, d):
           UNION ALL SELECT 'meteo_utilisee', DRS, strftime(PERIODE, '%Y-%m-%d'), CAST(NULL AS DOUBLE), precipitation FROM panel""", ctes=FITTED)
 def named_exports(spark, d):
     """Forecast and weather used, one folder per name."""
-    made = writers.forecast_export(_fitted(spark, d), REGION)
-    used = writers.weather_export(t.panel(spark, d), REGION)
+    panel = t.panel_once(spark, d)
+    made = writers.forecast_export(fitted_rows(panel), REGION)
+    used = writers.weather_export(panel, REGION)
     paths = writers.export_tables({"previsions": made, "meteo_utilisee": used}, scratch_dir(spark, "export"), "parquet")
     parts = [
         readers.read_table(spark, p).withColumn("source", F.lit(name)) for name, p in paths.items()
@@ -203,7 +204,7 @@ future AS (SELECT a.DRS, a.PERIODE, a.h, {cols('c')} FROM ahead a
   LEFT JOIN clim c ON c.DRS = a.DRS AND c.month = month(a.PERIODE)),""" + recursion("future"))
 def forecast_with_imported_weather(spark, d):
     """Weather template written, imported again and used for a forecast."""
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
     template = writers.weather_export(futures.from_climatology(panel, months, REGION), REGION)
     path = writers.save_csv(template, scratch_dir(spark, "template"), "\t")

@@ -8,9 +8,10 @@ from monthloom.functions import text
 from monthloom.operators import aggregate as agg
 from monthloom.operators import evaluate, joins, windows
 from monthloom.plans import tables as t
-from monthloom.plans.combining import CENTROIDS, FITTED, _centroids, _fitted
+from monthloom.plans.combining import CENTROIDS, FITTED, _centroids, _fitted, fitted_rows
 from monthloom.plans.registry import query
 from monthloom.plans.sql import CLIMATOLOGY, W, WEDGE
+from monthloom.session import written
 from monthloom.spec import DISTRICT, NATION, REGION
 
 PAIRS = FITTED + ",\npairs AS (SELECT DRS, PERIODE, cas AS observe, prediction AS prevu FROM fitted)"
@@ -66,7 +67,7 @@ def last_year_against_previous(spark, d):
           UNION ALL SELECT 'top_series', DRS, total FROM (SELECT DRS, sum(cas) AS total FROM panel
             WHERE year(PERIODE) = (SELECT max(year(PERIODE)) FROM panel) GROUP BY DRS ORDER BY total DESC, DRS LIMIT 1)""")
 def peaks(spark, d):
-    return agg.peak_keys(t.panel(spark, d), REGION)
+    return agg.peak_keys(t.panel_once(spark, d), REGION)
 
 
 @query("A8", "i:series i:months", "SELECT count(DISTINCT DRS) AS series, count(DISTINCT PERIODE) AS months FROM panel")
@@ -191,7 +192,9 @@ def repeated_months(spark, d):
                (SELECT sum(cas) AS v FROM panel WHERE PERIODE IN
                   (SELECT CAST(PERIODE - INTERVAL 12 MONTH AS DATE) FROM fitted)) b""", ctes=FITTED)
 def forecast_figures(spark, d):
-    return agg.forecast_summary(_fitted(spark, d), t.panel(spark, d), REGION)
+    panel = t.panel_once(spark, d)
+    made = written(fitted_rows(panel).select("DRS", "PERIODE", "prediction"), "forecast")
+    return agg.forecast_summary(made, panel, REGION)
 
 
 @query("A25", "i:bin i:n",
@@ -199,7 +202,7 @@ def forecast_figures(spark, d):
           FROM (SELECT observe - prevu AS r FROM pairs),
                (SELECT min(observe - prevu) AS low, max(observe - prevu) AS high FROM pairs) GROUP BY ALL""", ctes=PAIRS)
 def residuals(spark, d):
-    return evaluate.residual_histogram(_pairs(spark, d), "observe", "prevu", 10)
+    return evaluate.residual_histogram(written(_pairs(spark, d), "pairs"), "observe", "prevu", 10)
 
 
 @query("A26", "DRS region r:cas r:lat r:lon",
@@ -207,7 +210,7 @@ def residuals(spark, d):
        "FROM panel JOIN centroids USING (DRS) WHERE year(PERIODE) = (SELECT max(year(PERIODE)) FROM panel) GROUP BY DRS",
        ctes=CENTROIDS)
 def region_map(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     last = panel.agg(F.max(F.year("PERIODE")).alias("y")).scalar()
     totals = joins.strict_lookup(agg.year_totals(panel, REGION, last), _centroids(spark, d), "DRS")
     return totals.withColumn("region", text.short_name("DRS"))

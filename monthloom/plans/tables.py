@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from monthloom.functions import calendar as cal
 from monthloom.operators.aggregate import build_panel
 from monthloom.operators.joins import left_by_keys
+from monthloom.session import written
 from monthloom.spec import REGION, PanelSpec
 
 MERGE_KEYS = ["DRS", "PERIODE", "DISTRICT"]
@@ -110,3 +111,20 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str, spec: PanelSpec = REGION) -> DataFrame:
     return build_panel(merged(spark, sf_dir), spec)
+
+
+def panel_once(spark: SparkSession, sf_dir: str, spec: PanelSpec = REGION) -> DataFrame:
+    """The panel as a written table, for queries that read it more than once.
+
+    The panel is small next to the line items it comes from; writing it keeps
+    a query at a single pass over them.
+    """
+    return written(panel(spark, sf_dir, spec), "panel")
+
+
+def surveillance_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(surveillance(spark, sf_dir), "surveillance")
+
+
+def weather_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(weather(spark, sf_dir), "weather")
