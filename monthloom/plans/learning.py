@@ -23,10 +23,13 @@ QUICK_ROBUST = (learn.ROBUST, {"epsilon": 1.35, "regParam": 0.01})
 
 
 def _frame(spark, d) -> DataFrame:
-    """Complete feature rows, marked train or test, written once for the fits."""
-    marked = split.period_split(t.panel_once(spark, d), REGION)
-    frame = features.create_features(marked, REGION)
-    return written(features.complete_rows(frame, features.feature_names(REGION)), "frame")
+    """Complete feature rows, marked train or test.
+
+    The features of all months are written once; months are split before the
+    incomplete rows go.
+    """
+    stored = written(features.create_features(t.panel(spark, d), REGION), "features")
+    return features.complete_rows(split.period_split(stored, REGION), features.feature_names(REGION))
 
 
 def _parts(frame):

@@ -135,8 +135,8 @@ def train(
     spark = panel.sparkSession
     names = features.feature_names(spec)
     numeric = [n for n in names if n not in spec.series]
-    marked = features.create_features(split.period_split(panel, spec), spec)
-    frame = written(features.complete_rows(marked, names), "training")
+    stored = written(features.create_features(panel, spec), "features")
+    frame = features.complete_rows(split.period_split(stored, spec), names)
     seen, held = frame.filter(F.col("part") == "train"), frame.filter(F.col("part") == "test")
     points = points or (lambda l: learn.random_points(l.space, learn.RANDOM_POINTS[l.name]))
     candidates = []
