@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from monthloom.functions import calendar as cal
 from monthloom.functions import maths
 from monthloom.operators import features as feat
+from monthloom.operators.clean import override_values
 from monthloom.operators.joins import asof_before
 from monthloom.operators.windows import next_period
 from monthloom.session import checkpoint_root
@@ -268,10 +269,12 @@ def forecast_by_model(
     return _unfold(fill_by_model(state, model, spec, horizon, fallback, on_problem), spec, tags)
 
 
-def latest_rows(requests: DataFrame, frame: DataFrame, spec: PanelSpec, values: list[str]) -> DataFrame:
+def latest_rows(
+    requests: DataFrame, frame: DataFrame, spec: PanelSpec, values: list[str], unique: bool = False
+) -> DataFrame:
     """Latest feature row strictly before each request, calendar set to the request."""
     carried = [v for v in values if v not in ("month", "quarter", "year")]
-    found = asof_before(requests, frame, list(spec.series), spec.time, carried)
+    found = asof_before(requests, frame, list(spec.series), spec.time, carried, unique=unique)
     time = F.col(spec.time)
     return found.withColumns({"month": F.month(time), "quarter": F.quarter(time), "year": F.year(time)})
 
@@ -284,15 +287,14 @@ def one_shot(
     values: list[str],
     overrides: DataFrame | None = None,
     on_problem: str = "raise",
+    unique: bool = False,
 ) -> DataFrame:
     """Forecast each (series, month) from the latest feature row before it.
 
     The lags are those of that row: they are not recomputed for the requested
     month.  Measures given in ``overrides`` replace the carried ones.
     """
-    from monthloom.operators.clean import override_values
-
-    rows = latest_rows(requests, frame, spec, values)
+    rows = latest_rows(requests, frame, spec, values, unique)
     if overrides is not None:
         given = [m for m in spec.exog if m in overrides.columns]
         rows = override_values(rows, overrides, spec.keys, given)

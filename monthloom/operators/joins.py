@@ -62,16 +62,19 @@ def asof_before(
     time: str,
     values: list[str],
     suffix: str = "",
+    unique: bool = False,
 ) -> DataFrame:
     """Latest observation strictly before each request, per series.
 
     Requests are first reduced to distinct (series, month) pairs, so the
     merged sequence of a series is no longer than twice its months, whatever
-    the number of requests; the result is joined back by equality.
+    the number of requests; the result is joined back by equality.  Requests
+    that consist of the pair alone and are ``unique`` need neither step.
     """
-    asked = requests.select(*series, time).distinct().select(
-        *series, F.col(time), F.lit(0).alias("_seen"), F.lit(None).alias("_row")
-    )
+    if unique and set(requests.columns) != {*series, time}:
+        raise ValueError("unique requests hold the series and the month only")
+    pairs = requests if unique else requests.select(*series, time).distinct()
+    asked = pairs.select(*series, F.col(time), F.lit(0).alias("_seen"), F.lit(None).alias("_row"))
     row = F.struct(F.col(time).alias("observed_at"), *[F.col(v) for v in values])
     seen = observed.select(*series, F.col(time), F.lit(1).alias("_seen"), row.alias("_row"))
     # at an equal month the request sorts first, which makes "before" strict
@@ -79,14 +82,14 @@ def asof_before(
     found = (
         asked.unionByName(seen)
         .withColumn("_last", F.last("_row", ignorenulls=True).over(w))
-        .filter((F.col("_seen") == 0) & F.col("_last").isNotNull())
+        .filter(F.col("_seen") == 0)
         .select(
             *series, time,
             F.col("_last.observed_at").alias("observed_at"),
             *[F.col(f"_last.`{v}`").alias(f"{v}{suffix}") for v in values],
         )
     )
-    return requests.join(found, [*series, time], "left")
+    return found if unique else requests.join(found, [*series, time], "left")
 
 
 def months_for_series(keys: DataFrame, start: Column, stop: Column, time: str) -> DataFrame:

@@ -150,7 +150,7 @@ def random_points(space: Mapping[str, Sequence], n: int, seed: int = SEED) -> li
 
 
 def _rmse(scored: DataFrame) -> float:
-    error = F.greatest(F.lit(0.0), F.col("prediction")) - F.col("label")
+    error = F.col("prediction") - F.col("label")
     return scored.agg(F.sqrt(F.avg(error * error))).first()[0]
 
 

@@ -43,7 +43,8 @@ def with_partial_rolling_means(df: DataFrame, spec: PanelSpec, prefix: str | Non
     """Mean of the last ``n`` known values before each row; fewer if fewer, 0 if none.
 
     Known values are ranked among themselves first, so a null target never
-    shortens the look-back.  Both windows cluster on the series.
+    shortens the look-back.  Clustering on the series first lets both windows
+    share one exchange.
     """
     prefix = f"{spec.target}_roll_mean_" if prefix is None else prefix
     known = F.col(spec.target).isNotNull()
@@ -51,7 +52,7 @@ def with_partial_rolling_means(df: DataFrame, spec: PanelSpec, prefix: str | Non
         Window.partitionBy(*spec.series, "_known").orderBy(spec.time)
     )
     before = series_window(spec).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_known", known)
+    out = df.repartition(*spec.series).withColumn("_known", known)
     out = out.withColumns({
         f"_tail_{n}": F.when(known, F.avg(spec.target).over(among_known.rowsBetween(-(n - 1), 0)))
         for n in spec.rolls

@@ -108,7 +108,7 @@ def requested_months(spark, d):
           FROM weather w ASOF LEFT JOIN surv s ON w.DISTRICT = s.DISTRICT AND w.PERIODE > s.PERIODE""")
 def latest_before(spark, d):
     asked = t.weather(spark, d).select("DISTRICT", "PERIODE")
-    return joins.asof_before(asked, t.surveillance(spark, d), ["DISTRICT"], "PERIODE", ["cas", "tpi2"])
+    return joins.asof_before(asked, t.surveillance(spark, d), ["DISTRICT"], "PERIODE", ["cas", "tpi2"], unique=True)
 
 
 @query("J9", "DRS d:PERIODE", "SELECT DRS, PERIODE FROM ahead", ctes=AHEAD)

@@ -225,7 +225,7 @@ def one_shot_forecasts(spark, d):
         "DISTRICT", "PERIODE", F.when(F.month("PERIODE") <= 6, F.col("precipitation")).alias("precipitation"))
     return forecast.one_shot(
         weather.select("DISTRICT", "PERIODE"), _complete_districts(spark, d), DISTRICT,
-        lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, given, on_problem="skip")
+        lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, given, on_problem="skip", unique=True)
 
 
 @query("T19", "DISTRICT d:PERIODE r:prediction",

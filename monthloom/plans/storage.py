@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from monthloom.functions import calendar as cal
 from monthloom.functions import fixed
-from monthloom.operators import features, forecast, futures
+from monthloom.operators import features, forecast, futures, learn
+from monthloom.operators.clean import insert_before
 from monthloom.plans import tables as t
 from monthloom.plans.combining import FITTED, _fitted, fitted_rows
 from monthloom.plans.learning import NUMERIC, QUICK_ROBUST
@@ -53,7 +54,7 @@ def geo_points(spark, d):
     path = scratch_dir(spark, "points")
     nation, customer = t.table(spark, d, "nation"), t.table(spark, d, "customer")
     points = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("n_name").alias("﻿region"), F.col("c_name").alias("departement"),
+        F.col("n_name").alias("\ufeffregion"), F.col("c_name").alias("departement"),
         F.col("c_custkey").cast("double").alias("latitude"), F.col("c_acctbal").alias("longitude"),
         F.concat("c_mktsegment", F.lit(", "), "n_name", F.lit(', "'), "c_name", F.lit('"')).alias("adresse"))
     return readers.read_geo_points(spark, writers.save_csv(points, path))
@@ -68,8 +69,6 @@ def stored_history(spark, d):
 @query("S6", "DRS d:PERIODE r:prediction")
 def stored_model(spark, d):
     """Save a fitted pipeline with features and history, load it, forecast with it."""
-    from monthloom.operators import learn
-
     panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     path = registry.save_model(
@@ -98,8 +97,6 @@ def year_buckets(spark, d):
 
 @query("S9", f"DRS DISTRICT d:PERIODE r:cas {WEDGE} r:tpi2", "SELECT * FROM merged")
 def wide_table(spark, d):
-    from monthloom.operators.clean import insert_before
-
     wide = insert_before(t.merged(spark, d), list(W), "tpi2")
     return readers.read_table(spark, writers.save_table(wide, scratch_dir(spark, "wide")))
 

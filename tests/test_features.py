@@ -194,6 +194,8 @@ def test_asof_is_strict_and_bounded(spark):
         [("a", dt.date(2020, i, 1)) for i in (1, 2, 3, 4)] * 3 + [("b", dt.date(2020, 1, 1))], "s string, m date")
     got = joins.asof_before(ask, seen, ["s"], "m", ["v"]).collect()
     assert len(got) == 13
+    once = joins.asof_before(ask.distinct(), seen, ["s"], "m", ["v"], unique=True).collect()
+    assert {tuple(r) for r in once} == {tuple(r) for r in got} and len(once) == 5
     assert {(r["s"], r["m"].month, r["v"]) for r in got} == {
         ("a", 1, None), ("a", 2, 1.0), ("a", 3, 1.0), ("a", 4, 3.0), ("b", 1, None)}
 

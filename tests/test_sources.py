@@ -41,7 +41,7 @@ def test_import_names_missing_columns(spark, tmp_path):
 
 def test_geo_points_with_mark_commas_and_breaks(spark, tmp_path):
     path = tmp_path / "points.csv"
-    path.write_bytes(("﻿region,departement,latitude,longitude,adresse\n"
+    path.write_bytes(("\ufeffregion,departement,latitude,longitude,adresse\n"
                       'Dakar,Dakar Nord,14.7,-17.4,"Rue 1, Dakar"\nThies,Mbour,14.4,-16.9,"Route\nde Mbour, ""B"""\n').encode())
     got = readers.read_geo_points(spark, str(path)).orderBy("region").collect()
     assert [r["region"] for r in got] == ["Dakar", "Thies"]
