@@ -42,7 +42,11 @@ def from_year(history: DataFrame, months: DataFrame, spec: PanelSpec, year: int)
 def by_persistence(
     history: DataFrame, spec: PanelSpec, start: Column, periods: int, repeat: int = 12, if_none: float | None = None
 ) -> DataFrame:
-    """Last ``repeat`` rows of each series repeated cyclically over the horizon."""
+    """Last ``repeat`` rows of each series repeated cyclically over the horizon.
+
+    ``if_none`` stands for the measures of a series without any row; a measure
+    that is null in a row stays null.
+    """
     row = F.struct(spec.time, *spec.exog)
     tail = history.groupBy(*spec.series).agg(
         F.slice(
@@ -56,8 +60,10 @@ def by_persistence(
         F.posexplode(cal.months_from(start, periods)).alias("_step", spec.time),
     )
     source = maths.cyclic_pick(F.col("_tail"), F.col("_step") + 1)
-    fill = (lambda c: F.coalesce(c, F.lit(if_none))) if if_none is not None else (lambda c: c)
-    return steps.select(*spec.keys, *[fill(source[m]).alias(m) for m in spec.exog])
+    none = F.lit(if_none).cast("double")
+    return steps.select(*spec.keys, *[
+        F.when(F.size("_tail") > 0, source[m]).otherwise(none).alias(m) for m in spec.exog
+    ])
 
 
 def constant(months: DataFrame, spec: PanelSpec, values: dict[str, float]) -> DataFrame:

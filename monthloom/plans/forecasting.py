@@ -168,20 +168,20 @@ def recursive_forecast(spark, d):
     """Retro-forecast of eighteen months with the observed weather."""
     panel = t.panel_once(spark, d)
     months = panel.filter(F.col("PERIODE").between(F.lit("2000-01-01").cast("date"), F.lit("2001-06-01").cast("date")))
-    return forecast.forecast_by_rule(panel, months.drop("cas"), RULE, REGION)
+    return forecast.forecast_by_rule(panel, months.drop("cas"), RULE, REGION, on_problem="skip")
 
 
 @query("T15", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_CLIM_FUTURE + "," + recursion("future"))
 def forecast_all_regions(spark, d):
     panel = t.panel_once(spark, d)
-    return forecast.forecast_by_rule(panel, futures.from_climatology(panel, _ahead(panel), REGION), RULE, REGION)
+    return forecast.forecast_by_rule(panel, futures.from_climatology(panel, _ahead(panel), REGION), RULE, REGION, on_problem="skip")
 
 
 @query("T16", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_PERSIST.format(n=13) + "," + recursion("future"))
 def forecast_next_year(spark, d):
     panel = t.panel_once(spark, d)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_rule(panel, weather, RULE, REGION)
+    return forecast.forecast_by_rule(panel, weather, RULE, REGION, on_problem="skip")
 
 
 @query("T17", "DRS d:PERIODE r:prediction", "SELECT * FROM made",
@@ -190,7 +190,7 @@ def forecast_with_partial_means(spark, d):
     panel = t.panel_once(spark, d)
     spec = REGION.having(rolls=(3, 6, 12))
     weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
-    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial")
+    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="skip")
 
 
 _SHOT = (("lag_1", 0.4), ("rolling_mean_3", 0.3), ("lag_12", 0.2), ("precipitation", 0.05), ("quarter", 0.1))
@@ -291,7 +291,7 @@ def _scenario_forecast(spark, d):
     panel = t.panel_once(spark, d)
     usual = futures.from_climatology(panel, _ahead(panel), REGION)
     every = scenarios.apply_adjustments(usual, scenarios.relative_presets())
-    return forecast.forecast_by_rule(panel, every, RULE, REGION, ("scenario",))
+    return forecast.forecast_by_rule(panel, every, RULE, REGION, ("scenario",), on_problem="skip")
 
 
 @query("T23", "scenario DRS d:PERIODE r:prediction r:gap",

@@ -183,7 +183,7 @@ def refit_and_forecast(spark, d):
     """Refit on all rows, then twelve recursive months under the usual weather."""
     panel, _, model = _final(spark, d)
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_model(panel, futures.from_climatology(panel, months, REGION), model, REGION, 12)
+    return forecast.forecast_by_model(panel, futures.from_climatology(panel, months, REGION), model, REGION, 12, on_problem="skip")
 
 
 def _importance(spark, d):
@@ -229,7 +229,7 @@ def fitted_line_forecast(spark, d):
     plain = learn.Learner("line", learn.ROBUST.build)
     rule = learn.as_rule(learn.fit(frame, REGION, NUMERIC, plain, QUICK_ROBUST[1], key=None), frame)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_rule(panel, weather, rule, REGION)
+    return forecast.forecast_by_rule(panel, weather, rule, REGION, on_problem="skip")
 
 
 @query("M5_national", "d:PERIODE r:cas r:prediction")

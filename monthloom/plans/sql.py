@@ -112,6 +112,8 @@ def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3) -> str:
     """CTEs ``start``, ``rec`` and ``made`` from ``future`` (DRS, [tag], PERIODE, h, measures).
 
     State is the list of targets before the first future month of each row.
+    Requests with a gap, an unknown measure or fewer than twelve months of
+    history are left out.
     """
     t = f", {tag}" if tag else ""
     rt = f", r.{tag}" if tag else ""
@@ -122,10 +124,12 @@ def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3) -> str:
         "month_cos": "cos(2.0 * pi() * month(f.PERIODE) / 12.0)",
     }
     return f"""
-firsts AS (SELECT DRS{t}, min(PERIODE) AS first_month FROM {future} GROUP BY ALL),
+firsts AS (
+  SELECT DRS{t}, min(PERIODE) AS first_month FROM {future} GROUP BY ALL
+  HAVING count(precipitation) = count(*) AND count(*) = date_diff('month', min(PERIODE), max(PERIODE)) + 1),
 start AS (
   SELECT f.DRS{', f.' + tag if tag else ''}, list(p.cas ORDER BY p.PERIODE) AS hist
-  FROM firsts f JOIN panel p ON p.DRS = f.DRS AND p.PERIODE < f.first_month GROUP BY ALL),
+  FROM firsts f JOIN panel p ON p.DRS = f.DRS AND p.PERIODE < f.first_month GROUP BY ALL HAVING count(*) >= 12),
 rec AS (
   SELECT DRS{t}, CAST(0 AS BIGINT) AS h, CAST(NULL AS DATE) AS PERIODE, hist FROM start
   UNION ALL

@@ -75,7 +75,7 @@ def stored_model(spark, d):
         spark, scratch_dir(spark, "model"), learn.fit(frame, REGION, NUMERIC, *QUICK_ROBUST), NUMERIC, panel)
     stored = registry.load_model(spark, path)
     weather = futures.by_persistence(stored.history, REGION, futures.after_history(stored.history, REGION), 6)
-    return forecast.forecast_by_model(stored.history, weather, stored.model, REGION, 6)
+    return forecast.forecast_by_model(stored.history, weather, stored.model, REGION, 6, on_problem="skip")
 
 
 @query("S7", "DRS PERIODE r:prediction",
@@ -205,4 +205,4 @@ def forecast_with_imported_weather(spark, d):
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
     template = writers.weather_export(futures.from_climatology(panel, months, REGION), REGION)
     path = writers.save_csv(template, scratch_dir(spark, "template"), "\t")
-    return forecast.forecast_by_rule(panel, readers.read_weather_import(spark, path, REGION), RULE, REGION)
+    return forecast.forecast_by_rule(panel, readers.read_weather_import(spark, path, REGION), RULE, REGION, on_problem="skip")
