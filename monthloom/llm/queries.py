@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from monthloom.llm import packing, token_files
+from monthloom.llm import mixing, packing, pii, quality, queries_sql, secret_scan, token_files, vector_search
+from monthloom.llm.shipping import ship
+from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,14 +36,44 @@ def tokenizer_path(name: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc_id", *digest_columns(F.col("spans"), pii.BASE_KINDS))
+
+
+@_query("op3_quality", queries_sql.QUALITY)
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(_documents(spark, sf_dir))
+
+
+@_query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc_id", *digest_columns(F.col("spans"), secret_scan.BASE_KINDS))
+
+
 @_query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+@_query("op7_top_k", queries_sql.TOP_K)
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.top_k(vectors).withColumnRenamed("id", "vec_id")
+
+
+@_query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def _digest_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
