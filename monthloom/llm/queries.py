@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, packing, pii, quality, queries_sql, secret_scan, token_files, vector_search
+from monthloom.llm import mixing, packing, pii, quality, queries_sql, secret_scan, token_counts, token_files, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -62,6 +62,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+@_query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 @_query("op7_top_k", queries_sql.TOP_K)
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)

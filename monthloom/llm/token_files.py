@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from monthloom.llm.arrow import slices
 from monthloom.llm.tokens import encoder
+from monthloom.session import written
 
 SLICE_BYTES = 4 << 20
+BROADCAST_PARTS = 100_000  # one small row per file part
 _FILE_ROW = "part int, place long, doc_id long, local_start long, n_tokens long, ids array<int>"
 _FILE_TYPES = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()),
                          ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -79,6 +81,9 @@ def read_token_files(spark: SparkSession, path: str, tokens: bool = True) -> Dat
     """
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
+    before = written(totals.select(
+        "part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before")), "offsets")
+    if before.count() <= BROADCAST_PARTS:
+        before = F.broadcast(before)
     columns = ["doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens"]
     return files.join(before, "part").select(*columns, *(["ids"] if tokens else []))

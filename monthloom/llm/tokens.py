@@ -100,6 +100,8 @@ class Encoder:
 
     def _spaced_chunk(self, word: str) -> bytes:
         """A word with the space before it."""
+        if word.isascii() and word.isalpha():
+            return _packed([t.id for t in self._model.tokenize("Ġ" + word)])
         match = _SIMPLE.fullmatch(word)
         if not word or not match:
             return self._direct(" " + word)
@@ -114,6 +116,8 @@ class Encoder:
         return self._table[letters] + self._pieces(pieces)
 
     def _plain_chunk(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return _packed([t.id for t in self._model.tokenize(word.lower())])
         match = _SIMPLE.fullmatch(word)
         if not word or not match or match[3]:
             return self._direct(word)
