@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, packing, pii, quality, queries_sql, secret_scan, token_counts, token_files, vector_search
+from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, token_counts, token_files, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -74,6 +74,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors).withColumnRenamed("id", "vec_id")
 
 
+@_query("op8_near_dedup", queries_sql.NEAR_DUPLICATES)
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), words=2)
+
+
 @_query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")

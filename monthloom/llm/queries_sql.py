@@ -56,3 +56,41 @@ WITH whole AS (
 )
 SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM ranked WHERE place <= 5
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
+    WHEN len(ws) = 1 THEN ws
+    ELSE list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s
+  FROM w
+), classes AS (
+  SELECT min(doc_id) AS node, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), items AS (
+  SELECT node, len(s) AS n, unnest(s) AS item FROM classes
+), shared AS (
+  SELECT a.node AS u, b.node AS v, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM items a JOIN items b ON a.item = b.item AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node
+), links AS (
+  SELECT u, v FROM shared WHERE 100 * common >= 80 * (n + m - common)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(node, root) AS (
+  SELECT node, node FROM classes
+  UNION
+  SELECT ways.v, reach.root FROM reach JOIN ways ON ways.u = reach.node
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+       coalesce(roots.root, sets.doc_id) AS component_id,
+       sets.doc_id = coalesce(roots.root, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s)
+LEFT JOIN roots ON roots.node = classes.node
+"""
