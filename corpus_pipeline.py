@@ -1,25 +1,60 @@
-"""Five stages from raw documents to packed sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written and
+read again as the next one's documents.  All but the last return documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthloom.llm import packing
+from monthloom.llm import mixing, near_dedup, packing, quality, secret_scan
 from monthloom.llm.queries import tokenizer_path
+from monthloom.llm.shipping import ship
 from monthloom.session import written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule, or whose host is rejected, go."""
+    return quality.keep_good(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words, similarity 0.8."""
+    ship(spark)
+    return near_dedup.one_of_each(docs, words=5, similarity=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    ship(spark)
+    return secret_scan.mask_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that the sources meet their targets."""
+    return mixing.mixed_rows(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of the pieces of every document."""
+    """Token pieces and their places in sequences of 2048."""
+    ship(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", keep_good),
+    ("near duplicates", keep_one_of_each),
+    ("secret scans", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # tokens and fitted rates have no SQL; a brute-force version is in the tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, token_counts, token_files, vector_search
+from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, suffix_dedup, token_counts, token_files, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -40,6 +40,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query("op1_suffix_dedup", queries_sql.REPEATED_STRINGS)
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op2_pii")
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir), carry=["doc_id"])

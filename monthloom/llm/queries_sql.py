@@ -94,3 +94,35 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
 FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s)
 LEFT JOIN roots ON roots.node = classes.node
 """
+
+REPEATED_STRINGS = r"""
+WITH coded AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(generate_series(1, len(h) // 2 - 49)) AS i FROM coded WHERE len(h) >= 100)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM strings)
+  WHERE doc_id > least
+), edges AS (
+  SELECT doc_id, i, i + 50 AS e, max(i + 50) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit
+), numbered AS (
+  SELECT doc_id, i, e, sum(CASE WHEN before IS NULL OR i > before THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY i) AS run FROM edges
+), spans AS (
+  SELECT doc_id, run, min(i) AS b, max(e) AS e FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT coded.doc_id, run, e, substr(h, 2 * coalesce(lag(e) OVER w, 1) - 1,
+         2 * (b - coalesce(lag(e) OVER w, 1))) AS piece
+  FROM spans JOIN coded USING (doc_id) WINDOW w AS (PARTITION BY spans.doc_id ORDER BY run)
+), kept AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY run) AS head, max(e) AS e FROM pieces GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(e - b) AS n, count(*) AS k FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN kept.e IS NULL THEN h ELSE head || substr(h, 2 * kept.e - 1) END)) AS kept_sha256
+FROM coded LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
