@@ -41,9 +41,11 @@ def _cut(path: str, end_id: int, capacity: int):
         slot = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in slices(batch, "text", SLICE_BYTES):
-                rows = []
-                for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
-                    ids = own.encode(text) + end
+                flat, sizes = own.encode(some.column("text").to_pylist())
+                flat, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+                rows, begin = [], 0
+                for doc, stop in zip(some.column("doc_id").to_pylist(), ends):
+                    ids, begin = flat[begin:stop] + end, stop
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), slot))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20240229)
-# a random odd number for each byte, upper-case letters as their lower-case ones
+# a random odd number for each byte; in the second table A to Z count as a to z
 _BYTE = _RANDOM.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
+_FOLDED = _BYTE.copy()
+_FOLDED[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -29,17 +30,23 @@ def _powers(n: int) -> np.ndarray:
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in bytes."""
-    space = _SPACES[data]
+    space = SPACES[data]
     before = np.empty(len(data) + 1, dtype=bool)
     before[0], before[1:] = True, space
     starts = np.flatnonzero(before[:-1] & ~space)
     if not len(starts):
         return starts, np.zeros(0, dtype=np.uint64)
+    return starts, hashed_runs(data, starts, space, True)
+
+
+def hashed_runs(data: np.ndarray, starts: np.ndarray, skipped: np.ndarray, folded: bool) -> np.ndarray:
+    """Hashes of the bytes from each start to the next, without the skipped ones at their ends."""
+    base = starts[0]
     lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    values = _BYTE[data[starts[0]:]] * _powers(int(lengths.max()))[place]
-    values[space[starts[0]:]] = 0
-    return starts, mixed(np.add.reduceat(values, starts - starts[0]))
+    place = np.arange(base, len(data)) - np.repeat(starts, lengths)
+    values = (_FOLDED if folded else _BYTE)[data[base:]] * _powers(int(lengths.max()))[place]
+    values[skipped[base:]] = 0
+    return mixed(np.add.reduceat(values, starts - base))
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:

@@ -1,72 +1,71 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded table of words.
+"""Token ids of whole texts by the tokenizers library, with a bounded table of chunks.
 
 Both tokenizers used here cut a text at white space before any merge, so the
-ids of a text are the ids of its space-separated chunks put together.  A chunk
-is encoded once per worker and then looked up; the table is emptied when it
-reaches its limit.  Chunks of Latin letters with one mark go straight to the
-model of the tokenizer, all others through its whole chain, and texts with
-special tokens or unusual white space are encoded in one piece.
+ids of a text are the ids of its chunks put together.  A chunk is a word, with
+the space before it where the tokenizer keeps spaces.  The chunks of many texts
+are hashed at once, each distinct one is looked up or encoded, and the ids are
+gathered by array operations.  The table of a worker is emptied when it is
+full.  Texts with special tokens or unusual white space are encoded in one
+piece.  Chunks are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from itertools import repeat
 
 import numpy as np
 
-TABLE_LIMIT = 800_000
+from monthloom.llm.shingles import SPACES, hashed_runs
 
+TABLE_LIMIT = 1_200_000  # chunks, near 120 bytes each
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"([{_LETTERS}]*)([.,;:!?|]?)((?:\n[{_LETTERS}]+[.,;:!?|]?)*)")
-_LINE = re.compile(rf"\n([{_LETTERS}]+)([.,;:!?|]?)")
+_SIMPLE = re.compile(rf"([{_LETTERS}]*)([.,;:!?|]?)")
 # white space on which the libraries' notions differ, and other invisible characters
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_ODD = re.compile("[" + "".join(map(chr, (
+    *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060,
+    0x3000, 0xFEFF))) + "]")
 _SPACE_RUN = re.compile(r" (?!\S)")
-_BEFORE_WORD = re.compile(r"(?= \S)")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, extra = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in letters:
-            letters[b], extra = chr(extra), extra + 1
-    return [letters[b] for b in range(256)]
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
-_BYTE_TABLE = dict(enumerate(_byte_letters()))
+_BYTE_LETTERS = _byte_letters()
+_SPACE_LETTER = _BYTE_LETTERS[0x20]
 
 
-def _as_letters(text: str) -> str:
-    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_BYTE_TABLE)
+class _Table:
+    """Ids of known chunks, one after the other in an array."""
 
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
 
-class _Table(dict):
-    """Chunk to ids as little-endian 32-bit bytes; a missing chunk is encoded.
+    def clear(self) -> None:
+        self.numbers: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.ends = np.zeros(1 << 14, dtype=np.int64)  # of chunk k at k + 1
 
-    A full table becomes the older half, so chunks in use outlive the change.
-    """
-
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self._encode, self._most, self._older = encode, limit // 2, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self._most:
-            self._older = dict(self)
-            self.clear()
-        ids = self._older.get(chunk)
-        if ids is None:
-            ids = self._encode(chunk)
-        self[chunk] = ids
-        return ids
+    def add(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        k = len(self.numbers)
+        end = int(self.ends[k])
+        while end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(keys) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[end:end + len(ids)] = ids
+        self.ends[k + 1:k + 1 + len(keys)] = end + np.cumsum(counts)
+        self.numbers.update(zip(keys, range(k, k + len(keys))))
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes; null is the empty text."""
+    """``encode(texts)`` gives (ids of all texts, number of ids of each); null is the empty text."""
 
     def __init__(self, path: str, limit: int = TABLE_LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -76,68 +75,109 @@ class Encoder:
         self._model = self._whole.model
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._spaced = self._whole.normalizer is None  # spaces belong to the words that follow
-        self._table = _Table(self._spaced_chunk if self._spaced else self._plain_chunk, limit)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text) or any(s in text for s in self._special):
-            return self._direct(text)
-        if not self._spaced:
-            return b"".join(map(self._table.__getitem__, (text.lower() if _latin(text) else text).split()))
-        if _SPACE_RUN.search(text):
-            first, *rest = _BEFORE_WORD.split(text)
-            rest = [chunk[1:] for chunk in rest]
+        self._opens = np.zeros(self._whole.get_vocab_size() + 1, dtype=bool)  # ids of tokens that begin with a space
+        if self._spaced:
+            self._opens[[k for t, k in self._whole.get_vocab().items() if t.startswith(_SPACE_LETTER)]] = True
+        self._table = _Table(limit)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [t or "" for t in texts]
+        alone = {k: self._direct(t) for k, t in enumerate(plain) if self._irregular(t)}
+        ids, sizes = self._by_chunks([("" if k in alone else t).encode() for k, t in enumerate(plain)])
+        if not alone:
+            return ids, sizes
+        pieces = np.split(ids, np.cumsum(sizes)[:-1])
+        pieces = [alone.get(k, p) for k, p in enumerate(pieces)]
+        return np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
+
+    def _irregular(self, text: str) -> bool:
+        return bool(_ODD.search(text) or (self._spaced and _SPACE_RUN.search(text))
+                    or any(s in text for s in self._special))
+
+    def _direct(self, text: str) -> np.ndarray:
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _by_chunks(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join(coded) + b" ", dtype=np.uint8)
+        ends = np.cumsum([len(c) + 1 for c in coded]) - 1  # the joining spaces
+        space = data == 0x20 if self._spaced else SPACES[data]
+        if self._spaced:  # a chunk begins at each text and at each space in a text
+            heads = space.copy()
+            heads[ends] = False
+            heads[(ends - [len(c) for c in coded])[[len(c) > 0 for c in coded]]] = True
+            space = np.zeros(len(data), dtype=bool)
+            space[ends] = True
         else:
-            first, *rest = text.split(" ")
-        return self._direct(first) + b"".join(map(self._table.__getitem__, rest))
-
-    def _direct(self, text: str) -> bytes:
-        return _packed(self._whole.encode(text, add_special_tokens=False).ids)
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        return _packed([t.id for p in pieces for t in self._model.tokenize(p)])
-
-    def _spaced_chunk(self, word: str) -> bytes:
-        """A word with the space before it."""
-        if word.isascii() and word.isalpha():
-            return _packed([t.id for t in self._model.tokenize("Ġ" + word)])
-        match = _SIMPLE.fullmatch(word)
-        if not word or not match:
-            return self._direct(" " + word)
-        letters, mark, lines = match.groups()
-        if not letters:
-            return self._pieces(["Ġ" + mark]) if mark and not lines else self._direct(" " + word)
-        if not mark and not lines:
-            return self._pieces(["Ġ" + _as_letters(letters)])
-        pieces = [mark] if mark else []
-        for letters_, mark_ in _LINE.findall(lines):
-            pieces += ["Ċ", _as_letters(letters_), mark_] if mark_ else ["Ċ", _as_letters(letters_)]
-        return self._table[letters] + self._pieces(pieces)
-
-    def _plain_chunk(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return _packed([t.id for t in self._model.tokenize(word.lower())])
+            heads = ~space
+            heads[1:] &= space[:-1]
+        starts = np.flatnonzero(heads)
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(coded), dtype=np.int64)
+        keys, first, inverse = np.unique(hashed_runs(data, starts, space, not self._spaced),
+                                         return_index=True, return_inverse=True)
+        numbers = self._numbers(keys, first, data, starts, ends)
+        begin, end = self._table.ends[numbers], self._table.ends[numbers + 1]
+        begin, counts = begin[inverse], (end - begin)[inverse]
+        filled = np.cumsum(counts)
+        ids = self._table.ids[np.repeat(begin - (filled - counts), counts) + np.arange(filled[-1])]
+        through = np.concatenate([[0], filled])[np.searchsorted(starts, ends)]
+        return ids, np.diff(through, prepend=0)
+
+    def _numbers(self, keys, first, data, starts, ends) -> np.ndarray:
+        """Numbers of the chunks in the table; the missing ones are encoded."""
+        names = keys.tolist()
+        numbers = np.fromiter(map(self._table.numbers.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        missing = np.flatnonzero(numbers < 0)
+        if not len(missing):
+            return numbers
+        if len(self._table.numbers) + len(missing) > self._table.limit:
+            self._table.clear()
+            numbers[:], missing = -1, np.arange(len(names))
+        begins = starts[first[missing]]
+        stops = np.append(starts, len(data))[first[missing] + 1]
+        if self._spaced:
+            stops = np.minimum(stops, ends[np.searchsorted(ends, begins)])  # without spaces that join texts
+            # such chunks begin with the only space in them, so those of a joined text are told apart
+            joined = np.flatnonzero((data[begins] == 0x20) & (stops - begins > 1))
+            for at in range(0, len(joined), 2000):
+                some = joined[at:at + 2000]
+                ids = self._direct(_bytes_of(data, begins[some], stops[some]).decode())
+                opens = np.flatnonzero(self._opens[ids])
+                if len(opens) == len(some):
+                    self._add(numbers, keys, missing[some], ids, np.diff(opens, append=len(ids)))
+            left = np.flatnonzero(numbers[missing] < 0)
+            encode = self._direct
+        else:
+            left, encode = np.arange(len(missing)), self._plain_chunk
+        if len(left):
+            raw = data.tobytes()
+            found = [encode(raw[a:b].decode() if self._spaced else raw[a:b].split()[0].decode())
+                     for a, b in zip(begins[left].tolist(), stops[left].tolist())]
+            self._add(numbers, keys, missing[left], np.concatenate(found), np.array([len(f) for f in found]))
+        return numbers
+
+    def _add(self, numbers: np.ndarray, keys: np.ndarray, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        begin = len(self._table.numbers)
+        self._table.add(keys[places].tolist(), ids, counts)
+        numbers[places] = np.arange(begin, begin + len(places))
+
+    def _plain_chunk(self, word: str) -> np.ndarray:
+        """Letters with one mark go straight to the model, anything else through the whole chain."""
         match = _SIMPLE.fullmatch(word)
-        if not word or not match or match[3]:
+        if not match:
             return self._direct(word)
-        letters, mark = match[1], match[2]
-        if not mark:
-            return self._pieces([_as_letters(letters.lower())])
-        return (self._table[letters] if letters else b"") + self._pieces([mark])
-
+        pieces = [self._as_letters(match[1].lower()), match[2]]
+        return np.array([t.id for p in pieces if p for t in self._model.tokenize(p)], dtype="<u4")
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
+    @staticmethod
+    def _as_letters(text: str) -> str:
+        return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
-def _latin(text: str) -> bool:
-    """Whether lower-casing and composition work character by character."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _bytes_of(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> bytes:
+    """The bytes of several ranges, one after the other."""
+    sizes = stops - begins
+    return data[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
