@@ -58,7 +58,7 @@ def _press(*arrays: np.ndarray) -> bytes:
     planes = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if a.ndim == 1 else a.tobytes())
+        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.ndim == 1 else a.tobytes())
     sizes = np.array([len(p) for p in planes], dtype="<i8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
 
@@ -302,8 +302,9 @@ def _with_followers(found: dict[int, list]) -> tuple[np.ndarray, np.ndarray, np.
         return tuple(plain)
     document, home, begin, end = (np.concatenate(c) for c in zip(*found[3]))
     out = [plain, [document, begin, end]]
-    if found[2]:
-        lead_document, lead_home, other, other_home = (np.concatenate(c) for c in zip(*found[2]))
+    lead_document, lead_home, other, other_home = (
+        np.concatenate(c) for c in zip(*(found[2] or [[np.zeros(0, dtype=np.int64)] * 4])))
+    if len(lead_home) and len(home):
         order = np.lexsort((lead_home, lead_document))
         width = int(max(lead_home.max(), home.max())) + 1
         names = (lead_document * width + lead_home)[order]
