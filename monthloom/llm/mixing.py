@@ -157,8 +157,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = W
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    copies = mix(numbered, "_row", weights, limit).select("_row", "copies")
-    names = [f"`{c}`" for c in docs.columns]
-    return numbered.join(copies, "_row").filter("copies > 0").select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*names)
+    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    copies = mix(numbered.select("row", "doc.text", "doc.source"), "row", weights, limit).select("row", "copies")
+    return numbered.join(copies, "row").filter("copies > 0").select(
+        "doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")

@@ -310,9 +310,15 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """The documents with one row of each group left, the one with the smallest id."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    names = [f"`{c}`" for c in docs.columns]
-    kept = near_duplicates(rows, words, similarity).filter("kept").select("doc_id").distinct()
-    stay = rows.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = stay.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row")
-    return stay.join(first, "_row", "left_semi").select(*names)
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
+    copies = near_duplicates(rows.select("doc.doc_id", "doc.text"), words, similarity).filter("not kept")
+    copies = copies.select(F.col("doc_id").alias("copy_id")).distinct()
+    leaving = ids.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_semi").select("row")
+    # of rows with one id the first stays
+    first = ids.groupBy("doc_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = ids.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    leaving = written(leaving.union(again.filter("row > first").select("row")).distinct(), "leaving")
+    if leaving.count() <= BROADCAST_IDS:
+        leaving = F.broadcast(leaving)
+    return rows.join(leaving, "row", "left_anti").select("doc.*")

@@ -110,5 +110,5 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns; the text is measured once."""
-    names = [f"`{c}`" for c in docs.columns]
-    return judged(written(measured(docs), "quality")).filter("kept").select(*names)
+    whole = docs.select(F.struct("*").alias("doc"), "text", "source")
+    return judged(written(measured(whole).select("doc", "source", "_quality"), "quality")).filter("kept").select("doc.*")
