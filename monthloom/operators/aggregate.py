@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions import maths
-from monthloom.operators.windows import with_exog_lags
+from monthloom.operators.windows import with_exog_lags, with_positions
 from monthloom.spec import PanelSpec
 
-PIVOT_LIMIT = 2000
-MEMBER_LIMIT = 100_000
+PIVOT_LIMIT = 2000  # columns of a wide table; the long forms have no limit
 
 
 def _measure(spec: PanelSpec, name: str) -> Column:
@@ -111,6 +110,24 @@ def distinct_values(df: DataFrame, column: Column, limit: int = PIVOT_LIMIT) ->
     return sorted(r["v"] for r in rows)
 
 
+def year_totals_by_series(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+    """(series, year, total, place): series with the largest total of the latest year come first.
+
+    ``panel`` is read twice; the places are those of a table of series.
+    """
+    totals = panel.groupBy(*spec.series, F.year(spec.time).alias("year")).agg(F.sum(spec.target).alias("total"))
+    latest = panel.agg(F.max(F.year(spec.time))).scalar()
+    last = totals.groupBy(*spec.series).agg(F.max(F.when(F.col("year") == latest, F.col("total"))).alias("_last"))
+    placed = with_positions(last, F.col("_last").desc_nulls_last(), *spec.series, name="place").drop("_last")
+    return totals.join(placed, list(spec.series))
+
+
+def means_by_month_and_series(df: DataFrame, time: str, series: str, value: str) -> DataFrame:
+    """(month, series, mean, total): half-even to whole numbers, with the total of the month's means."""
+    means = df.groupBy(time, series).agg(F.bround(F.avg(value), 0).alias("mean"))
+    return means.join(means.groupBy(time).agg(F.sum("mean").alias("total")), time)
+
+
 def pivot_year_totals(panel: DataFrame, spec: PanelSpec, years: list[int] | None = None) -> DataFrame:
     """Series by year totals, largest latest year first."""
     year = F.year(spec.time)
@@ -168,9 +185,11 @@ def hierarchy_pairs(df: DataFrame, upper: str, lower: str) -> DataFrame:
     return df.select(upper, lower).filter(F.col(upper).isNotNull() & F.col(lower).isNotNull()).distinct()
 
 
-def hierarchy(df: DataFrame, upper: str, lower: str, limit: int = MEMBER_LIMIT) -> DataFrame:
+def hierarchy(df: DataFrame, upper: str, lower: str, limit: int) -> DataFrame:
     """Lower keys of every upper key, with the same pair as a JSON object.
 
+    For hierarchies known to be small: a row holds all members of a key.
+
     Members are counted before they are gathered: an upper key with more than
     ``limit`` of them fails the job and is to be read from ``hierarchy_pairs``.
     """

@@ -106,9 +106,11 @@ def with_problem(
 
 
 def settle(state: DataFrame, on_problem: str = "raise") -> DataFrame:
-    """Stop at the first bad request (``raise``) or leave bad ones out (``skip``)."""
-    if on_problem == "skip":
-        return state.filter(F.col("problem").isNull()).drop("problem")
+    """Stop at the first bad request (``raise``), or keep all with what is wrong with each (``mark``)."""
+    if on_problem == "mark":
+        return state
+    if on_problem != "raise":
+        raise ValueError(f"on_problem is 'raise' or 'mark', not {on_problem!r}")
     fine = F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("problem")).cast("boolean"))
     return state.filter(fine).drop("problem")
 
@@ -152,15 +154,21 @@ def _depth(spec: PanelSpec, fallback: str) -> int | None:
     return spec.depth if fallback == "full" else None
 
 
+def _made(state: DataFrame) -> Column:
+    """The predictions: appended to the known values one by one, they are the last ones; nulls for marked requests."""
+    made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
+    if "problem" not in state.columns:
+        return made
+    return F.when(F.col("problem").isNull(), made).otherwise(F.transform("ahead", lambda r: F.lit(None).cast("double")))
+
+
 def _unfold(state: DataFrame, spec: PanelSpec, tags: tuple[str, ...]) -> DataFrame:
-    # predictions are appended to the known values one by one: the last ones are the forecast
-    values = F.slice("filled", -F.size("ahead"), F.size("ahead"))
+    marked = ["problem"] if "problem" in state.columns else []
+    months = F.transform("ahead", lambda r: r[spec.time])
     return state.select(
-        *spec.series, *tags,
-        F.inline(F.arrays_zip(
-            F.transform("ahead", lambda r: r[spec.time]).alias(spec.time), values.alias("prediction"),
-        )),
-    )
+        *spec.series, *tags, *marked,
+        F.inline(F.arrays_zip(months.alias(spec.time), _made(state).alias("prediction"))),
+    ).select(*spec.series, *tags, spec.time, "prediction", *marked)
 
 
 def fill_by_rule(state: DataFrame, rule: Callable, spec: PanelSpec, fallback: str, on_problem: str) -> DataFrame:
@@ -170,7 +178,7 @@ def fill_by_rule(state: DataFrame, rule: Callable, spec: PanelSpec, fallback: st
         missing = F.raise_error(
             F.concat(F.lit("missing feature values for "), ahead[spec.time].cast("string"))
         ).cast("double")
-        if on_problem == "skip":
+        if on_problem == "mark":
             missing = F.lit(None).cast("double")
         # through a one-element array, so that the rule is written out once
         clamped = F.transform(F.array(value), lambda v: F.when(v.isNull(), missing).otherwise(F.greatest(F.lit(0.0), v)))
@@ -178,9 +186,10 @@ def fill_by_rule(state: DataFrame, rule: Callable, spec: PanelSpec, fallback: st
 
     known = F.coalesce(F.col("past"), F.array().cast("array<double>"))
     state = state.withColumn("filled", F.aggregate("ahead", known, step))
-    if on_problem == "skip":
+    if on_problem == "mark":
         made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
-        state = state.filter(~F.exists(made, lambda v: v.isNull()))
+        gap = F.when(F.exists(made, lambda v: v.isNull()), F.lit("missing feature values"))
+        state = state.withColumn("problem", F.coalesce("problem", gap))
     return state
 
 
@@ -194,7 +203,11 @@ def forecast_by_rule(
     on_problem: str = "raise",
     expect: Column | None = None,
 ) -> DataFrame:
-    """Fold the rule over the future months of every row; any horizon."""
+    """Fold the rule over the future months of every row; any horizon.
+
+    With ``on_problem="mark"`` every request is answered: those with a
+    ``problem`` have null predictions, the others a null problem.
+    """
     least = 12 if fallback == "full" else 0
     state = settle(prepare(history, future, spec, tags, _depth(spec, fallback), least, expect), on_problem)
     return _unfold(fill_by_rule(state, rule, spec, fallback, on_problem), spec, tags)
@@ -220,15 +233,19 @@ def _split_stages(model: PipelineModel, spec: PanelSpec) -> tuple[list, list]:
 
 
 def fill_by_model(
-    state: DataFrame, model: PipelineModel, spec: PanelSpec, horizon: int, fallback: str, on_problem: str
+    state: DataFrame, model: PipelineModel, spec: PanelSpec, horizon: int | None, fallback: str, on_problem: str
 ) -> DataFrame:
     """Run the pipeline step by step over ``ahead``, starting from ``past``, into ``filled``.
 
+    Without a ``horizon`` it is the longest request's.
+
     Stages that see only the series key run once, before the steps.  Requests
     with fewer months finish early: their spare steps see zeros and append
     nothing.  A reliable checkpoint every few steps keeps the plan short; it
     holds one compact row per request.
     """
+    if horizon is None:
+        horizon = state.agg(F.max(F.size("ahead"))).first()[0] or 0
     late = F.when(F.size("ahead") > horizon, F.lit(f"more than {horizon} months requested"))
     if fallback == "full":
         gaps = [_lag(F.col("past"), k).isNull() for k in used_positions(spec, horizon)]
@@ -257,13 +274,13 @@ def forecast_by_model(
     future: DataFrame,
     model: PipelineModel,
     spec: PanelSpec,
-    horizon: int,
+    horizon: int | None = None,
     tags: tuple[str, ...] = (),
     fallback: str = "full",
     on_problem: str = "raise",
     expect: Column | None = None,
 ) -> DataFrame:
-    """Run a fitted pipeline over the future months of every row, up to ``horizon``."""
+    """Run a fitted pipeline over the future months of every row; ``horizon`` bounds them if given."""
     least = 12 if fallback == "full" else 0
     state = prepare(history, future, spec, tags, _depth(spec, fallback), least, expect)
     return _unfold(fill_by_model(state, model, spec, horizon, fallback, on_problem), spec, tags)
@@ -298,13 +315,12 @@ def one_shot(
     if overrides is not None:
         given = [m for m in spec.exog if m in overrides.columns]
         rows = override_values(rows, overrides, spec.keys, given)
+    none = F.lit("no history before the requested month")
     present = F.col("observed_at").isNotNull()
-    if on_problem == "skip":
-        rows = rows.filter(present)
-    else:
-        rows = rows.filter(F.when(present, F.lit(True)).otherwise(
-            F.raise_error(F.lit("no history before the requested month")).cast("boolean")))
-    return predict(rows)
+    if on_problem == "mark":
+        made = predict(rows.filter(present)).withColumn("problem", F.lit(None).cast("string"))
+        return made.unionByName(rows.filter(~present).withColumn("problem", none), allowMissingColumns=True)
+    return predict(rows.filter(F.when(present, F.lit(True)).otherwise(F.raise_error(none).cast("boolean"))))
 
 
 def next_month_requests(history: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -316,12 +332,12 @@ def month_range_requests(history: DataFrame, spec: PanelSpec, start: Column, sto
 
 
 def _unfold_backtest(state: DataFrame, spec: PanelSpec) -> DataFrame:
-    made = F.slice("filled", -F.size("ahead"), F.size("ahead"))
+    marked = ["problem"] if "problem" in state.columns else []
     months = F.transform("ahead", lambda r: r[spec.time])
     return state.select(
-        *spec.series, "cutoff",
-        F.inline(F.arrays_zip(months.alias(spec.time), F.col("seen").alias("observe"), made.alias("prevu"))),
-    )
+        *spec.series, "cutoff", *marked,
+        F.inline(F.arrays_zip(months.alias(spec.time), F.col("seen").alias("observe"), _made(state).alias("prevu"))),
+    ).select(*spec.series, "cutoff", spec.time, "observe", "prevu", *marked)
 
 
 def prepare_backtest(history: DataFrame, spec: PanelSpec, cutoffs: list, horizon: int, last: Column | None = None) -> DataFrame:
@@ -347,7 +363,17 @@ def prepare_backtest(history: DataFrame, spec: PanelSpec, cutoffs: list, horizon
         last = history.agg(F.max(spec.time).alias("m")).scalar()
     expect = F.greatest(F.lit(0), F.least(F.lit(horizon), cal.months_apart(last, cut)))
     # a cut-off at or after the last month has nothing to compare with
-    return with_problem(rows, spec, 12, expect).filter(expect > 0)
+    checked = with_problem(rows, spec, 12, expect).withColumn("_expect", expect).filter("_expect > 0")
+    # every month asked for, with nulls where the series has none
+    asked = F.transform(F.sequence(F.lit(1), F.col("_expect")), lambda k: F.add_months(cut, k))
+    found = F.transform(asked, lambda m: F.try_element_at(F.filter(
+        F.arrays_zip(F.col("ahead").alias("a"), F.col("seen").alias("s")), lambda r: r["a"][spec.time] == m), F.lit(1)))
+    full = F.zip_with(asked, found, lambda m, r: F.struct(
+        m.alias(spec.time), *[r["a"][x].alias(x) for x in spec.exog], r["s"].alias("_seen")))
+    return checked.withColumn("_full", full).withColumns({
+        "ahead": F.transform("_full", lambda r: F.struct(r[spec.time], *[r[x] for x in spec.exog])),
+        "seen": F.transform("_full", lambda r: r["_seen"]),
+    }).drop("_full", "_expect")
 
 
 def backtest(
@@ -370,4 +396,7 @@ def backtest(
 
 
 def national(forecast: DataFrame, time: str = "PERIODE") -> DataFrame:
-    return forecast.groupBy(time).agg(F.sum("prediction").alias("National_Prediction"))
+    """Sum over the series, and how many of them have no prediction."""
+    return forecast.groupBy(time).agg(
+        F.sum("prediction").alias("National_Prediction"),
+        F.sum(F.col("prediction").isNull().cast("long")).alias("unanswered"))

@@ -31,12 +31,13 @@ def from_climatology(history: DataFrame, months: DataFrame, spec: PanelSpec) ->
     return by_month_of_year(months, climatology(history, spec), spec).select(*spec.keys, *spec.exog)
 
 
-def from_year(history: DataFrame, months: DataFrame, spec: PanelSpec, year: int) -> DataFrame:
-    """Observed measures of one year, month by month; an absent month is an error."""
+def from_year(history: DataFrame, months: DataFrame, spec: PanelSpec, year: int, on_problem: str = "raise") -> DataFrame:
+    """Observed measures of one year, month by month; an absent month is an error, or marked (``mark``)."""
     source = history.filter(F.year(spec.time) == year).select(
         *spec.series, F.month(spec.time).alias("month"), *spec.exog
     )
-    return strict_by_month_of_year(months, source, spec).select(*spec.keys, *spec.exog)
+    found = strict_by_month_of_year(months, source, spec, on_problem=on_problem)
+    return found.select(*spec.keys, *spec.exog, *(["problem"] if on_problem == "mark" else []))
 
 
 def by_persistence(

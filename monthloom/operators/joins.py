@@ -105,8 +105,14 @@ def by_month_of_year(future: DataFrame, table: DataFrame, spec: PanelSpec, month
     )
 
 
-def strict_by_month_of_year(future: DataFrame, table: DataFrame, spec: PanelSpec, month: str = "month") -> DataFrame:
-    """As above, but an absent month is an error."""
+def strict_by_month_of_year(
+    future: DataFrame, table: DataFrame, spec: PanelSpec, month: str = "month", on_problem: str = "raise"
+) -> DataFrame:
+    """As above, but an absent month is an error, or a row with a ``problem`` (``mark``)."""
+    if on_problem == "mark":
+        found = by_month_of_year(future, table.withColumn("_found", F.lit(True)), spec, month)
+        problem = F.when(F.col("_found").isNull(), F.lit("no source row for the month"))
+        return found.withColumn("problem", problem).drop("_found")
     keyed = future.withColumn(month, F.month(spec.time))
     absent = keyed.select(*spec.series, month).distinct().join(
         table.select(*spec.series, month), [*spec.series, month], "left_anti"

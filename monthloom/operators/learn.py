@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 import math
 import random
-import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -27,6 +26,7 @@ from monthloom.functions import text
 from monthloom.operators import evaluate
 from monthloom.operators.forecast import Rule
 from monthloom.operators.split import expanding_folds, fold_parts
+from monthloom.session import scratch_dir
 from monthloom.spec import PanelSpec
 
 SEED = 42
@@ -80,6 +80,13 @@ def dummy_columns(df: DataFrame, column: str, values: Sequence[str], prefix: str
     }).drop(column)
 
 
+def set_indicators(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
+    """Dummy columns in long form: the name of the one that is set, for any number of values; none for null."""
+    prefix = f"{column}_" if prefix is None else prefix
+    return df.filter(F.col(column).isNotNull()).withColumn("indicator", F.concat(F.lit(prefix), column)).withColumn(
+        "value", F.lit(1)).drop(column)
+
+
 # ------------------------------------------------------------------- learners
 
 
@@ -245,7 +252,7 @@ def compare(
             model = fit(train, spec, numeric, learner, params, key)
             m = evaluate_model(model, test, spec)
         except Exception as error:  # noqa: BLE001  any learner may be unusable
-            rows.append((learner.name, *[None] * 6, shown, str(error).splitlines()[0][:300]))
+            rows.append((learner.name, *[None] * 6, shown, str(error).splitlines()[0]))
             continue
         models[learner.name] = model
         rows.append((learner.name, m["mae"], m["rmse"], m["smape"], m["mape"], m["accuracy"], m["r2"], shown, None))
@@ -277,12 +284,14 @@ def encoded_names(model: PipelineModel, sample: DataFrame) -> list[str]:
     return names
 
 
-def split_counts(model: Model) -> dict[int, int]:
-    """Number of tree nodes that test each vector slot, from the printed trees."""
-    counts: dict[int, int] = {}
-    for slot in re.findall(r"If \(feature (\d+) ", model.toDebugString):
-        counts[int(slot)] = counts.get(int(slot), 0) + 1
-    return counts
+def split_counts(spark: SparkSession, model: Model) -> DataFrame:
+    """(slot, n): number of tree nodes that test each vector slot, from the node table of the saved model."""
+    path = scratch_dir(spark, "trees")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    split = F.col("nodeData.split" if "nodeData" in nodes.columns else "split")
+    return nodes.select(split["featureIndex"].alias("slot")).filter("slot >= 0").groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def importance_table(spark: SparkSession, model: PipelineModel, sample: DataFrame, unit: str = "splits") -> DataFrame:
@@ -290,11 +299,12 @@ def importance_table(spark: SparkSession, model: PipelineModel, sample: DataFram
     names = encoded_names(model, sample)
     last = model.stages[-1]
     if unit == "splits":
-        counts = split_counts(last)
-        values = [float(counts.get(i, 0)) for i in range(len(names))]
+        slots = spark.createDataFrame(list(enumerate(names)), "slot int, name string")
+        table = slots.join(split_counts(spark, last), "slot", "left").select(
+            "name", F.coalesce("n", F.lit(0)).cast("double").alias("importance"))
     else:
         values = [float(v) for v in last.featureImportances.toArray()]
-    table = spark.createDataFrame(list(zip(names, values)), "name string, importance double")
+        table = spark.createDataFrame(list(zip(names, values)), "name string, importance double")
     return table.select(
         text.feature_label("name").alias("feature"), "importance", text.feature_family("name").alias("famille")
     )

@@ -86,17 +86,19 @@ def apply_absolute(months: DataFrame, spec: PanelSpec, presets: dict[str, dict[s
 
 
 def scenario_totals(forecast: DataFrame, base: str = fixed.BASE_SCENARIO, name: str = "scenario") -> DataFrame:
-    """Total of each scenario and its change on the base in %.
+    """Total of each scenario, its change on the base in %, and how many months have no prediction.
 
     The totals, one row per scenario, are packed into one row to meet the
     base, so the forecast behind them is evaluated once.
     """
-    totals = forecast.groupBy(name).agg(F.sum("prediction").alias("total"))
-    packed = totals.agg(F.collect_list(F.struct(name, "total")).alias("_all"))
+    totals = forecast.groupBy(name).agg(
+        F.sum("prediction").alias("total"), F.sum(F.col("prediction").isNull().cast("long")).alias("unanswered"))
+    packed = totals.agg(F.collect_list(F.struct(name, "total", "unanswered")).alias("_all"))
     base_total = F.get(F.filter("_all", lambda r: r[name] == base), 0)["total"]
     return packed.select(base_total.alias("_base"), F.inline("_all")).select(
         name, "total",
         F.when(F.col(name) != base, maths.change_percent(F.col("total"), F.col("_base"))).alias("vs_base_percent"),
+        "unanswered",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from monthloom.session import written
 from monthloom.spec import PanelSpec
 
 
@@ -29,42 +30,25 @@ def row_split(df: DataFrame, spec: PanelSpec, share: float = 0.8, name: str = "p
     """Mark the first ``int(share * rows)`` rows as train, in month order.
 
     Rows of one month are ordered by the digest of their series, then by the
-    series.  The cut is found by counting: rows per month, then rows of the
-    cut month per digest bucket, then ranks inside that one bucket.  Three
-    small lookups reach the driver; no sort ever spans the table.
+    series.  Rows are counted per month and digest bucket, a small table whose
+    running sum gives the place of each bucket; ranks are needed only inside
+    the one bucket that the cut falls into, and stay within it.
     """
-    ordered = df.withColumn("_tie", _tie_order(spec)).withColumn("_bucket", F.substring("_tie", 1, 3))
-    by_month = sorted((r[0], r[1]) for r in df.groupBy(spec.time).count().collect())
-    wanted = int(sum(n for _, n in by_month) * share)
-    month, left = _locate(by_month, wanted)
-    by_bucket = sorted(
-        (r[0], r[1])
-        for r in ordered.filter(F.col(spec.time) == F.lit(month)).groupBy("_bucket").count().collect()
-    )
-    bucket, left = _locate(by_bucket, left)
-    key = F.struct("_tie", *spec.series)
-    in_bucket = (F.col(spec.time) == F.lit(month)) & (F.col("_bucket") == F.lit(bucket))
-    last_kept = (
-        ordered.filter(in_bucket)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_tie", *spec.series)))
-        .filter(F.col("_rank") == left)
-        .select(key.alias("k"))
-    ).scalar()
-    train = (
-        (F.col(spec.time) < F.lit(month))
-        | ((F.col(spec.time) == F.lit(month)) & (F.col("_bucket") < F.lit(bucket)))
-        | (in_bucket & F.coalesce(key <= last_kept, F.lit(False)))
-    )
-    return ordered.withColumn(name, F.when(train, "train").otherwise("test")).drop("_tie", "_bucket")
-
-
-def _locate(counts: list[tuple], wanted: int) -> tuple:
-    """Group in which row ``wanted + 1`` falls, and rows still to take from it."""
-    for group, n in counts:
-        if wanted < n:
-            return group, wanted
-        wanted -= n
-    return counts[-1][0], counts[-1][1]
+    ordered = written(df.withColumn("_tie", _tie_order(spec)), "ordered").withColumn("_bucket", F.substring("_tie", 1, 4))
+    keys = [spec.time, "_bucket"]
+    counts = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(*keys))
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = F.floor(F.sum("_n").over(everything) * F.lit(share)).cast("long")
+    counts = counts.select(*keys, upto.alias("_upto"), (F.col("_n")).alias("_n"), wanted.alias("_wanted"))
+    taken = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_wanted") - F.col("_upto") + F.col("_n"))).alias("_taken")
+    rows = ordered.join(counts.select(*keys, "_n", taken), keys)
+    split_bucket = (F.col("_taken") > 0) & (F.col("_taken") < F.col("_n"))
+    window = Window.partitionBy(*keys).orderBy("_tie", *spec.series)
+    cut = rows.filter(split_bucket).withColumn("_train", F.row_number().over(window) <= F.col("_taken"))
+    whole = rows.filter(~split_bucket).withColumn("_train", F.col("_taken") > 0)
+    part = F.when(F.col("_train"), "train").otherwise("test")
+    return whole.unionByName(cut).withColumn(name, part).drop("_tie", "_bucket", "_n", "_taken", "_train")
 
 
 def expanding_folds(df: DataFrame, spec: PanelSpec, n_splits: int = 5, name: str = "fold") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions import calendar as cal
+from monthloom.session import written
 from monthloom.spec import PanelSpec
 
 
@@ -18,6 +19,20 @@ def series_window(spec: PanelSpec):
     return Window.partitionBy(*spec.series).orderBy(F.col(spec.time).asc_nulls_last())
 
 
+def with_positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """Place of each row in a total order, counted from 1; no sort spans one task.
+
+    Rows are dealt by ranges of the order and ranked in their range; the sizes
+    of the ranges, one small row each, add up to the places before them.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = ranged.withColumn("_rank", rank).join(before, "_range")
+    return ranked.withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
+
+
 def lag_columns(value: str, lags, window, prefix: str) -> dict[str, Column]:
     return {f"{prefix}{k}": F.lag(value, k).over(window) for k in lags}
 

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from monthloom.functions import calendar as cal
 from monthloom.functions import fixed, maths, text
-from monthloom.operators import clean, features, scenarios, validate
+from monthloom.operators import clean, features, scenarios, validate, windows
+from monthloom.operators.aggregate import build_panel
+from monthloom.operators.joins import left_by_keys
 from monthloom.plans import tables as t
 from monthloom.plans.registry import query
 from monthloom.sources.readers import trim_headers
 from monthloom.plans.sql import FEATURES, MONTHS_EN, MONTHS_FR, MONTHS_SHORT, W, WCOLS, WEDGE
+from monthloom.session import written
 from monthloom.spec import REGION
 
 DAY = "CAST(date_trunc('month', o_orderdate) AS DATE)"
@@ -34,11 +37,12 @@ def parse_months(spark, d):
     return clean.with_parsed_french_months(df)
 
 
-@query("P3", "PERIODE r:cas",
-       f"SELECT ({MONTHS_FR})[month(PERIODE)] || ' ' || year(PERIODE) AS PERIODE, sum(cas) AS cas "
-       "FROM surv GROUP BY PERIODE")
+@query("P3", "PERIODE r:cas i:position",
+       f"SELECT ({MONTHS_FR})[month(PERIODE)] || ' ' || year(PERIODE) AS PERIODE, sum(cas) AS cas, "
+       "row_number() OVER (ORDER BY surv.PERIODE) AS position FROM surv GROUP BY surv.PERIODE")
 def sort_by_month_text(spark, d):
-    return clean.sort_by_french_month(_french(spark, d).groupBy("PERIODE").agg(F.sum("cas").alias("cas")))
+    monthly = _french(spark, d).groupBy("PERIODE").agg(F.sum("cas").alias("cas"))
+    return windows.with_positions(monthly, cal.parse_french_month("PERIODE"))
 
 
 @query("P4", "i:o_orderkey d:PERIODE", f"SELECT o_orderkey, {DAY} AS PERIODE FROM orders", base=False)
@@ -153,11 +157,13 @@ def display_labels(spark, d):
             FROM weather WHERE month(PERIODE) IN (1, 7) GROUP BY ALL) o
           ON o.DRS = p.DRS AND o.PERIODE = p.PERIODE""")
 def override_measures(spark, d):
+    weather = t.weather_once(spark, d)
     given = (
-        t.weather(spark, d).filter(F.month("PERIODE").isin(1, 7)).groupBy("DRS", "PERIODE")
+        weather.filter(F.month("PERIODE").isin(1, 7)).groupBy("DRS", "PERIODE")
         .agg(F.max("precipitation").alias("precipitation")).withColumn("vent", F.lit(None).cast("double"))
     )
-    return clean.override_values(t.panel(spark, d), given, ["DRS", "PERIODE"], ["precipitation", "vent"])
+    panel = build_panel(left_by_keys(t.surveillance(spark, d), weather, t.MERGE_KEYS), REGION)
+    return clean.override_values(panel, given, ["DRS", "PERIODE"], ["precipitation", "vent"])
 
 
 @query("P18", "DRS d:start d:stop problem",
@@ -310,7 +316,7 @@ _NAMES = [*W, "target_lag_1", "target_roll_mean_6", "month", "month_sin"]
                   '{fixed.FAMILY_KEY}' FROM features GROUP BY DRS""",
        ctes=FEATURES)
 def feature_families(spark, d):
-    frame = features.create_features(t.panel(spark, d), REGION)
+    frame = written(features.create_features(t.panel(spark, d), REGION), "features")
     numeric = clean.profile(frame.select(*_NAMES), []).select(
         F.concat(F.lit("num__"), "column_name").alias("feature"), "non_null")
     keys = frame.groupBy("DRS").agg(F.count(F.lit(1)).alias("non_null")).select(

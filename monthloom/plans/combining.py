@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 
-from monthloom.operators import clean, features, futures, joins, scenarios, validate
+from monthloom.operators import clean, features, futures, joins, scenarios, validate, windows
 from monthloom.operators.aggregate import climatology, total_by_month
 from monthloom.plans import tables as t
 from monthloom.plans.registry import query
@@ -126,14 +126,15 @@ def climatology_lookup(spark, d):
     return joins.by_month_of_year(panel, usual, REGION)
 
 
-@query("J11", "DRS d:PERIODE r:cas r:then",
-       "SELECT p.DRS, p.PERIODE, p.cas, y.precipitation AS then FROM panel p JOIN panel y "
+@query("J11", "DRS d:PERIODE r:cas r:then problem",
+       "SELECT p.DRS, p.PERIODE, p.cas, y.precipitation AS then, "
+       "CASE WHEN y.DRS IS NULL THEN 'no source row for the month' END AS problem FROM panel p LEFT JOIN panel y "
        "ON y.DRS = p.DRS AND month(y.PERIODE) = month(p.PERIODE) AND year(y.PERIODE) = 1998")
 def reference_year_lookup(spark, d):
     panel = t.panel_once(spark, d)
     year = panel.filter(F.year("PERIODE") == 1998).select(
         "DRS", F.month("PERIODE").alias("month"), F.col("precipitation").alias("then"))
-    return joins.strict_by_month_of_year(panel, year, REGION)
+    return joins.strict_by_month_of_year(panel, year, REGION, on_problem="mark")
 
 
 @query("J12", "DRS d:PERIODE r:cas r:year_before",
@@ -207,9 +208,10 @@ def tagged_by_scenario(spark, d):
 # ------------------------------------------------------------- sorts and limits
 
 
-@query("O1", "DRS d:PERIODE r:cas", "SELECT DRS, PERIODE, cas FROM panel")
+@query("O1", "DRS d:PERIODE r:cas i:position",
+       "SELECT DRS, PERIODE, cas, row_number() OVER (ORDER BY DRS, PERIODE) AS position FROM panel")
 def sorted_panel(spark, d):
-    return t.panel(spark, d).orderBy("DRS", F.col("PERIODE").asc_nulls_last())
+    return windows.with_positions(t.panel(spark, d), "DRS", F.col("PERIODE").asc_nulls_last())
 
 
 @query("O4", "DRS DISTRICT d:PERIODE r:cas",

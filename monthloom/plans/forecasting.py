@@ -8,7 +8,7 @@ from monthloom.functions import fixed
 from monthloom.operators import evaluate, features, forecast, futures, joins, scenarios, split, validate
 
 from monthloom.plans import tables as t
-from monthloom.plans.combining import FITTED, fitted_rows
+from monthloom.plans.combining import FITTED
 from monthloom.plans.registry import query
 from monthloom.plans.rules import RULE
 from monthloom.plans.sql import (
@@ -74,21 +74,22 @@ def weather_by_climatology(spark, d):
     return futures.from_climatology(panel, _ahead(panel), REGION)
 
 
-@query("T7", f"DRS d:PERIODE {WEDGE}",
-       f"SELECT a.DRS, a.PERIODE, {cols('p')} FROM ahead a JOIN panel p "
+@query("T7", f"DRS d:PERIODE {WEDGE} problem",
+       f"SELECT a.DRS, a.PERIODE, {cols('p')}, "
+       "CASE WHEN p.DRS IS NULL THEN 'no source row for the month' END AS problem FROM ahead a LEFT JOIN panel p "
        "ON p.DRS = a.DRS AND month(p.PERIODE) = month(a.PERIODE) AND year(p.PERIODE) = 1998", ctes=AHEAD)
 def weather_by_year(spark, d):
     panel = t.panel_once(spark, d)
-    return futures.from_year(panel, _ahead(panel), REGION, 1998)
+    return futures.from_year(panel, _ahead(panel), REGION, 1998, on_problem="mark")
 
 
 _PERSIST = """
 bounds AS (SELECT max(PERIODE) AS last_month FROM panel),
-tails AS (SELECT *, row_number() OVER (PARTITION BY DRS ORDER BY PERIODE) AS k FROM
+tails AS (SELECT *, row_number() OVER (PARTITION BY DRS ORDER BY PERIODE) AS k, count(*) OVER (PARTITION BY DRS) AS n FROM
   (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY DRS ORDER BY PERIODE DESC) <= 12)),
 """ + f"""
 future AS (SELECT t.DRS, CAST(b.last_month + to_months(CAST(r.k AS INTEGER)) AS DATE) AS PERIODE, r.k AS h, {cols('t')}
-  FROM bounds b, range(1, {{n}}) r(k) JOIN tails t ON t.k = (r.k - 1) % 12 + 1)"""
+  FROM bounds b, range(1, {{n}}) r(k) JOIN tails t ON t.k = (r.k - 1) % t.n + 1)"""
 
 
 @query("T8", f"DRS d:PERIODE {WEDGE}", "SELECT * FROM future", ctes=_PERSIST.format(n=19))
@@ -100,7 +101,7 @@ def weather_by_persistence(spark, d):
 @query("T10", f"DISTRICT d:PERIODE {WEDGE}",
        f"SELECT DISTRICT, PERIODE, {', '.join('25.0 AS ' + w if w.startswith('temp') else w for w in W)} FROM weather")
 def weather_with_override(spark, d):
-    base = t.weather(spark, d)
+    base = t.weather_once(spark, d)
     months = base.select("DISTRICT", "PERIODE")
     hot = {"temperature_moyenne": 25.0, "temperature_max": 25.0, "temperature_min": 25.0}
     given = futures.constant(months, DISTRICT.having(exog=tuple(hot)), hot)
@@ -163,34 +164,43 @@ future AS (SELECT DRS, PERIODE, row_number() OVER (PARTITION BY DRS ORDER BY PER
   FROM panel WHERE PERIODE BETWEEN DATE '2000-01-01' AND DATE '2001-06-01')"""
 
 
-@query("T14", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_RETRO + "," + recursion("future"))
+@query("T14", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered", ctes=_RETRO + "," + recursion("future"))
 def recursive_forecast(spark, d):
     """Retro-forecast of eighteen months with the observed weather."""
     panel = t.panel_once(spark, d)
     months = panel.filter(F.col("PERIODE").between(F.lit("2000-01-01").cast("date"), F.lit("2001-06-01").cast("date")))
-    return forecast.forecast_by_rule(panel, months.drop("cas"), RULE, REGION, on_problem="skip")
+    return forecast.forecast_by_rule(panel, months.drop("cas"), RULE, REGION, on_problem="mark")
 
 
-@query("T15", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_CLIM_FUTURE + "," + recursion("future"))
+@query("T15", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered", ctes=_CLIM_FUTURE + "," + recursion("future"))
 def forecast_all_regions(spark, d):
     panel = t.panel_once(spark, d)
-    return forecast.forecast_by_rule(panel, futures.from_climatology(panel, _ahead(panel), REGION), RULE, REGION, on_problem="skip")
+    return forecast.forecast_by_rule(panel, futures.from_climatology(panel, _ahead(panel), REGION), RULE, REGION, on_problem="mark")
 
 
-@query("T16", "DRS d:PERIODE r:prediction", "SELECT * FROM made", ctes=_PERSIST.format(n=13) + "," + recursion("future"))
+@query("T16", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered", ctes=_PERSIST.format(n=13) + "," + recursion("future"))
 def forecast_next_year(spark, d):
     panel = t.panel_once(spark, d)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_rule(panel, weather, RULE, REGION, on_problem="skip")
+    return forecast.forecast_by_rule(panel, weather, RULE, REGION, on_problem="mark")
 
 
-@query("T17", "DRS d:PERIODE r:prediction", "SELECT * FROM made",
-       ctes=_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3))
+_SHORT = """
+short_panel AS (SELECT * FROM panel WHERE NOT regexp_matches(DRS, '[02468]$')
+  OR PERIODE > (SELECT max(PERIODE) FROM panel) - INTERVAL 8 MONTH),"""
+
+
+@query("T17", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
+       ctes=_SHORT + (_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3, partial=True)).replace(
+           "FROM panel", "FROM short_panel").replace("JOIN panel", "JOIN short_panel"))
 def forecast_with_partial_means(spark, d):
+    """Series of even numbers are taken as known for the last eight months only."""
     panel = t.panel_once(spark, d)
+    recent = F.col("PERIODE") > F.add_months(panel.agg(F.max("PERIODE")).scalar(), -8)
+    panel = panel.filter(recent | ~F.col("DRS").rlike("[02468]$"))
     spec = REGION.having(rolls=(3, 6, 12))
     weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
-    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="skip")
+    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="mark")
 
 
 _SHOT = (("lag_1", 0.4), ("rolling_mean_3", 0.3), ("lag_12", 0.2), ("precipitation", 0.05), ("quarter", 0.1))
@@ -207,17 +217,20 @@ def _complete_districts(spark, d):
     return written(complete, "district_features")
 
 
+_NO_HISTORY = "CASE WHEN f.PERIODE IS NULL THEN 'no history before the requested month' END"
 _COMPLETE = DISTRICT_FEATURES + """,
 complete AS (SELECT * FROM district_features WHERE lag_12 IS NOT NULL AND rolling_mean_6 IS NOT NULL AND diff_1 IS NOT NULL
   AND """ + " AND ".join(f"{w} IS NOT NULL" for w in W) + ")"
 _CARRIED = ["cas", *W, "lag_1", "lag_12", "rolling_mean_3", "month", "quarter", "year"]
 
 
-@query("T18", "DISTRICT d:PERIODE d:observed_at r:prediction",
+@query("T18", "DISTRICT d:PERIODE d:observed_at r:prediction problem",
        f"""SELECT a.DISTRICT, a.PERIODE, f.PERIODE AS observed_at,
-             {_shot_sql({'precipitation': 'coalesce(a.rain, f.precipitation)', 'quarter': 'quarter(a.PERIODE)'})} AS prediction
+             CASE WHEN f.PERIODE IS NOT NULL THEN
+               {_shot_sql({'precipitation': 'coalesce(a.rain, f.precipitation)', 'quarter': 'quarter(a.PERIODE)'})} END AS prediction,
+             {_NO_HISTORY} AS problem
            FROM (SELECT DISTRICT, PERIODE, CASE WHEN month(PERIODE) <= 6 THEN precipitation END AS rain FROM weather) a
-           ASOF JOIN complete f ON f.DISTRICT = a.DISTRICT AND a.PERIODE > f.PERIODE""", ctes=_COMPLETE)
+           ASOF LEFT JOIN complete f ON f.DISTRICT = a.DISTRICT AND a.PERIODE > f.PERIODE""", ctes=_COMPLETE)
 def one_shot_forecasts(spark, d):
     """One request per district and shipping month; the rain is given for half of them."""
     weather = t.weather_once(spark, d)
@@ -225,56 +238,65 @@ def one_shot_forecasts(spark, d):
         "DISTRICT", "PERIODE", F.when(F.month("PERIODE") <= 6, F.col("precipitation")).alias("precipitation"))
     return forecast.one_shot(
         weather.select("DISTRICT", "PERIODE"), _complete_districts(spark, d), DISTRICT,
-        lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, given, on_problem="skip", unique=True)
+        lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, given, on_problem="mark", unique=True)
 
 
-@query("T19", "DISTRICT d:PERIODE r:prediction",
-       f"""SELECT a.DISTRICT, a.PERIODE, {_shot_sql({'quarter': 'quarter(a.PERIODE)'})} AS prediction
+@query("T19", "DISTRICT d:PERIODE r:prediction problem",
+       f"""SELECT a.DISTRICT, a.PERIODE, CASE WHEN f.PERIODE IS NOT NULL THEN {_shot_sql({'quarter': 'quarter(a.PERIODE)'})} END
+             AS prediction, {_NO_HISTORY} AS problem
            FROM (SELECT DISTRICT, CAST(unnest(generate_series(DATE '2001-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE)
                    AS PERIODE FROM (SELECT DISTINCT DISTRICT FROM complete)
                  UNION ALL
                  SELECT DISTRICT, CAST(max(PERIODE) + INTERVAL 1 MONTH AS DATE) FROM complete GROUP BY DISTRICT) a
-           ASOF JOIN complete f ON f.DISTRICT = a.DISTRICT AND a.PERIODE > f.PERIODE""", ctes=_COMPLETE)
+           ASOF LEFT JOIN complete f ON f.DISTRICT = a.DISTRICT AND a.PERIODE > f.PERIODE""", ctes=_COMPLETE)
 def range_and_next_month(spark, d):
     """A range of months for every district, and the month after its last row."""
     frame = _complete_districts(spark, d)
     months = forecast.month_range_requests(frame, DISTRICT, F.lit("2001-01-01").cast("date"), F.lit("2001-12-01").cast("date"))
     asked = months.unionByName(forecast.next_month_requests(frame, DISTRICT))
     return forecast.one_shot(
-        asked, frame, DISTRICT, lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, on_problem="skip")
+        asked, frame, DISTRICT, lambda rows: _SHOT_RULE.on(rows, clamp=False), _CARRIED, on_problem="mark")
 
 
 @query("T20", "DRS d:PERIODE r:prediction r:threshold",
-       """SELECT f.DRS, f.PERIODE, f.prediction, t.threshold FROM fitted f JOIN (SELECT DRS,
-            avg(cas) + 1 * stddev_samp(cas) AS threshold FROM panel GROUP BY DRS) t USING (DRS)
-          WHERE f.prediction > t.threshold""", ctes=FITTED)
+       """SELECT f.DRS, f.PERIODE, f.prediction, t.threshold FROM answered f JOIN (SELECT DRS,
+            avg(cas) + 0.1 * stddev_samp(cas) AS threshold FROM panel GROUP BY DRS) t USING (DRS)
+          WHERE f.prediction > t.threshold""", ctes=_CLIM_FUTURE + "," + recursion("future"))
 def alerts(spark, d):
-    panel = t.panel_once(spark, d)
-    limits = evaluate.alert_thresholds(panel, REGION, 1.0)
-    return evaluate.detect_alerts(fitted_rows(panel).select("DRS", "PERIODE", "prediction"), limits, REGION)
+    """Alerts on the recursive forecast of the next year."""
+    limits = evaluate.alert_thresholds(t.panel_once(spark, d), REGION, 0.1)
+    made = forecast_all_regions(spark, d).select("DRS", "PERIODE", "prediction")
+    return evaluate.detect_alerts(made, limits, REGION)
 
 
-_CUTOFFS = ["1998-12-01", "1999-12-01", "2000-06-01"]
+# the last cut-off leaves fewer than twelve months on record
+_CUTOFFS = ["1998-12-01", "1999-12-01", "2000-06-01", "2001-03-01"]
 _BACKTEST = f"""
-cuts AS (SELECT CAST(c AS DATE) AS cutoff FROM (VALUES {', '.join(f"('{c}')" for c in _CUTOFFS)}) v(c)),
-future AS (SELECT DRS, cutoff, PERIODE, row_number() OVER (PARTITION BY DRS, cutoff ORDER BY PERIODE) AS h, {WCOLS}
-  FROM panel, cuts WHERE PERIODE > cutoff AND PERIODE <= cutoff + INTERVAL 12 MONTH),""" + recursion("future", "cutoff") + """,
-complete_runs AS (SELECT DRS, cutoff FROM future GROUP BY ALL HAVING count(precipitation) = 12),
-back AS (SELECT m.DRS, m.cutoff, m.PERIODE, m.h, p.cas AS observe, m.prediction AS prevu
-  FROM made m JOIN complete_runs USING (DRS, cutoff) JOIN panel p ON p.DRS = m.DRS AND p.PERIODE = m.PERIODE)"""
+cuts AS (SELECT CAST(c AS DATE) AS cutoff, least(12, date_diff('month', CAST(c AS DATE), last_month)) AS expected
+  FROM (VALUES {', '.join(f"('{c}')" for c in _CUTOFFS)}) v(c), (SELECT max(PERIODE) AS last_month FROM panel)),
+future AS (SELECT DRS, cutoff, expected, PERIODE, row_number() OVER (PARTITION BY DRS, cutoff ORDER BY PERIODE) AS h, {WCOLS}
+  FROM panel, cuts WHERE PERIODE > cutoff AND PERIODE <= cutoff + INTERVAL 12 MONTH),""" + recursion(
+    "future", "cutoff", expect="expected") + """,
+wanted AS (SELECT DRS, cutoff, k AS h, CAST(cutoff + to_months(CAST(k AS INTEGER)) AS DATE) AS PERIODE
+  FROM (SELECT DISTINCT DRS FROM panel), cuts, range(1, 13) r(k) WHERE k <= expected),
+back AS (SELECT w.DRS, w.cutoff, w.PERIODE, w.h, p.cas AS observe, m.prediction AS prevu,
+    CASE WHEN c.DRS IS NULL THEN 'missing months' ELSE c.problem END AS problem
+  FROM wanted w LEFT JOIN checked c ON c.DRS = w.DRS AND c.cutoff = w.cutoff
+  LEFT JOIN made m ON m.DRS = w.DRS AND m.cutoff = w.cutoff AND m.PERIODE = w.PERIODE
+  LEFT JOIN panel p ON p.DRS = w.DRS AND p.PERIODE = w.PERIODE)"""
 
 
 def _backtest(spark, d):
-    return forecast.backtest(t.panel_once(spark, d), REGION, _CUTOFFS, 12, rule=RULE, on_problem="skip")
+    return forecast.backtest(t.panel_once(spark, d), REGION, _CUTOFFS, 12, rule=RULE, on_problem="mark")
 
 
-@query("T21", "DRS d:cutoff d:PERIODE r:observe r:prevu", "SELECT * FROM back", ctes=_BACKTEST)
+@query("T21", "DRS d:cutoff d:PERIODE r:observe r:prevu problem", "SELECT * FROM back", ctes=_BACKTEST)
 def backtests(spark, d):
     return _backtest(spark, d)
 
 
-@query("T22", "DRS d:cutoff d:PERIODE i:h r:gap r:gap_percent",
-       "SELECT DRS, cutoff, PERIODE, h, prevu - observe AS gap, "
+@query("T22", "DRS d:cutoff d:PERIODE i:h r:gap r:gap_percent problem",
+       "SELECT DRS, cutoff, PERIODE, h, prevu - observe AS gap, problem, "
        "CASE WHEN observe > 0 THEN (prevu - observe) / observe * 100 END AS gap_percent FROM back", ctes=_BACKTEST)
 def errors_by_step(spark, d):
     return evaluate.errors_by_horizon(_backtest(spark, d), ["DRS", "cutoff"], REGION)
@@ -291,28 +313,29 @@ def _scenario_forecast(spark, d):
     panel = t.panel_once(spark, d)
     usual = futures.from_climatology(panel, _ahead(panel), REGION)
     every = scenarios.apply_adjustments(usual, scenarios.relative_presets())
-    return forecast.forecast_by_rule(panel, every, RULE, REGION, ("scenario",), on_problem="skip")
+    return forecast.forecast_by_rule(panel, every, RULE, REGION, ("scenario",), on_problem="mark")
 
 
 @query("T23", "scenario DRS d:PERIODE r:prediction r:gap",
-       f"""SELECT m.scenario, m.DRS, m.PERIODE, m.prediction, m.prediction - b.prediction AS gap FROM made m
-           JOIN made b ON b.DRS = m.DRS AND b.PERIODE = m.PERIODE AND b.scenario = '{_BASE}'
+       f"""SELECT m.scenario, m.DRS, m.PERIODE, m.prediction, m.prediction - b.prediction AS gap FROM answered m
+           JOIN answered b ON b.DRS = m.DRS AND b.PERIODE = m.PERIODE AND b.scenario = '{_BASE}'
            WHERE m.scenario <> '{_BASE}'""", ctes=_SCENARIOS)
 def compared_scenarios(spark, d):
     return scenarios.scenario_gaps(_scenario_forecast(spark, d), REGION, _BASE)
 
 
-@query("A22", "scenario r:total r:vs_base_percent",
-       f"""SELECT scenario, sum(prediction) AS total, CASE WHEN scenario <> '{_BASE}' THEN (sum(prediction)
-             - (SELECT sum(prediction) FROM made WHERE scenario = '{_BASE}'))
-             / (SELECT sum(prediction) FROM made WHERE scenario = '{_BASE}') * 100 END AS vs_base_percent
-           FROM made GROUP BY scenario""", ctes=_SCENARIOS)
+@query("A22", "scenario r:total r:vs_base_percent i:unanswered",
+       f"""SELECT scenario, sum(prediction) AS total, count(*) - count(prediction) AS unanswered, CASE WHEN scenario <> '{_BASE}' THEN (sum(prediction)
+             - (SELECT sum(prediction) FROM answered WHERE scenario = '{_BASE}'))
+             / (SELECT sum(prediction) FROM answered WHERE scenario = '{_BASE}') * 100 END AS vs_base_percent
+           FROM answered GROUP BY scenario""", ctes=_SCENARIOS)
 def totals_of_scenarios(spark, d):
     return scenarios.scenario_totals(_scenario_forecast(spark, d), _BASE)
 
 
-@query("T24", "d:PERIODE r:National_Prediction",
-       "SELECT PERIODE, sum(prediction) AS National_Prediction FROM made GROUP BY PERIODE",
+@query("T24", "d:PERIODE r:National_Prediction i:unanswered",
+       "SELECT PERIODE, sum(prediction) AS National_Prediction, count(*) - count(prediction) AS unanswered "
+       "FROM answered GROUP BY PERIODE",
        ctes=_CLIM_FUTURE + "," + recursion("future"))
 def national_forecast(spark, d):
     return forecast.national(forecast_all_regions(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.operators import features, forecast, futures, learn, split
-from monthloom.operators.aggregate import build_panel, distinct_values
+from monthloom.operators.aggregate import build_panel
 from monthloom.plans import tables as t
 from monthloom.plans.registry import query
 from monthloom.plans.sql import FEATURES, W
@@ -55,23 +55,19 @@ def _scored(spark, d, candidate) -> DataFrame:
 @query("M1", "DRS i:slot i:width",
        "SELECT DRS, dense_rank() OVER (ORDER BY DRS) - 1 AS slot, (SELECT count(DISTINCT DRS) FROM panel) AS width FROM panel")
 def key_indicators(spark, d):
-    panel = t.panel(spark, d)
+    panel = t.panel_once(spark, d)
     learn.require_few_keys(panel, "DRS")
     coded = Pipeline(stages=learn.key_stages("DRS")).fit(panel).transform(panel)
     flags = vector_to_array("DRS_flags")
     return coded.select("DRS", (F.array_position(flags, F.lit(1.0)) - 1).alias("slot"), F.size(flags).alias("width"))
 
 
-_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
-@query("M2", "i:c_custkey " + " ".join(f"i:segment_{s}" for s in _SEGMENTS),
-       "SELECT c_custkey, " + ", ".join(f"CAST(c_mktsegment = '{s}' AS INTEGER) AS segment_{s}" for s in _SEGMENTS)
-       + " FROM customer", base=False)
+@query("M2", "i:c_custkey indicator i:value",
+       "SELECT c_custkey, 'segment_' || c_mktsegment AS indicator, 1 AS value FROM customer", base=False)
 def dummy_columns(spark, d):
+    """Indicators in long form: the one that is set, whatever values there are."""
     customer = t.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    values = distinct_values(customer, F.col("c_mktsegment"))
-    return learn.dummy_columns(customer, "c_mktsegment", values, "segment_")
+    return learn.set_indicators(customer, "c_mktsegment", "segment_").select("c_custkey", "indicator", "value")
 
 
 @query("M3", "DRS d:PERIODE i:width r:total r:first r:last",
@@ -92,7 +88,7 @@ def assembled_inputs(spark, d):
              (target_lag_1 - avg(target_lag_1) OVER ()) / stddev_samp(target_lag_1) OVER () AS scaled_lag
            FROM features WHERE {_COMPLETE}""", ctes=FEATURES)
 def scaled_inputs(spark, d):
-    frame = features.create_features(t.panel(spark, d), REGION)
+    frame = features.create_features(t.panel_once(spark, d), REGION)
     rows = features.complete_rows(frame, features.feature_names(REGION))
     coded = learn.encoder(None, ["precipitation", "target_lag_1"], scaled=True).fit(rows).transform(rows)
     values = vector_to_array("features")
@@ -178,12 +174,12 @@ def _final(spark, d, candidate=QUICK_BOOSTING):
     return panel, frame, learn.fit(frame, REGION, NUMERIC, *candidate)
 
 
-@query("M12", "DRS d:PERIODE r:prediction")
+@query("M12", "DRS d:PERIODE r:prediction problem")
 def refit_and_forecast(spark, d):
     """Refit on all rows, then twelve recursive months under the usual weather."""
     panel, _, model = _final(spark, d)
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_model(panel, futures.from_climatology(panel, months, REGION), model, REGION, 12, on_problem="skip")
+    return forecast.forecast_by_model(panel, futures.from_climatology(panel, months, REGION), model, REGION, on_problem="mark")
 
 
 def _importance(spark, d):
@@ -211,17 +207,17 @@ def parameters(spark, d):
     return learn.parameter_sheet(spark, _final(spark, d)[2])
 
 
-@query("T14_model", "DRS d:cutoff d:PERIODE r:observe r:prevu")
+@query("T14_model", "DRS d:cutoff d:PERIODE r:observe r:prevu problem")
 def model_backtest(spark, d):
     """Back-test with a model trained up to the cut-off only."""
     panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     known = frame.filter(F.col("PERIODE") <= F.lit("1999-12-01").cast("date"))
     model = learn.fit(known, REGION, NUMERIC, *QUICK_BOOSTING)
-    return forecast.backtest(panel, REGION, ["1999-12-01"], 12, model=model, on_problem="skip")
+    return forecast.backtest(panel, REGION, ["1999-12-01"], 12, model=model, on_problem="mark")
 
 
-@query("T16_linear", "DRS d:PERIODE r:prediction")
+@query("T16_linear", "DRS d:PERIODE r:prediction problem")
 def fitted_line_forecast(spark, d):
     """A fitted linear model turned into a column rule for the array fold."""
     panel = t.panel_once(spark, d)
@@ -229,7 +225,7 @@ def fitted_line_forecast(spark, d):
     plain = learn.Learner("line", learn.ROBUST.build)
     rule = learn.as_rule(learn.fit(frame, REGION, NUMERIC, plain, QUICK_ROBUST[1], key=None), frame)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
-    return forecast.forecast_by_rule(panel, weather, rule, REGION, on_problem="skip")
+    return forecast.forecast_by_rule(panel, weather, rule, REGION, on_problem="mark")
 
 
 @query("M5_national", "d:PERIODE r:cas r:prediction")

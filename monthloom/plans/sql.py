@@ -108,14 +108,20 @@ FULL_MEAN_3 = "(r.hist[-3] + r.hist[-2] + r.hist[-1]) / 3"
 PARTIAL_MEAN_3 = "list_sum(list_slice(r.hist, -3, -1)) / least(3, len(r.hist))"
 
 
-def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3) -> str:
-    """CTEs ``start``, ``rec`` and ``made`` from ``future`` (DRS, [tag], PERIODE, h, measures).
+NO_WEATHER = " OR ".join(f"f.{w} IS NULL" for w in W)
 
-    State is the list of targets before the first future month of each row.
-    Requests with a gap, an unknown measure or fewer than twelve months of
-    history are left out.
+
+def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3, partial: bool = False, expect: str = "") -> str:
+    """CTEs from ``start`` to ``answered`` from ``future`` (DRS, [tag], PERIODE, h, measures).
+
+    ``checked`` names what is wrong with a request, ``made`` recurses over the
+    fine ones, ``answered`` has every month asked for: (DRS, [tag], PERIODE, h,
+    prediction, problem).  State is the list of targets before the first month.
+    ``partial`` needs no year of history, but the rule's longest lag does.
+    ``expect`` is a column of ``future``: how many months there should be.
     """
     t = f", {tag}" if tag else ""
+    ft = f", f.{tag}" if tag else ""
     rt = f", r.{tag}" if tag else ""
     match = f" AND f.{tag} = r.{tag}" if tag else ""
     terms = {
@@ -123,16 +129,32 @@ def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3) -> str:
         "precipitation": "f.precipitation", "humidite": "f.humidite",
         "month_cos": "cos(2.0 * pi() * month(f.PERIODE) / 12.0)",
     }
+    short = ("WHEN k.n < 12 THEN 'missing feature values'" if partial else
+             "WHEN k.n < 12 THEN 'at least 12 months of history are required, found ' || k.n")
+    wanted = f" WHEN r.n <> r.{expect} THEN 'missing months'" if expect else ""
     return f"""
-firsts AS (
-  SELECT DRS{t}, min(PERIODE) AS first_month FROM {future} GROUP BY ALL
-  HAVING count(precipitation) = count(*) AND count(*) = date_diff('month', min(PERIODE), max(PERIODE)) + 1),
+requested AS (
+  SELECT DRS{t}, min(PERIODE) AS first_month, max(PERIODE) AS last_month, count(*) AS n,
+         count(DISTINCT PERIODE) AS months, bool_or({NO_WEATHER}) AS empty{f", any_value({expect}) AS {expect}" if expect else ""}
+  FROM {future} f GROUP BY ALL),
+known AS (
+  SELECT r.DRS{rt}, count(p.PERIODE) AS n, list(p.cas ORDER BY p.PERIODE) AS hist
+  FROM requested r LEFT JOIN panel p ON p.DRS = r.DRS AND p.PERIODE < r.first_month GROUP BY ALL),
+checked AS (
+  SELECT r.DRS{rt}, CASE WHEN r.DRS NOT IN (SELECT DRS FROM panel) THEN 'unknown series'
+    WHEN r.months < r.n THEN 'repeated months'
+    WHEN r.n < date_diff('month', r.first_month, r.last_month) + 1 THEN 'missing months'
+    {short} WHEN r.empty THEN 'missing feature values'{wanted} END AS problem
+  FROM requested r JOIN known k ON k.DRS = r.DRS{f" AND k.{tag} = r.{tag}" if tag else ""}),
 start AS (
-  SELECT f.DRS{', f.' + tag if tag else ''}, list(p.cas ORDER BY p.PERIODE) AS hist
-  FROM firsts f JOIN panel p ON p.DRS = f.DRS AND p.PERIODE < f.first_month GROUP BY ALL HAVING count(*) >= 12),
+  SELECT r.DRS{rt}, r.hist FROM known r JOIN checked f ON f.DRS = r.DRS{match} WHERE f.problem IS NULL),
 rec AS (
   SELECT DRS{t}, CAST(0 AS BIGINT) AS h, CAST(NULL AS DATE) AS PERIODE, hist FROM start
   UNION ALL
   SELECT r.DRS{rt}, r.h + 1, f.PERIODE, list_append(r.hist, greatest(0.0, {rule_sql(terms)}))
   FROM rec r JOIN {future} f ON f.DRS = r.DRS{match} AND f.h = r.h + 1),
-made AS (SELECT DRS{t}, PERIODE, h, hist[-1] AS prediction FROM rec WHERE h > 0)"""
+made AS (SELECT DRS{t}, PERIODE, h, hist[-1] AS prediction FROM rec WHERE h > 0),
+answered AS (
+  SELECT f.DRS{ft}, f.PERIODE, f.h, m.prediction, r.problem
+  FROM {future} f JOIN checked r ON f.DRS = r.DRS{match}
+  LEFT JOIN made m ON m.DRS = f.DRS{f" AND m.{tag} = f.{tag}" if tag else ""} AND m.h = f.h)"""

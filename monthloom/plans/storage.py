@@ -66,7 +66,7 @@ def stored_history(spark, d):
     return readers.load_history(spark, writers.save_table(panel, scratch_dir(spark, "history")), REGION)
 
 
-@query("S6", "DRS d:PERIODE r:prediction")
+@query("S6", "DRS d:PERIODE r:prediction problem")
 def stored_model(spark, d):
     """Save a fitted pipeline with features and history, load it, forecast with it."""
     panel = t.panel_once(spark, d)
@@ -75,7 +75,7 @@ def stored_model(spark, d):
         spark, scratch_dir(spark, "model"), learn.fit(frame, REGION, NUMERIC, *QUICK_ROBUST), NUMERIC, panel)
     stored = registry.load_model(spark, path)
     weather = futures.by_persistence(stored.history, REGION, futures.after_history(stored.history, REGION), 6)
-    return forecast.forecast_by_model(stored.history, weather, stored.model, REGION, 6, on_problem="skip")
+    return forecast.forecast_by_model(stored.history, weather, stored.model, REGION, on_problem="mark")
 
 
 @query("S7", "DRS PERIODE r:prediction",
@@ -195,7 +195,7 @@ def labelled_export(spark, d):
     return readers.read_csv(spark, path, schema)
 
 
-@query("T9", "DRS d:PERIODE r:prediction", "SELECT * FROM made",
+@query("T9", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
        ctes=AHEAD + ",\n" + CLIMATOLOGY + f""",
 future AS (SELECT a.DRS, a.PERIODE, a.h, {cols('c')} FROM ahead a
   LEFT JOIN clim c ON c.DRS = a.DRS AND c.month = month(a.PERIODE)),""" + recursion("future"))
@@ -205,4 +205,4 @@ def forecast_with_imported_weather(spark, d):
     months = futures.future_months(panel, REGION, futures.after_history(panel, REGION), 12)
     template = writers.weather_export(futures.from_climatology(panel, months, REGION), REGION)
     path = writers.save_csv(template, scratch_dir(spark, "template"), "\t")
-    return forecast.forecast_by_rule(panel, readers.read_weather_import(spark, path, REGION), RULE, REGION, on_problem="skip")
+    return forecast.forecast_by_rule(panel, readers.read_weather_import(spark, path, REGION), RULE, REGION, on_problem="mark")

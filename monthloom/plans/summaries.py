@@ -10,9 +10,10 @@ from monthloom.operators import evaluate, joins, windows
 from monthloom.operators.forecast import national
 from monthloom.operators.validate import duplicate_months
 from monthloom.plans import tables as t
-from monthloom.plans.combining import CENTROIDS, FITTED, _centroids, _fitted, fitted_rows
+from monthloom.plans.combining import CENTROIDS, FITTED, _centroids, _fitted
+from monthloom.plans.forecasting import _BACKTEST, _CLIM_FUTURE, backtests, forecast_all_regions
 from monthloom.plans.registry import query
-from monthloom.plans.sql import CLIMATOLOGY, W, WEDGE
+from monthloom.plans.sql import CLIMATOLOGY, W, WEDGE, recursion
 from monthloom.session import written
 from monthloom.spec import DISTRICT, NATION, REGION
 
@@ -47,10 +48,11 @@ def national_series(spark, d):
     return agg.total_by_month(t.panel(spark, d), "PERIODE", "cas", "cas")
 
 
-@query("A5", "d:PERIODE r:National_Prediction",
-       "SELECT PERIODE, sum(prediction) AS National_Prediction FROM fitted GROUP BY PERIODE", ctes=FITTED)
+@query("A5", "d:PERIODE r:National_Prediction i:unanswered",
+       "SELECT PERIODE, sum(prediction) AS National_Prediction, count(*) - count(prediction) AS unanswered "
+       "FROM answered GROUP BY PERIODE", ctes=_CLIM_FUTURE + "," + recursion("future"))
 def national_predictions(spark, d):
-    return national(_fitted(spark, d))
+    return national(forecast_all_regions(spark, d))
 
 
 @query("A6", "i:year r:total r:previous_total r:delta_percent",
@@ -81,26 +83,20 @@ def period_bounds(spark, d):
     return agg.time_range(t.panel(spark, d), REGION)
 
 
-_YEARS = list(range(1995, 2002))
-
-
-@query("A10", "DRS|" + "|".join(f"r:{y}" for y in _YEARS),
-       "SELECT DRS, " + ", ".join(f'sum(CASE WHEN year(PERIODE) = {y} THEN cas END) AS "{y}"' for y in _YEARS)
-       + " FROM panel GROUP BY DRS")
+@query("A10", "DRS i:year r:total i:place",
+       """SELECT DRS, year, total, place FROM years JOIN (SELECT DRS, row_number() OVER (ORDER BY max(CASE WHEN year = (SELECT
+            max(year) FROM years) THEN total END) DESC NULLS LAST, DRS) AS place FROM years GROUP BY DRS) USING (DRS)""",
+       ctes="years AS (SELECT DRS, year(PERIODE) AS year, sum(cas) AS total FROM panel GROUP BY ALL)")
 def totals_by_year(spark, d):
-    return agg.pivot_year_totals(t.panel(spark, d), REGION)
-
+    return agg.year_totals_by_series(t.panel_once(spark, d), REGION)
 
-_NATIONS = [f"DRS NATION_{i}" for i in range(25)]
 
-
-@query("A11", "d:PERIODE|" + "|".join(f"r:{n}" for n in _NATIONS) + "|r:Total",
-       "SELECT *, " + " + ".join(f'coalesce("{n}", 0)' for n in _NATIONS) + " AS Total FROM (SELECT PERIODE, "
-       + ", ".join(f"round_even(avg(CASE WHEN DRS = '{n}' THEN cas / 2 END), 0) AS \"{n}\"" for n in _NATIONS)
-       + " FROM panel GROUP BY PERIODE)")
+@query("A11", "d:PERIODE DRS r:mean r:total",
+       "SELECT PERIODE, DRS, m AS mean, sum(m) OVER (PARTITION BY PERIODE) AS total FROM "
+       "(SELECT PERIODE, DRS, round_even(avg(cas / 2), 0) AS m FROM panel GROUP BY ALL)")
 def means_by_region(spark, d):
-    halves = t.panel(spark, d).withColumn("v", F.col("cas") / 2)
-    return agg.pivot_series_means(halves, "PERIODE", "DRS", "v")
+    halves = t.panel_once(spark, d).withColumn("v", F.col("cas") / 2)
+    return agg.means_by_month_and_series(halves, "PERIODE", "DRS", "v")
 
 
 @query("A12", "DRS i:month r:share",
@@ -157,23 +153,26 @@ def metrics_with_floor(spark, d):
     return evaluate.floored_metrics(_pairs(spark, d), by=("DRS",))
 
 
-@query("A18", "DRS r:observed_total r:predicted_total r:gap_percent r:mae r:rmse r:mape r:r2 r:bias",
-       f"SELECT DRS, sum(observe) AS observed_total, sum(prevu) AS predicted_total, (sum(prevu) - sum(observe)) / "
-       f"sum(observe) * 100 AS gap_percent, {_BACK} FROM pairs GROUP BY DRS", ctes=PAIRS)
+@query("A18", "DRS r:observed_total r:predicted_total r:gap_percent r:mae r:rmse r:mape r:r2 r:bias i:unanswered",
+       f"SELECT DRS, observed_total, predicted_total, gap_percent, mae, rmse, mape, r2, bias, unanswered FROM "
+       "(SELECT DRS, count(*) - count(prevu) AS unanswered FROM back GROUP BY DRS) LEFT JOIN "
+       "(SELECT DRS, sum(observe) AS observed_total, sum(prevu) AS predicted_total, (sum(prevu) - sum(observe)) / "
+       f"sum(observe) * 100 AS gap_percent, {_BACK} FROM back WHERE prevu IS NOT NULL GROUP BY DRS) USING (DRS)",
+       ctes=_BACKTEST)
 def metrics_of_every_region(spark, d):
-    return evaluate.metrics_by_series(_pairs(spark, d), REGION)
+    back = written(backtests(spark, d), "backtest")
+    unanswered = back.groupBy("DRS").agg(F.sum(F.col("prevu").isNull().cast("long")).alias("unanswered"))
+    return unanswered.join(evaluate.metrics_by_series(back.filter("prevu IS NOT NULL"), REGION), "DRS", "left")
 
 
-@query("A19", "DRS", "SELECT DISTINCT DRS FROM surv")
+@query("A19", "DRS i:position", "SELECT DRS, row_number() OVER (ORDER BY DRS) AS position FROM (SELECT DISTINCT DRS FROM surv)")
 def region_list(spark, d):
-    return agg.key_list(t.surveillance(spark, d), "DRS")
+    return windows.with_positions(agg.key_list(t.surveillance(spark, d), "DRS"), "DRS")
 
 
-@query("A20", "DRS json",
-       """SELECT DRS, '{"' || DRS || '":["' || string_agg(DISTRICT, '","' ORDER BY DISTRICT) || '"]}' AS json
-          FROM (SELECT DISTINCT DRS, DISTRICT FROM surv) GROUP BY DRS""")
+@query("A20", "DRS DISTRICT", "SELECT DISTINCT DRS, DISTRICT FROM surv")
 def region_hierarchy(spark, d):
-    return agg.hierarchy(t.surveillance(spark, d), "DRS", "DISTRICT")
+    return agg.hierarchy_pairs(t.surveillance(spark, d), "DRS", "DISTRICT")
 
 
 @query("A21", "DRS d:PERIODE i:n", "SELECT DRS, PERIODE, count(*) AS n FROM merged GROUP BY ALL HAVING count(*) > 1")
@@ -181,18 +180,32 @@ def repeated_months(spark, d):
     return duplicate_months(t.merged(spark, d), REGION)
 
 
+_MADE = _CLIM_FUTURE + "," + recursion("future") + """,
+fitted AS (SELECT DRS, PERIODE, prediction FROM answered WHERE prediction IS NOT NULL)"""
+
+
+def _made(spark, d):
+    """The answered part of the recursive forecast, written as several figures read it."""
+    return written(forecast_all_regions(spark, d).filter("problem IS NULL").select("DRS", "PERIODE", "prediction"), "forecast")
+
+
 @query("A23", "r:total i:months d:peak_period r:peak_total top_series r:top_total r:year_before r:change_percent",
        """SELECT (SELECT sum(prediction) FROM fitted) AS total, (SELECT count(DISTINCT PERIODE) FROM fitted) AS months,
             m.PERIODE AS peak_period, m.v AS peak_total, s.DRS AS top_series, s.v AS top_total, b.v AS year_before,
             CASE WHEN b.v > 0 THEN ((SELECT sum(prediction) FROM fitted) - b.v) / b.v * 100 END AS change_percent
           FROM (SELECT PERIODE, sum(prediction) AS v FROM fitted GROUP BY ALL ORDER BY v DESC, PERIODE LIMIT 1) m,
                (SELECT DRS, sum(prediction) AS v FROM fitted GROUP BY ALL ORDER BY v DESC, DRS LIMIT 1) s,
-               (SELECT sum(cas) AS v FROM panel WHERE PERIODE IN
-                  (SELECT CAST(PERIODE - INTERVAL 12 MONTH AS DATE) FROM fitted)) b""", ctes=FITTED)
+               (SELECT sum(cas) AS v FROM panel WHERE DRS IN (SELECT DRS FROM fitted) AND PERIODE IN
+                  (SELECT CAST(PERIODE - INTERVAL 12 MONTH AS DATE) FROM fitted)) b""", ctes=_MADE)
 def forecast_figures(spark, d):
-    panel = t.panel_once(spark, d)
-    made = written(fitted_rows(panel).select("DRS", "PERIODE", "prediction"), "forecast")
-    return agg.forecast_summary(made, panel, REGION)
+    return agg.forecast_summary(_made(spark, d), t.panel_once(spark, d), REGION)
+
+
+@query("A23_by_region", "DRS r:total i:position",
+       "SELECT DRS, total, row_number() OVER (ORDER BY total, DRS) AS position FROM "
+       "(SELECT DRS, sum(prediction) AS total FROM fitted GROUP BY DRS)", ctes=_MADE)
+def forecast_totals_ascending(spark, d):
+    return windows.with_positions(agg.totals_ascending(_made(spark, d), "DRS", "prediction"), "total", "DRS")
 
 
 @query("A25", "i:bin i:n",

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from monthloom.operators import aggregate, evaluate, features, futures, joins, scenarios, split, windows
+from monthloom.operators import aggregate, evaluate, features, futures, joins, learn, scenarios, split, windows
 from monthloom.spec import PanelSpec
 from tests.panels import SPEC, W, months, pandas_features, random_panel, to_spark
 
@@ -204,3 +204,25 @@ def test_pivot_of_too_many_keys_is_an_error(spark):
     df = spark.range(30).select(F.col("id").alias("k"))
     with pytest.raises(ValueError, match="more than 10"):
         aggregate.distinct_values(df, F.col("k"), 10)
+
+
+def test_long_forms_take_new_years_regions_and_values(spark):
+    rows = [(f"R{k}", dt.date(y, m, 1), float(k * y + m)) for k in range(30) for y in (1999, 2010, 2055) for m in (1, 2)]
+    panel = spark.createDataFrame(rows, "DRS string, PERIODE date, cas double")
+    totals = aggregate.year_totals_by_series(panel, SPEC).collect()
+    assert len(totals) == 90 and {r["year"] for r in totals} == {1999, 2010, 2055}
+    assert [r["DRS"] for r in sorted(totals, key=lambda r: r["place"])][::3] == [f"R{k}" for k in range(29, -1, -1)]
+    means = aggregate.means_by_month_and_series(panel, "PERIODE", "DRS", "cas").collect()
+    assert len(means) == 180
+    january = [r for r in means if r["PERIODE"] == dt.date(1999, 1, 1)]
+    assert {r["total"] for r in january} == {sum(r["mean"] for r in january)}
+    values = spark.createDataFrame([(k, f"v{k % 7}" if k else None) for k in range(50)], "id int, kind string")
+    assert {r["indicator"] for r in learn.set_indicators(values, "kind", "is_").collect()} == {f"is_v{k}" for k in range(7)}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_positions_are_the_total_order(spark, parts):
+    df = spark.createDataFrame([(k * 37 % 101, k) for k in range(101)], "a int, b int").repartition(parts)
+    placed = windows.with_positions(df, F.col("a").desc()).collect()
+    assert sorted((r["position"], r["a"]) for r in placed) == [(k + 1, 100 - k) for k in range(101)]
+    assert windows.with_positions(df.limit(0), "a").count() == 0

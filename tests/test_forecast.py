@@ -94,13 +94,16 @@ def test_bad_requests_are_named(spark, change, message):
     history, ahead = panel_and_future(spark, change)
     with pytest.raises(Exception, match=message):
         forecast.forecast_by_rule(history, ahead, RULE, SPEC).collect()
-    kept = forecast.forecast_by_rule(history, ahead, RULE, SPEC, on_problem="skip")
-    assert kept.select("DRS").distinct().count() == 1
+    made = forecast.forecast_by_rule(history, ahead, RULE, SPEC, on_problem="mark").collect()
+    assert len(made) == ahead.count()  # every request is answered
+    marked = {r["DRS"]: r["problem"] for r in made if r["problem"]}
+    assert len(marked) == 1 and message in next(iter(marked.values()))
+    assert all((r["prediction"] is None) == (r["DRS"] in marked) for r in made)
     found = forecast.problems(forecast.prepare(history, ahead, SPEC), SPEC).collect()
     assert len(found) == 1 and message in found[0]["problem"]
 
 
-def test_null_target_inside_the_reach_is_an_error_or_skipped(spark):
+def test_null_target_inside_the_reach_is_an_error_or_marked(spark):
     def change(p, a):
         p = p.copy()
         p.loc[(p["DRS"] == "DRS A") & (p["PERIODE"] == dt.date(2016, 11, 1)), "cas"] = None
@@ -109,8 +112,10 @@ def test_null_target_inside_the_reach_is_an_error_or_skipped(spark):
     history, ahead = panel_and_future(spark, change)
     with pytest.raises(Exception, match="missing feature values"):
         forecast.forecast_by_rule(history, ahead, RULE, SPEC).collect()
-    kept = forecast.forecast_by_rule(history, ahead, RULE, SPEC, on_problem="skip")
-    assert {r["DRS"] for r in kept.collect()} == {"DRS B"}
+    made = forecast.forecast_by_rule(history, ahead, RULE, SPEC, on_problem="mark").collect()
+    assert len(made) == ahead.count()
+    assert {r["DRS"] for r in made if r["problem"] == "missing feature values" and r["prediction"] is None} == {"DRS A"}
+    assert {r["DRS"] for r in made if r["problem"] is None and r["prediction"] is not None} == {"DRS B"}
 
 
 def test_forecast_plan_has_no_python_and_no_product(spark):
@@ -152,14 +157,18 @@ def test_backtest_sees_nothing_after_the_cutoff(spark):
     assert {(r["DRS"], r["PERIODE"]): r["prevu"] for r in again} == before
 
 
-def test_backtest_with_a_gap_is_reported_or_skipped(spark):
+def test_backtest_with_a_gap_is_reported_or_marked(spark):
     pdf = long_series(random_panel(11, series=2, n=36, gap=0.0))
     pdf = pdf[(pdf["DRS"] == "DRS B") | (pdf["PERIODE"] != dt.date(2016, 7, 1))]
     panel = to_spark(spark, pdf)
     with pytest.raises(Exception, match="missing months"):
         forecast.backtest(panel, SPEC, ["2016-06-01"], 12, rule=RULE).collect()
-    kept = forecast.backtest(panel, SPEC, ["2016-06-01"], 12, rule=RULE, on_problem="skip")
-    assert {r["DRS"] for r in kept.collect()} == {"DRS B"}
+    made = forecast.backtest(panel, SPEC, ["2016-06-01"], 12, rule=RULE, on_problem="mark").collect()
+    assert len(made) == 24  # the month without a row is asked for as well
+    assert {r["problem"] for r in made if r["DRS"] == "DRS A"} == {"missing months"}
+    assert all((r["prevu"] is None) == (r["DRS"] == "DRS A") for r in made)
+    with pytest.raises(ValueError, match="skip"):
+        forecast.backtest(panel, SPEC, ["2016-06-01"], 12, rule=RULE, on_problem="skip")
 
 
 def test_one_shot_keeps_the_lags_of_the_last_row(spark):

@@ -188,7 +188,7 @@ def test_requests_of_unequal_length(spark, trained):
 def test_split_counts_match_the_node_count(spark, trained):
     _, frame, _, model = trained
     inner = sum((tree.numNodes - 1) // 2 for tree in model.stages[-1].trees)
-    assert sum(learn.split_counts(model.stages[-1]).values()) == inner
+    assert sum(r["n"] for r in learn.split_counts(spark, model.stages[-1]).collect()) == inner
     table = learn.importance_table(spark, model, frame)
     assert table.count() == 4 + 18 and learn.top_features(table, 20).count() == 20
     assert learn.family_importance(table).agg(F.sum("importance")).first()[0] == inner

@@ -89,7 +89,7 @@ def test_fixed_tables_as_lookups(spark):
 
 def test_hierarchy_is_bounded(spark):
     df = spark.range(50).select(F.lit("a").alias("u"), F.col("id").cast("string").alias("l"))
-    assert len(hierarchy(df, "u", "l").first()["members"]) == 50
+    assert len(hierarchy(df, "u", "l", 100).first()["members"]) == 50
     with pytest.raises(Exception, match="more than 10 members of a"):
         hierarchy(df, "u", "l", 10).collect()
 
