@@ -9,12 +9,12 @@
    their full sets.  The links are joined to components.
 3. Buckets that still hold several components may hide links between members.
    The signatures of their members are compared inside bounded tasks, members
-   outside the bucket's main component against all; only the members that a
-   component may be linked to are named, and what comes out is which
-   representative has to meet which part of which component.
+   outside the bucket's main component against all.  What comes out is no pair,
+   but which representative has to meet which part of the main component, and
+   which have to meet in its pool.
 4. These meet on full sets, again inside bounded tasks; only links come out.
-   Both sides are cut into parts, so no bucket or component, however large,
-   lands in one task, and none is capped.
+   Both sides are cut into parts, so no bucket, component or pool, however
+   large, lands in one task, and none is capped.
 
 Defined results: a null, empty or blank text has the empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle; documents
@@ -148,33 +148,44 @@ def _apart(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
 
 
+_POOL = -1  # part that stands for the members outside a bucket's main component
+
+
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of (queries, members) of a bucket to rows (node, component, part) that have to meet."""
+    """Units of (queries, members) of a bucket to rows (node, root, part): who has to meet what.
+
+    A query like a member of the main component meets that part of it.  Two
+    members outside that are alike both go to the pool of the main component,
+    where they meet, so a bucket gives no more rows than it has members and parts.
+    """
     for group in whole_groups(batches, ["bucket", "q_part", "m_part"]):
-        columns = {c: group.column(c).to_numpy() for c in ("node", "root", "size", "part", "bits0", "bits1")}
+        columns = {c: group.column(c).to_numpy() for c in ("node", "root", "main", "part", "bits0", "bits1")}
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         bits = np.stack([columns["bits0"], columns["bits1"]], axis=1)
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        in_main = columns["root"][m] == columns["main"][m]
         found = set()
         for at in range(0, len(q), 256):
             some = q[at:at + 256]
             apart = np.bitwise_count(bits[some][:, None] ^ bits[m][None]).sum(axis=2)
             near = (apart <= BITS_APART) & (columns["root"][some][:, None] != columns["root"][m][None])
-            for i, j in zip(*np.nonzero(near)):
-                i, j = some[i], m[j]
-                # the one of the smaller component asks the other's component
-                if (columns["size"][i], columns["root"][i]) > (columns["size"][j], columns["root"][j]):
-                    i, j = j, i
-                found.add((int(columns["node"][i]), int(columns["root"][j]), int(columns["part"][j])))
+            for part in np.unique(columns["part"][m][in_main & near.any(axis=0)]).tolist():
+                hit = near[:, in_main & (columns["part"][m] == part)].any(axis=1)
+                found.update((node, part) for node in columns["node"][some][hit].tolist())
+            others = near & ~in_main
+            pool = [columns["node"][some][others.any(axis=1)], columns["node"][m][others.any(axis=0)]]
+            found.update((node, _POOL) for node in np.concatenate(pool).tolist())
         if found:
+            nodes, parts = zip(*sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=pa.int64()) for c in zip(*sorted(found))], names=["node", "root", "part"])
+                [pa.array(c, type=pa.int64()) for c in (nodes, [int(columns["main"][0])] * len(nodes), parts)],
+                names=["node", "root", "part"])
 
 
 def _meet(similarity: int):
-    """Queries against the members of one part of a component, on full sets."""
+    """Queries against the members of one part of a component, or of a pool, on full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["root", "part", "q_part"]):
+        for group in whole_groups(batches, ["root", "part", "q_part", "m_part"]):
             asks = group.column("asks").to_numpy(zero_copy_only=False)
             nodes = group.column("node").to_numpy()
             sets = [_unpacked(c) for c in group.column("codes").to_pylist()]
@@ -192,7 +203,7 @@ def _meet(similarity: int):
                 at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                 common = np.bincount(owner[at], minlength=len(m))
                 links += [(int(nodes[i]), int(nodes[m[j]])) for j in np.flatnonzero(
-                    _linked(common, len(sets[i]), sizes, similarity))]
+                    _linked(common, len(sets[i]), sizes, similarity)) if nodes[i] != nodes[m[j]]]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*links)], names=["u", "v"])
     return run
@@ -211,11 +222,16 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _bucket_units(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _in_parts(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, part): every representative in its part of its component."""
+    nodes = _with_roots(classes.select("node"), roots)
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    return nodes.join(sizes, "root").select("node", "root", _dealt(F.col("node"), _parts(F.col("size"), PART)).alias("part"))
+
+
+def _bucket_units(members: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components: queries and members, in bounded units."""
-    whole = _with_roots(classes.select("node", "bits0", "bits1"), roots)
-    sizes = whole.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    whole = whole.join(sizes, "root").withColumn("part", _dealt(F.col("node"), _parts(F.col("size"), PART)))
+    whole = classes.select("node", "bits0", "bits1").join(parts, "node")
     rows = written(members.select("bucket", "node").join(whole, "node"), "members")
     counts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("bucket").agg(
@@ -223,35 +239,42 @@ def _bucket_units(members: DataFrame, classes: DataFrame, roots: DataFrame) -> D
     ).filter("kinds > 1").select("bucket", F.col("main.root").alias("main"), _parts(F.col("n"), PART).alias("m_parts"),
                                  _parts(F.col("n") - F.col("main.n"), PART).alias("q_parts"))
     rows = rows.join(mixed, "bucket")
-    own = ["node", "root", "size", "part", "bits0", "bits1"]
+    own = ["node", "root", "main", "part", "bits0", "bits1"]
     asking = rows.filter("root <> main").select(
         "bucket", _dealt(F.col("node"), F.col("q_parts")).alias("q_part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_parts") - 1)).alias("m_part"), F.lit(True).alias("asks"), *own)
+        _each("m_parts").alias("m_part"), F.lit(True).alias("asks"), *own)
     asked = rows.select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("q_part"),
+        "bucket", _each("q_parts").alias("q_part"),
         _dealt(F.col("node"), F.col("m_parts")).alias("m_part"), F.lit(False).alias("asks"), *own)
     return asking.union(asked)
 
 
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
 def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _hidden_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
     """Links between members of one bucket and different components."""
-    units = _grouped(_bucket_units(members, classes, roots), ["bucket", "q_part", "m_part"])
+    parts = written(_in_parts(classes, roots), "parts")
+    units = _grouped(_bucket_units(members, classes, parts), ["bucket", "q_part", "m_part"])
     asks = written(units.mapInArrow(_plausible, "node long, root long, part long").distinct(), "asks")
-    targets = asks.groupBy("root", "part").agg(_parts(F.count(F.lit(1)), QUERY_PART).alias("q_parts"))
-    nodes = _with_roots(classes.select("node"), roots)
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    nodes = nodes.join(sizes, "root").withColumn("part", _dealt(F.col("node"), _parts(F.col("size"), PART)))
-    asked = nodes.join(targets, ["root", "part"]).select(
-        "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("q_part"),
+    pooled = F.col("part") == _POOL
+    targets = asks.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).select(
+        "root", "part", _parts(F.col("n"), QUERY_PART).alias("q_parts"),
+        F.when(pooled, _parts(F.col("n"), PART)).otherwise(F.lit(1)).cast("long").alias("m_parts"))
+    members = parts.union(asks.filter(pooled).select("node", "root", "part"))
+    asked = members.join(targets, ["root", "part"]).select(
+        "root", "part", _each("q_parts").alias("q_part"), _dealt(F.col("node"), F.col("m_parts")).alias("m_part"),
         F.lit(False).alias("asks"), "node")
     asking = asks.join(targets, ["root", "part"]).select(
-        "root", "part", _dealt(F.col("node"), F.col("q_parts")).alias("q_part"), F.lit(True).alias("asks"), "node")
+        "root", "part", _dealt(F.col("node"), F.col("q_parts")).alias("q_part"), _each("m_parts").alias("m_part"),
+        F.lit(True).alias("asks"), "node")
     meeting = asked.union(asking).join(sets.select("node", "codes"), "node")
-    return _grouped(meeting, ["root", "part", "q_part"]).mapInArrow(_meet(similarity), "u long, v long")
+    return _grouped(meeting, ["root", "part", "q_part", "m_part"]).mapInArrow(_meet(similarity), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
