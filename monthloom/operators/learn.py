@@ -16,7 +16,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +112,16 @@ def _robust(params: Mapping) -> Estimator:
     return LinearRegression(featuresCol="features", labelCol="label", loss="huber", maxIter=50, tol=1e-4, **params)
 
 
+def _line(params: Mapping) -> Estimator:
+    """Least squares on one slot of the feature vector, solved exactly."""
+    rest = {k: v for k, v in params.items() if k != "slot"}
+    return Pipeline(stages=[
+        VectorSlicer(inputCol="features", outputCol="chosen", indices=[params.get("slot", 0)]),
+        LinearRegression(featuresCol="chosen", labelCol="label", solver="normal", **rest),
+    ])
+
+
+LINE = Learner("line", _line, {"slot": [0], "fitIntercept": [True, False]})
 FOREST = Learner("forest", _forest, {
     "numTrees": [20, 50, 100, 200],
     "maxDepth": [5, 10, 15],

@@ -111,7 +111,8 @@ PARTIAL_MEAN_3 = "list_sum(list_slice(r.hist, -3, -1)) / least(3, len(r.hist))"
 NO_WEATHER = " OR ".join(f"f.{w} IS NULL" for w in W)
 
 
-def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3, partial: bool = False, expect: str = "") -> str:
+def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3, partial: bool = False, expect: str = "",
+              line: str = "") -> str:
     """CTEs from ``start`` to ``answered`` from ``future`` (DRS, [tag], PERIODE, h, measures).
 
     ``checked`` names what is wrong with a request, ``made`` recurses over the
@@ -119,6 +120,7 @@ def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3, partial: bool
     prediction, problem).  State is the list of targets before the first month.
     ``partial`` needs no year of history, but the rule's longest lag does.
     ``expect`` is a column of ``future``: how many months there should be.
+    ``line`` is a CTE with one row (a, b); the step is then a + b * last value.
     """
     t = f", {tag}" if tag else ""
     ft = f", f.{tag}" if tag else ""
@@ -131,6 +133,7 @@ def recursion(future: str, tag: str = "", mean: str = FULL_MEAN_3, partial: bool
     }
     short = ("WHEN k.n < 12 THEN 'missing feature values'" if partial else
              "WHEN k.n < 12 THEN 'at least 12 months of history are required, found ' || k.n")
+    value, beside = (f"{line}.a + {line}.b * r.hist[-1]", f", {line}") if line else (rule_sql(terms), "")
     wanted = f" WHEN r.n <> r.{expect} THEN 'missing months'" if expect else ""
     return f"""
 requested AS (
@@ -151,8 +154,8 @@ start AS (
 rec AS (
   SELECT DRS{t}, CAST(0 AS BIGINT) AS h, CAST(NULL AS DATE) AS PERIODE, hist FROM start
   UNION ALL
-  SELECT r.DRS{rt}, r.h + 1, f.PERIODE, list_append(r.hist, greatest(0.0, {rule_sql(terms)}))
-  FROM rec r JOIN {future} f ON f.DRS = r.DRS{match} AND f.h = r.h + 1),
+  SELECT r.DRS{rt}, r.h + 1, f.PERIODE, list_append(r.hist, greatest(0.0, {value}))
+  FROM rec r JOIN {future} f ON f.DRS = r.DRS{match} AND f.h = r.h + 1{beside}),
 made AS (SELECT DRS{t}, PERIODE, h, hist[-1] AS prediction FROM rec WHERE h > 0),
 answered AS (
   SELECT f.DRS{ft}, f.PERIODE, f.h, m.prediction, r.problem

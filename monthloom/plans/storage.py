@@ -66,7 +66,7 @@ def stored_history(spark, d):
     return readers.load_history(spark, writers.save_table(panel, scratch_dir(spark, "history")), REGION)
 
 
-@query("S6", "DRS d:PERIODE r:prediction problem")
+@query("S6_robust", "DRS d:PERIODE r:prediction problem")
 def stored_model(spark, d):
     """Save a fitted pipeline with features and history, load it, forecast with it."""
     panel = t.panel_once(spark, d)
