@@ -75,11 +75,19 @@ def split_month_year(c: Column | str) -> tuple[Column, Column]:
 
 
 def parse_french_month(c: Column | str) -> Column:
-    """``Janvier 2021`` to a month start without any text round trip."""
+    """``Janvier 2021`` to a month start without any text round trip; null when it does not parse."""
     name, year = split_month_year(c)
     return F.make_date(year, month_of_french_name(name), F.lit(1))
 
 
+def or_fail(parsed: Column, c: Column | str, what: str) -> Column:
+    """The parsed value; a text that is there but did not parse fails the job and is named."""
+    text = _col(c)
+    unreadable = text.isNotNull() & parsed.isNull()
+    failed = F.raise_error(F.concat(F.lit(f"unreadable {what}: "), text.cast("string")))
+    return F.when(unreadable, failed.cast("void")).otherwise(parsed)
+
+
 def month_key(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyy-MM")
 

@@ -11,7 +11,7 @@ from monthloom.functions import calendar as cal
 
 
 def with_parsed_french_months(df: DataFrame, column: str = "PERIODE") -> DataFrame:
-    return df.withColumn(column, cal.parse_french_month(column))
+    return df.withColumn(column, cal.or_fail(cal.parse_french_month(column), column, "month"))
 
 
 def sort_by_french_month(df: DataFrame, column: str = "PERIODE") -> DataFrame:

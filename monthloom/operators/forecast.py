@@ -77,7 +77,10 @@ def prepare(
     joined = requests.join(known, list(spec.series), "left").withColumn(
         "past", F.transform(F.filter("_known", lambda r: r["t"] < start), lambda r: r["y"])
     )
-    out = with_problem(joined, spec, least, expect, F.col("_known").isNull()).drop("_known")
+    months = F.transform("_known", lambda r: r["t"])
+    again = F.when(F.size(F.array_distinct(months)) < F.size(months), F.lit("repeated months of history"))
+    out = with_problem(joined, spec, least, expect, F.col("_known").isNull())
+    out = out.withColumn("problem", F.coalesce("problem", again)).drop("_known")
     if depth is not None:
         out = out.withColumn(
             "past", F.slice("past", -F.least(F.lit(depth), F.greatest(F.size("past"), F.lit(1))), depth))
@@ -358,12 +361,15 @@ def prepare_backtest(history: DataFrame, spec: PanelSpec, cutoffs: list, horizon
         "past": F.transform(before, lambda r: r[spec.target]),
         "ahead": F.transform(after, lambda r: F.struct(r[spec.time], *[r[m] for m in spec.exog])),
         "seen": F.transform(after, lambda r: r[spec.target]),
+        "_again": F.size(F.array_distinct(F.transform("_all", lambda r: r[spec.time]))) < F.size("_all"),
     }).drop("_all")
     if last is None:
         last = history.agg(F.max(spec.time).alias("m")).scalar()
     expect = F.greatest(F.lit(0), F.least(F.lit(horizon), cal.months_apart(last, cut)))
     # a cut-off at or after the last month has nothing to compare with
     checked = with_problem(rows, spec, 12, expect).withColumn("_expect", expect).filter("_expect > 0")
+    again = F.when(F.col("_again"), F.lit("repeated months of history"))
+    checked = checked.withColumn("problem", F.coalesce("problem", again)).drop("_again")
     # every month asked for, with nulls where the series has none
     asked = F.transform(F.sequence(F.lit(1), F.col("_expect")), lambda k: F.add_months(cut, k))
     found = F.transform(asked, lambda m: F.try_element_at(F.filter(

@@ -30,10 +30,14 @@ def french_to_english(spark, d):
     return _french(spark, d).withColumn("english", cal.english_month_text("PERIODE"))
 
 
+def _english(text):
+    return cal.or_fail(cal.parse_english_month(text), text, "month")
+
+
 @query("P2", "DRS DISTRICT d:PERIODE d:from_english",
        "SELECT DRS, DISTRICT, PERIODE, PERIODE AS from_english FROM surv")
 def parse_months(spark, d):
-    df = _french(spark, d).withColumn("from_english", cal.parse_english_month(cal.english_month_text("PERIODE")))
+    df = _french(spark, d).withColumn("from_english", _english(cal.english_month_text("PERIODE")))
     return clean.with_parsed_french_months(df)
 
 

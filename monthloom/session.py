@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,13 +77,37 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder, for tables written between steps."""
-    return os.path.join(checkpoint_root(spark), "monthloom", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), "monthloom", f"{name}-{uuid.uuid4().hex}")
+    _OWNED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_OWNED: dict[str, list[str]] = {}  # paths by application
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written in it, so results have to be used or saved inside.
+
+    Without it the tables stay in the shared folder, as a lazy result may still read them.
+    """
+    before = len(_OWNED.setdefault(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        owned = _OWNED[spark.sparkContext.applicationId]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop
+        for name in owned[before:]:
+            path = hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del owned[before:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, for results that several jobs read.
 
-    Unlike a cache it neither occupies executors nor is lost with them.
+    Unlike a cache it neither occupies executors nor is lost with them.  An
+    enclosing ``scratch`` deletes it.
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)

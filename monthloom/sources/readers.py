@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,13 +57,21 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=header.count)
 
 
+def read_number(c: str) -> Column:
+    """A number with a decimal point or comma; empty is null, anything else fails the job and is named."""
+    text = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    plain = F.when(text.rlike(r"^[^.,]*,[^.,]*$"), F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
+    return cal.or_fail(plain.try_cast("double"), text, f"number in {c}")
+
+
 def read_weather_import(
     spark: SparkSession, path: str, spec: PanelSpec, only: str | None = None
 ) -> DataFrame:
     """Weather file of unknown delimiter with padded headers.
 
     A key column is optional; with ``only`` its other values are left out.
-    Months are set to their first day.
+    Months are set to their first day.  Cells that hold no number or month
+    fail the job.
     """
     sep = sniff_delimiter(spark, path)
     raw = trim_headers(spark.read.option("header", True).option("sep", sep).csv(path))
@@ -77,7 +85,7 @@ def read_weather_import(
     return raw.select(
         *order,
         cal.month_start(F.trim(F.col(spec.time)).cast("timestamp")).alias(spec.time),
-        *[F.trim(F.col(m)).try_cast("double").alias(m) for m in spec.exog],
+        *[read_number(m).alias(m) for m in spec.exog],
     ).orderBy(*([key] if keyed else []), spec.time)
 
 

@@ -209,3 +209,12 @@ def test_climatology_future_covers_the_horizon(spark):
     ahead = futures.future_months(panel, SPEC, futures.after_history(panel, SPEC), 18)
     made = futures.from_climatology(panel, ahead, SPEC)
     assert made.count() == 3 * 18 and made.filter("vent is null").count() == 0
+
+
+def test_repeated_months_of_history_are_a_problem(spark):
+    history, ahead = panel_and_future(spark)
+    twice = history.unionByName(history.filter("DRS = 'DRS A'").limit(1))
+    with pytest.raises(Exception, match="repeated months of history"):
+        forecast.forecast_by_rule(twice, ahead, RULE, SPEC).collect()
+    made = forecast.forecast_by_rule(twice, ahead, RULE, SPEC, on_problem="mark").collect()
+    assert {r["DRS"] for r in made if r["problem"]} == {"DRS A"}

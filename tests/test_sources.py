@@ -1,6 +1,7 @@
 """Files, model folders and the run registry."""
 
 import json
+import os
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -230,3 +231,29 @@ def test_line_as_rule_gives_the_same_predictions(spark, trained):
 def test_too_many_keys_for_indicators(spark):
     with pytest.raises(ValueError, match="leave the key out"):
         learn.require_few_keys(spark.range(500).withColumn("k", F.col("id").cast("string")), "k", 100)
+
+
+def test_unreadable_cells_are_named_and_commas_read(spark, tmp_path):
+    header = ";".join(["DRS", " PERIODE ", *W])
+    good = ";".join(["DRS A", "2025-01-01", *["12,5", "1.5", " 3 ", "", "7", "8", "9"]])
+    (tmp_path / "good.csv").write_text(f"{header}\n{good}\n", encoding="utf-8")
+    row = readers.read_weather_import(spark, str(tmp_path / "good.csv"), SPEC).first()
+    assert [row[w] for w in W] == [12.5, 1.5, 3.0, None, 7.0, 8.0, 9.0]
+    (tmp_path / "bad.csv").write_text(f"{header}\n{good.replace('12,5', 'warm')}\n", encoding="utf-8")
+    with pytest.raises(Exception, match="unreadable number in temperature_moyenne: warm"):
+        readers.read_weather_import(spark, str(tmp_path / "bad.csv"), SPEC).collect()
+    texts = spark.createDataFrame([("Janvier 2021",), (None,), ("Brumaire 2021",)], "PERIODE string")
+    assert clean.with_parsed_french_months(texts.limit(2)).count() == 2
+    with pytest.raises(Exception, match="unreadable month: Brumaire 2021"):
+        clean.with_parsed_french_months(texts).collect()
+
+
+def test_scratch_tables_go_with_their_owner(spark):
+    from monthloom.session import scratch, written
+
+    kept = written(spark.range(3).toDF("id"), "kept")
+    with scratch(spark):
+        inner = written(spark.range(5).toDF("id"), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 5
+    assert not os.path.exists(path) and kept.count() == 3
