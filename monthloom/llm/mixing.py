@@ -35,6 +35,7 @@ CELL_DOCUMENTS = 256
 TOLERANCE = 1e-9        # of the logarithm of tokens against target
 MOST_STEPS = 60
 CORRECTIONS = 3
+BROADCAST_ROWS = 500_000  # numbers of copies that are broadcast to the texts; beyond, both are joined by key
 _EXACT = "decimal(38,8)"
 
 
@@ -157,7 +158,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = W
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
-    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    numbered = written(numbered, "numbered", compression="zstd")
     copies = mix(numbered.select("row", "doc.text", "doc.source"), "row", weights, limit).select("row", "copies")
+    copies = written(copies, "copies")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     return numbered.join(copies, "row").filter("copies > 0").select(
         "doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")

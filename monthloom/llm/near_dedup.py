@@ -333,7 +333,8 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """The documents with one row of each group left, the one with the smallest id."""
-    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "numbered", compression="zstd")
     ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
     copies = near_duplicates(rows.select("doc.doc_id", "doc.text"), words, similarity).filter("not kept")
     copies = copies.select(F.col("doc_id").alias("copy_id")).distinct()

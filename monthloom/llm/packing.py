@@ -31,7 +31,7 @@ from monthloom.session import written
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 

@@ -86,10 +86,10 @@ def host_rates(rows: DataFrame) -> DataFrame:
     prior = prior.select("m", F.when(
         F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))
     ).otherwise(F.lit(FLAT_STRENGTH)).alias("strength"))
-    # one row of two numbers, attached to every host
-    return hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one").select(
-        "source", "n", "failed",
-        ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    shrunk = hosts.withColumn("_prior", prior.select(F.struct("m", "strength")).scalar())
+    strength = F.col("_prior.strength")
+    return shrunk.select("source", "n", "failed", (
+        (F.col("failed") + F.col("_prior.m") * strength) / (F.col("n") + strength)).alias("rate"))
 
 
 def judged(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -111,4 +111,4 @@ def quality_table(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns; the text is measured once."""
     whole = docs.select(F.struct("*").alias("doc"), "text", "source")
-    return judged(written(measured(whole).select("doc", "source", "_quality"), "quality")).filter("kept").select("doc.*")
+    return judged(written(measured(whole).select("doc", "source", "_quality"), "quality", compression="zstd")).filter("kept").select("doc.*")

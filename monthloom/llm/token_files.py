@@ -25,7 +25,7 @@ from monthloom.llm.arrow import slices
 from monthloom.llm.tokens import encoder
 from monthloom.session import written
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BROADCAST_PARTS = 100_000  # one small row per file part
 _FILE_ROW = "part int, place long, doc_id long, local_start long, n_tokens long, ids array<int>"
 _FILE_TYPES = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()),

@@ -1,27 +1,31 @@
 """Token ids of whole texts by the tokenizers library, with a bounded table of chunks.
 
-Both tokenizers used here cut a text at white space before any merge, so the
-ids of a text are the ids of its chunks put together.  A chunk is a word, with
-the space before it where the tokenizer keeps spaces.  The chunks of many texts
-are hashed at once, each distinct one is looked up or encoded, and the ids are
-gathered by array operations.  The table of a worker is emptied when it is
-full.  Texts with special tokens or unusual white space are encoded in one
-piece.  Chunks are told apart by 64-bit hashes.
+Both tokenizers used here cut a text between words, marks and white space
+before any merge, so the ids of a text are the ids of its chunks put together.
+A chunk is a word, with the space before it where the tokenizer keeps spaces,
+or what stands between words; cuts are made only where both sides are known
+letters, common marks or single line ends.  The chunks of many texts are hashed
+at once, each distinct one is looked up or encoded, and the ids are gathered by
+array operations.  The table of a worker is emptied when it is full.  Texts with
+special tokens or unusual white space are encoded in one piece.  Chunks are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 
 from monthloom.llm.shingles import SPACES, hashed_runs
 
-TABLE_LIMIT = 1_200_000  # chunks, near 120 bytes each
+TABLE_LIMIT = 1_200_000  # chunks, near 40 bytes each
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"([{_LETTERS}]*)([.,;:!?|]?)")
+_MARKS = ".,;:!?|"
+_ONE_PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
+_IS_MARK = np.isin(np.arange(256), [ord(c) for c in _MARKS])
+_IS_LETTER = np.isin(np.arange(256), [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
 # white space on which the libraries' notions differ, and other invisible characters
 _ODD = re.compile("[" + "".join(map(chr, (
     *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060,
@@ -37,31 +41,44 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
-_SPACE_LETTER = _BYTE_LETTERS[0x20]
 
 
 class _Table:
-    """Ids of known chunks, one after the other in an array."""
+    """Ids of known chunks, one after the other in an array; hashes in sorted order name their numbers."""
 
     def __init__(self, limit: int):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[int, int] = {}
+        self.size = 0
+        self._hashes, self._numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 14, dtype=np.int64)  # of chunk k at k + 1
 
-    def add(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        k = len(self.numbers)
-        end = int(self.ends[k])
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of sorted hashes, -1 for those that are missing."""
+        if not self.size:
+            return np.full(len(hashes), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self._hashes, hashes), self.size - 1)
+        return np.where(self._hashes[at] == hashes, self._numbers[at], -1).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new chunks, whose ids follow each other."""
+        begin, end = self.size, int(self.ends[self.size])
+        self.size += len(hashes)
         while end + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(keys) + 1 > len(self.ends):
+        while self.size + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[end:end + len(ids)] = ids
-        self.ends[k + 1:k + 1 + len(keys)] = end + np.cumsum(counts)
-        self.numbers.update(zip(keys, range(k, k + len(keys))))
+        self.ends[begin + 1:self.size + 1] = end + np.cumsum(counts)
+        numbers = np.arange(begin, self.size)
+        every = np.concatenate([self._hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self._hashes = every[order]
+        self._numbers = np.concatenate([self._numbers, numbers.astype(np.int32)])[order]
+        return numbers
 
 
 class Encoder:
@@ -75,9 +92,6 @@ class Encoder:
         self._model = self._whole.model
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._spaced = self._whole.normalizer is None  # spaces belong to the words that follow
-        self._opens = np.zeros(self._whole.get_vocab_size() + 1, dtype=bool)  # ids of tokens that begin with a space
-        if self._spaced:
-            self._opens[[k for t, k in self._whole.get_vocab().items() if t.startswith(_SPACE_LETTER)]] = True
         self._table = _Table(limit)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +114,24 @@ class Encoder:
     def _by_chunks(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b" ".join(coded) + b" ", dtype=np.uint8)
         ends = np.cumsum([len(c) + 1 for c in coded]) - 1  # the joining spaces
-        space = data == 0x20 if self._spaced else SPACES[data]
-        if self._spaced:  # a chunk begins at each text and at each space in a text
-            heads = space.copy()
+        white = SPACES[data]
+        heads, skipped = _cuts(data), white
+        if self._spaced:  # chunks begin at texts, at spaces in them, and around single line ends
+            lines = np.flatnonzero((data[1:-1] == 0x0A) & ~white[:-2] & ~white[2:]) + 1
+            heads[lines], heads[lines + 1] = True, True
+            heads |= data == 0x20
             heads[ends] = False
             heads[(ends - [len(c) for c in coded])[[len(c) > 0 for c in coded]]] = True
-            space = np.zeros(len(data), dtype=bool)
-            space[ends] = True
+            skipped = np.zeros(len(data), dtype=bool)
+            skipped[ends] = True
         else:
-            heads = ~space
-            heads[1:] &= space[:-1]
+            heads[1:] |= white[:-1]
+            heads[0] = True
+            heads &= ~white
         starts = np.flatnonzero(heads)
         if not len(starts):
             return np.zeros(0, dtype="<u4"), np.zeros(len(coded), dtype=np.int64)
-        keys, first, inverse = np.unique(hashed_runs(data, starts, space, not self._spaced),
+        keys, first, inverse = np.unique(hashed_runs(data, starts, skipped, not self._spaced),
                                          return_index=True, return_inverse=True)
         numbers = self._numbers(keys, first, data, starts, ends)
         begin, end = self._table.ends[numbers], self._table.ends[numbers + 1]
@@ -125,59 +143,43 @@ class Encoder:
 
     def _numbers(self, keys, first, data, starts, ends) -> np.ndarray:
         """Numbers of the chunks in the table; the missing ones are encoded."""
-        names = keys.tolist()
-        numbers = np.fromiter(map(self._table.numbers.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        numbers = self._table.find(keys)
         missing = np.flatnonzero(numbers < 0)
         if not len(missing):
             return numbers
-        if len(self._table.numbers) + len(missing) > self._table.limit:
+        if self._table.size + len(missing) > self._table.limit:
             self._table.clear()
-            numbers[:], missing = -1, np.arange(len(names))
+            missing = np.arange(len(keys))
         begins = starts[first[missing]]
         stops = np.append(starts, len(data))[first[missing] + 1]
         if self._spaced:
             stops = np.minimum(stops, ends[np.searchsorted(ends, begins)])  # without spaces that join texts
-            # such chunks begin with the only space in them, so those of a joined text are told apart
-            joined = np.flatnonzero((data[begins] == 0x20) & (stops - begins > 1))
-            for at in range(0, len(joined), 2000):
-                some = joined[at:at + 2000]
-                ids = self._direct(_bytes_of(data, begins[some], stops[some]).decode())
-                opens = np.flatnonzero(self._opens[ids])
-                if len(opens) == len(some):
-                    self._add(numbers, keys, missing[some], ids, np.diff(opens, append=len(ids)))
-            left = np.flatnonzero(numbers[missing] < 0)
-            encode = self._direct
-        else:
-            left, encode = np.arange(len(missing)), self._plain_chunk
-        if len(left):
-            raw = data.tobytes()
-            found = [encode(raw[a:b].decode() if self._spaced else raw[a:b].split()[0].decode())
-                     for a, b in zip(begins[left].tolist(), stops[left].tolist())]
-            self._add(numbers, keys, missing[left], np.concatenate(found), np.array([len(f) for f in found]))
+        raw = data.tobytes()
+        found = [self._chunk((raw[a:b] if self._spaced else raw[a:b].split()[0]).decode())
+                 for a, b in zip(begins.tolist(), stops.tolist())]
+        counts = np.array([len(f) for f in found])
+        numbers[missing] = self._table.add(keys[missing], np.array([i for f in found for i in f], dtype="<u4"), counts)
         return numbers
 
-    def _add(self, numbers: np.ndarray, keys: np.ndarray, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        begin = len(self._table.numbers)
-        self._table.add(keys[places].tolist(), ids, counts)
-        numbers[places] = np.arange(begin, begin + len(places))
-
-    def _plain_chunk(self, word: str) -> np.ndarray:
-        """Letters with one mark go straight to the model, anything else through the whole chain."""
-        match = _SIMPLE.fullmatch(word)
-        if not match:
-            return self._direct(word)
-        pieces = [self._as_letters(match[1].lower()), match[2]]
-        return np.array([t.id for p in pieces if p for t in self._model.tokenize(p)], dtype="<u4")
-
-    @staticmethod
-    def _as_letters(text: str) -> str:
-        return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-
-
-def _bytes_of(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> bytes:
-    """The bytes of several ranges, one after the other."""
-    sizes = stops - begins
-    return data[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+    def _chunk(self, chunk: str) -> list[int]:
+        """A single piece goes straight to the model, anything else through the whole chain."""
+        if not _ONE_PIECE.fullmatch(chunk):
+            return self._whole.encode(chunk, add_special_tokens=False).ids
+        piece = chunk if self._spaced else chunk.lower()
+        if not (piece.isascii() and piece.isalpha()):
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self._model.tokenize(piece)]
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a letter follows a mark, or a mark a letter; letters are those of Latin-1 in UTF-8."""
+    letter, mark = _IS_LETTER[data], _IS_MARK[data]
+    pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # but not the signs of times and division
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    cuts = np.zeros(len(data), dtype=bool)
+    cuts[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    return cuts
 
 
 _ENCODERS: dict[str, Encoder] = {}
