@@ -103,12 +103,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del owned[before:]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder, for results that several jobs read.
 
     Unlike a cache it neither occupies executors nor is lost with them.  An
     enclosing ``scratch`` deletes it.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
