@@ -43,43 +43,6 @@ MONTHS_SHORT_FR = (
     "Juil", "Août", "Sep", "Oct", "Nov", "Déc",
 )
 
-# Region centroid (latitude, longitude).
-REGION_CENTROIDS = {
-    "DRS Dakar": (14.72, -17.45),
-    "DRS Diourbel": (14.66, -16.23),
-    "DRS Fatick": (14.34, -16.41),
-    "DRS Kaffrine": (14.11, -15.55),
-    "DRS Kaolack": (14.15, -16.07),
-    "DRS Kedougou": (12.55, -12.18),
-    "DRS Kolda": (12.89, -14.94),
-    "DRS Louga": (15.62, -16.22),
-    "DRS Matam": (15.66, -13.26),
-    "DRS Saint-Louis": (16.03, -16.49),
-    "DRS Sedhiou": (12.71, -15.56),
-    "DRS Tambacounda": (13.77, -13.67),
-    "DRS Thies": (14.79, -16.93),
-    "DRS Ziguinchor": (12.58, -16.27),
-}
-
-# Marker colour of each region, and the one for any other.
-REGION_COLOURS = {
-    "Dakar": "red",
-    "Diourbel": "blue",
-    "Fatick": "green",
-    "Kaffrine": "purple",
-    "Kaolack": "orange",
-    "Kedougou": "darkred",
-    "Kolda": "darkblue",
-    "Louga": "cadetblue",
-    "Matam": "pink",
-    "Saint-Louis": "gray",
-    "Sedhiou": "lightgreen",
-    "Tambacounda": "beige",
-    "Thies": "darkgreen",
-    "Ziguinchor": "darkpurple",
-}
-OTHER_COLOUR = "blue"
-
 # Relative scenarios
 # (name, rain %, temperature delta, humidity points, wind %, sun %).
 RELATIVE_SCENARIOS = (

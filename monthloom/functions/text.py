@@ -48,7 +48,7 @@ def feature_family(name: Column | str, key_prefix: str = "cat__") -> Column:
     )
 
 
-def feature_label(name: Column | str) -> Column:
-    """Encoded feature name without its block prefix."""
+def feature_label(name: Column | str, key_prefix: str = "cat__DRS_DRS ") -> Column:
+    """Encoded feature name without its block prefix; ``key_prefix`` is what stands before the key's value."""
     bare = F.replace(_col(name), F.lit("num__"), F.lit(""))
-    return F.replace(bare, F.lit("cat__DRS_DRS "), F.lit(fixed.KEY_LABEL_PREFIX))
+    return F.replace(bare, F.lit(key_prefix), F.lit(fixed.KEY_LABEL_PREFIX))

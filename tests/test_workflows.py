@@ -13,6 +13,7 @@ from monthloom.plans import workflows
 from monthloom.session import sized_for
 from monthloom.sources import registry
 from pyspark.sql import types as T
+from tests import panels
 from tests.panels import SPEC, W, months, random_panel, to_spark
 
 RULE = Rule({"target_lag_1": 0.6, "vent": 0.1})
@@ -76,14 +77,14 @@ def test_training_stores_everything(spark, panel, tmp_path):
 
 def test_fixed_tables_as_lookups(spark):
     centroids = joins.lookup_table(
-        spark, "DRS", fixed.REGION_CENTROIDS,
+        spark, "DRS", panels.REGION_CENTROIDS,
         T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
     asked = spark.createDataFrame([("DRS Dakar",), ("DRS Thies",)], "DRS string")
     assert {r["lat"] for r in joins.strict_lookup(asked, centroids, "DRS").collect()} == {14.72, 14.79}
     colours = joins.lookup_table(
-        spark, "region", fixed.REGION_COLOURS, T.StructType([T.StructField("colour", T.StringType())]))
+        spark, "region", panels.REGION_COLOURS, T.StructType([T.StructField("colour", T.StringType())]))
     places = spark.createDataFrame([("Kolda",), ("Elsewhere",)], "region string")
-    got = joins.lookup_or(places, colours, "region", "colour", fixed.OTHER_COLOUR)
+    got = joins.lookup_or(places, colours, "region", "colour", panels.OTHER_COLOUR)
     assert {(r["region"], r["colour"]) for r in got.collect()} == {("Kolda", "darkblue"), ("Elsewhere", "blue")}
 
 
