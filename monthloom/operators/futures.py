@@ -56,15 +56,16 @@ def by_persistence(
             repeat,
         ).alias("_tail")
     )
-    steps = tail.select(
-        *spec.series, "_tail",
-        F.posexplode(cal.months_from(start, periods)).alias("_step", spec.time),
-    )
-    source = maths.cyclic_pick(F.col("_tail"), F.col("_step") + 1)
     none = F.lit(if_none).cast("double")
-    return steps.select(*spec.keys, *[
-        F.when(F.size("_tail") > 0, source[m]).otherwise(none).alias(m) for m in spec.exog
-    ])
+
+    def at(month: Column, step: Column) -> Column:
+        source = maths.cyclic_pick(F.col("_tail"), step + 1)
+        return F.struct(month.alias(spec.time), *[
+            F.when(F.size("_tail") > 0, source[m]).otherwise(none).alias(m) for m in spec.exog])
+
+    # picked inside the array, so no row carries the whole tail
+    months = tail.withColumn("_months", cal.months_from(start, periods))
+    return months.select(*spec.series, F.inline(F.transform("_months", at)))
 
 
 def constant(months: DataFrame, spec: PanelSpec, values: dict[str, float]) -> DataFrame:

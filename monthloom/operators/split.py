@@ -57,14 +57,16 @@ def expanding_folds(df: DataFrame, spec: PanelSpec, n_splits: int = 5, name: str
     A fold spans ``months // (n_splits + 1)`` months; fold ``i`` trains on
     every row before it (null or smaller fold).
     """
-    info = sorted_months(df, spec.time).scalar()
-    with_months = df.withColumn("_months", info)
-    n = F.size("_months")
-    width = F.floor(n / F.lit(n_splits + 1)).cast("int")
-    index = F.array_position("_months", F.col(spec.time)).cast("int") - 1
-    first = n - width * n_splits
-    fold = F.when(index >= first, F.floor((index - first) / F.nullif(width, F.lit(0))).cast("int"))
-    return with_months.withColumn(name, fold).drop("_months")
+    # a table of months, ranked once; rows of these windows are months of the calendar
+    months = df.select(spec.time).distinct()
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    index = F.row_number().over(Window.orderBy(F.col(spec.time).asc_nulls_last())) - 1
+    n = F.count(F.lit(1)).over(everything)
+    width = F.floor(F.col("_n") / F.lit(n_splits + 1)).cast("int")
+    first = F.col("_n") - width * n_splits
+    fold = F.when(F.col("_i") >= first, F.floor((F.col("_i") - first) / F.nullif(width, F.lit(0))).cast("int"))
+    folds = months.withColumns({"_i": index, "_n": n}).select(F.col(spec.time).alias("_month"), fold.alias(name))
+    return df.join(folds, F.col(spec.time).eqNullSafe(F.col("_month")), "left").drop("_month")
 
 
 def fold_parts(df: DataFrame, i: int, name: str = "fold") -> tuple[DataFrame, DataFrame]:

@@ -385,8 +385,9 @@ def month_name_map(spark, d):
        "(SELECT DRS, list(cas ORDER BY PERIODE) AS vals FROM panel GROUP BY DRS), range(1, 101) r(k)")
 def cyclic_tiles(spark, d):
     rows = t.panel(spark, d).groupBy("DRS").agg(F.array_sort(F.collect_list(F.struct("PERIODE", "cas"))).alias("v"))
-    steps = rows.select("DRS", "v", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("step"))
-    return steps.withColumn("value", maths.cyclic_pick(F.col("v"), F.col("step"))["cas"])
+    steps = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.struct(
+        k.alias("step"), maths.cyclic_pick(F.col("v"), k)["cas"].alias("value")))
+    return rows.select("DRS", F.inline(steps))
 
 
 @query("F18", "DRS json",
