@@ -128,8 +128,8 @@ def grid_search(spark, d):
 
 @query("M9_forest")
 def random_search(spark, d):
-    """Ten seeded points of the whole forest space over five expanding folds."""
-    return _search_rows(spark, d, learn.FOREST, learn.random_points(learn.FOREST.space, 10), 5)
+    """Five seeded points of the whole forest space over five expanding folds."""
+    return _search_rows(spark, d, learn.FOREST, learn.random_points(learn.FOREST.space, 5), 5)
 
 
 @query("M10_boosting")
