@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from monthloom.session import written
 
 MOST_ROUNDS = 60
+BROADCAST_NODES = 500_000  # pairs of nodes that are broadcast to the edges; beyond, both are joined by node
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node goes to the smallest of its neighbourhood."""
+    """Every larger neighbour of a node goes to the smallest of its neighbourhood.
+
+    A node without smaller neighbours keeps its edges, so the edges of a hub
+    need no join; only nodes that have a smaller neighbour are looked up.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(
-        "u <> v").distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u"), "least")
+    if least.count() <= BROADCAST_NODES:
+        least = F.broadcast(least)
+    return both.filter("v > u").join(least, "u", "left").select(
+        F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

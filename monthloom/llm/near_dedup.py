@@ -294,13 +294,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1")
     members = written(spread.join(shared.select("bucket", "center"), "bucket"), "members")
     sets = _full_sets(own, classes, members, words)
-    bits = classes.select("node", "bits0", "bits1")
-    star = members.filter("node <> center").select("node", "center").distinct().join(bits, "node").join(
-        bits.select(F.col("node").alias("center"), F.col("bits0").alias("c0"), F.col("bits1").alias("c1")), "center")
-    star = star.filter(_apart(F.col("bits0"), F.col("bits1"), F.col("c0"), F.col("c1")) <= BITS_APART)
-    pairs = star.select(F.col("center").alias("u"), F.col("node").alias("v"))
-    pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("codes").alias("codes_u")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("codes").alias("codes_v")), "v")
+    star = members.filter("node <> center").select("node", "center").distinct()
+    # the join on the hot side, the centers, comes last and alone, so that its large partitions can be split
+    pairs = star.join(sets.select("node", F.col("codes").alias("codes_v"), "bits0", "bits1"), "node").join(
+        sets.select(F.col("node").alias("center"), F.col("codes").alias("codes_u"), F.col("bits0").alias("c0"),
+                    F.col("bits1").alias("c1")), "center")
+    pairs = pairs.filter(_apart(F.col("bits0"), F.col("bits1"), F.col("c0"), F.col("c1")) <= BITS_APART).select(
+        F.col("center").alias("u"), F.col("node").alias("v"), "codes_u", "codes_v")
     links = written(pairs.mapInArrow(_confirm(similarity), "u long, v long"), "links")
     roots = components(links)
     hidden = written(_hidden_links(members, classes, sets, roots, similarity), "hidden")
@@ -316,19 +316,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(node, n, codes) of the representatives that share a bucket.
+    """(node, n, codes, bits0, bits1) of the representatives that share a bucket.
 
     Their texts are read again.  The list of their ids filters the scan where
     it is short enough to be broadcast, and is joined by key otherwise.
     """
-    wanted = written(classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "set_hash"), "wanted")
+    wanted = written(classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "set_hash", "bits0", "bits1"), "wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     coded = texts.mapInArrow(_codes(words), "set_hash binary, n long, codes binary")
-    coded = coded.join(wanted.select("set_hash", "node"), "set_hash")
-    return written(coded.groupBy("node").agg(F.first("n").alias("n"), F.first("codes").alias("codes")), "sets")
+    coded = coded.join(wanted.select("set_hash", "node", "bits0", "bits1"), "set_hash")
+    return written(coded.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "codes", "bits0", "bits1")]), "sets")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
