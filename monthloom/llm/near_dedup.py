@@ -50,7 +50,7 @@ _CODE_BYTES = 6         # of a shingle's hash, in sets that are shipped
 _RANDOM = np.random.default_rng(8)
 _FACTOR = _RANDOM.integers(1, 1 << 63, size=(HASHES, 1), dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RANDOM.integers(0, 1 << 63, size=(HASHES, 1), dtype=np.uint64)
-_SIGNATURE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+_SIGNATURE = pa.schema([("slot", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                         ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits0", pa.int64()),
                         ("bits1", pa.int64())])
 
@@ -88,7 +88,7 @@ def _signatures(words: int):
                 keys = _band_keys(signatures)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(slot, slot + n)), some.column("doc_id"),
+                    pa.array(np.arange(slot, slot + n)), some.column("row"), some.column("doc_id"),
                     pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_set_hash(s) for s in sets]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
                     pa.array(bits[:, 0]), pa.array(bits[:, 1]),
@@ -279,10 +279,20 @@ def _hidden_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; linked are sets with similarity of so many per cent."""
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    labelled = _labelled(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), words, similarity)
+    return labelled.select(
+        "doc_id", "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _labelled(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(row, doc_id, n_shingles, root, component_id) per row of (row, doc_id, text); no root without words."""
+    own = docs.select("row", F.col("doc_id").cast("long"), "text")
     rows = written(own.mapInArrow(
         _signatures(words),
-        "slot long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits0 long, bits1 long"), "signatures")
+        "slot long, row long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits0 long, bits1 long"),
+        "signatures")
     least = rows.filter("n_shingles > 0").groupBy("set_hash").agg(
         F.min("slot").alias("node"), F.min("doc_id").alias("first_id"))
     least = written(least, "classes")
@@ -308,11 +318,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
     roots = components(stars.union(hidden.select("u", "v"))) if hidden.limit(1).count() else roots
     labels = _with_roots(least.select("node", "set_hash", "first_id"), roots)
     smallest = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = labels.join(smallest, "root").select("set_hash", "component_id")
-    return rows.join(labels, "set_hash", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labels = labels.join(smallest, "root").select("set_hash", "root", "component_id")
+    return rows.join(labels, "set_hash", "left").select("row", "doc_id", "n_shingles", "root", "component_id")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -332,17 +339,14 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents with one row of each group left, the one with the smallest id."""
+    """The documents with one row of each group left, the one with the smallest id; all without words stay."""
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "numbered", compression="zstd")
-    ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
-    copies = near_duplicates(rows.select("doc.doc_id", "doc.text"), words, similarity).filter("not kept")
-    copies = copies.select(F.col("doc_id").alias("copy_id")).distinct()
-    leaving = ids.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_semi").select("row")
-    # of rows with one id the first stays
-    first = ids.groupBy("doc_id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = ids.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    leaving = written(leaving.union(again.filter("row > first").select("row")).distinct(), "leaving")
+    grouped = _labelled(rows.select("row", "doc.doc_id", "doc.text"), words, similarity).filter("root IS NOT NULL")
+    grouped = written(grouped.select("row", "doc_id", "root"), "grouped")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    leaving = grouped.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    leaving = written(leaving, "leaving")
     if leaving.count() <= BROADCAST_IDS:
         leaving = F.broadcast(leaving)
     return rows.join(leaving, "row", "left_anti").select("doc.*")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from monthloom.llm import mixing, quality, vector_search
 from monthloom.llm.shipping import ship
@@ -112,12 +113,17 @@ def test_mixing_meets_the_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_mixed_rows_are_whole_documents(spark):
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_ROWS, -1])
+def test_mixed_rows_are_whole_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
     rows = [(k, "a b c d " * (k % 5 + 1), "xyz"[k % 3], k) for k in range(90)] + [(None, "no id", "x", 1), (1, "again one", None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns
-    assert {tuple(r) for r in out.collect()} <= set(rows)
+    made = sorted(map(tuple, out.collect()), key=repr)
+    assert set(made) <= set(rows)
+    taken = {r.row: r.copies for r in mixing.mix(docs.withColumn("row", F.xxhash64("*")), "row").collect()}
+    assert len(made) == sum(taken.values())
 
 
 def vectors(seed):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from monthloom.llm import near_dedup
+from monthloom.llm import components, near_dedup
 from monthloom.llm.shipping import ship
 from monthloom.llm.shingles import shingle_sets
 
@@ -77,6 +77,45 @@ def test_one_large_group_in_small_parts(spark, monkeypatch):
     assert found(spark, rows, 2) == brute(rows, 2)
 
 
+def test_lists_too_long_to_broadcast_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(components, "BROADCAST_NODES", -1)
+    rows = copies(5, groups=3) + ODD
+    assert found(spark, rows, 2) == brute(rows, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.one_of_each(docs, 2).collect()), key=repr)
+    empty = [(i, t) for i, t in rows if not (t or "").split()]
+    wanted = {i for i, n, _, stays in brute(rows, 2) if stays and n}  # ids are drawn apart, but for copies
+    assert {i for i, t in kept if (t or "").split()} == wanted
+    assert [k for k in kept if not (k[1] or "").split()] == sorted(empty, key=repr)
+    assert len(kept) == len(empty) + len(wanted)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_chains_stars_and_cliques(spark, seed):
+    draw = random.Random(seed)
+    names = draw.sample(range(10_000), 300)
+    edges = list(zip(names[:80], names[1:81]))                                  # a chain
+    edges += [(names[100], n) for n in names[101:180]]                          # a star
+    edges += [(a, b) for a in names[200:215] for b in names[200:215]]           # a clique, with loops
+    edges += [(names[draw.randrange(220, 300)], names[draw.randrange(220, 300)]) for _ in range(60)]
+    edges += edges[:20]
+    parent = {n: n for n in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    expected = {n: root(n) for n in names if root(n) != n}
+    draw.shuffle(edges)
+    made = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in made} == expected and len(made) == len(expected)
+
+
 def test_empty_table(spark):
     assert found(spark, [], 5) == []
     assert found(spark, [(1, None), (2, None)], 5) == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -46,8 +46,10 @@ def documents(spark, many):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, part string, place int").repartition(3)
 
 
-def test_token_files_round_trip(spark):
+@pytest.mark.parametrize("limit", [token_files.BROADCAST_PARTS, -1])
+def test_token_files_round_trip(spark, monkeypatch, limit):
     ship(spark)
+    monkeypatch.setattr(token_files, "BROADCAST_PARTS", limit)
     rows, docs = documents(spark, texts(2, 300))
     path = scratch_dir(spark, "files")
     token_files.write_token_files(docs, path, tokenizer_path(FILES[1]), row_group_bytes=1 << 16, page_bytes=1 << 12)
