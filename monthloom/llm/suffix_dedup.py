@@ -30,7 +30,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,6 @@ from monthloom.llm.arrow import slices
 PART_BYTES = 16 << 20       # of text in one part
 BLOB_BYTES = 2 << 20
 SAMPLE_DOCUMENTS = 2000     # whose suffixes place the splitters; they affect balance only
-SPLITTERS_EACH = 1          # buckets per part
 _NO_ID = np.iinfo(np.int64).max
 _MARK_BITS = 40             # of a gram's hash
 _PACKED = "part long, task long, number long, blob binary"
@@ -372,7 +370,7 @@ def without_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-int(size) // part_bytes))
     packed = own.mapInArrow(_pack(parts), _PACKED).repartition(parts, "part")
-    splitters = _sample_splitters(own, n, parts * SPLITTERS_EACH)
+    splitters = _sample_splitters(own, n, parts)
     marks = packed.groupBy("part").applyInArrow(_send_marks(parts), _PACKED)
     answers = marks.repartition(parts, "part").groupBy("part").applyInArrow(_shared_marks, _PACKED)
     sent = packed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_send_suffixes(splitters), _PACKED)
