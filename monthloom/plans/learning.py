@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from monthloom.operators import features, forecast, futures, learn, split
 from monthloom.operators.aggregate import build_panel
 from monthloom.plans import tables as t
+from monthloom.plans import workflows
 from monthloom.plans.registry import query
 from monthloom.plans.sql import FEATURES, W
-from monthloom.session import written
+from monthloom.session import scratch_dir, written
 from monthloom.spec import NATION, REGION
 
 NUMERIC = features.feature_names(REGION)[1:]
 _COMPLETE = " AND ".join(f"{w} IS NOT NULL" for w in W) + " AND target_lag_12 IS NOT NULL"
 
-QUICK_FOREST = (learn.FOREST, {"numTrees": 20, "maxDepth": 5})
-QUICK_BOOSTING = (learn.BOOSTING, {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1})
+# the largest sizes of the search spaces
+WHOLE_FOREST = (learn.FOREST, {"numTrees": 200, "maxDepth": 15})
+WHOLE_BOOSTING = (learn.BOOSTING, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1})
 QUICK_ROBUST = (learn.ROBUST, {"epsilon": 1.35, "regParam": 0.01})
 
 
@@ -97,12 +99,12 @@ def scaled_inputs(spark, d):
 
 @query("M5_forest")
 def forest(spark, d):
-    return _scored(spark, d, QUICK_FOREST)
+    return _scored(spark, d, WHOLE_FOREST)
 
 
 @query("M6_boosting")
 def boosting(spark, d):
-    return _scored(spark, d, QUICK_BOOSTING)
+    return _scored(spark, d, WHOLE_BOOSTING)
 
 
 @query("M7_robust")
@@ -122,21 +124,22 @@ def _search_rows(spark, d, learner, points, n_splits):
 
 @query("M8_forest")
 def grid_search(spark, d):
-    """Every point of a small grid over five expanding folds."""
-    return _search_rows(spark, d, learn.FOREST, learn.grid_points({"numTrees": [5, 10], "maxDepth": [3, 5]}), 5)
+    """Every point of the whole forest space over five expanding folds."""
+    return _search_rows(spark, d, learn.FOREST, learn.grid_points(learn.FOREST.space), 5)
 
 
 @query("M9_forest")
 def random_search(spark, d):
-    """Five seeded points of the whole forest space over five expanding folds."""
-    return _search_rows(spark, d, learn.FOREST, learn.random_points(learn.FOREST.space, 5), 5)
+    """Forty seeded points of the whole forest space over five expanding folds."""
+    points = learn.random_points(learn.FOREST.space, learn.RANDOM_POINTS["forest"])
+    return _search_rows(spark, d, learn.FOREST, points, 5)
 
 
 @query("M10_boosting")
 def fitted_and_evaluated(spark, d):
     frame = _frame(spark, d)
     train, test = _parts(frame)
-    model = learn.fit(train, REGION, NUMERIC, *QUICK_BOOSTING)
+    model = learn.fit(train, REGION, NUMERIC, *WHOLE_BOOSTING)
     row = learn.evaluate_model(model, test, REGION)
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
 
@@ -144,7 +147,7 @@ def fitted_and_evaluated(spark, d):
 def _comparison(spark, d):
     frame = _frame(spark, d)
     train, test = _parts(frame)
-    results, models = learn.compare(train, test, REGION, NUMERIC, [QUICK_FOREST, QUICK_BOOSTING, QUICK_ROBUST])
+    results, models = learn.compare(train, test, REGION, NUMERIC, [WHOLE_FOREST, WHOLE_BOOSTING, QUICK_ROBUST])
     return results, models
 
 
@@ -158,13 +161,20 @@ def best_of_comparison(spark, d):
     return learn.best_model(_comparison(spark, d)[0]).drop("params")
 
 
-def _final(spark, d, candidate=QUICK_BOOSTING):
+def _final(spark, d, candidate=WHOLE_BOOSTING):
     """Model refitted on every complete row, with the panel and its frame."""
     panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     return panel, frame, learn.fit(frame, REGION, NUMERIC, *candidate)
 
 
+@query("M11_training")
+def training(spark, d):
+    """The whole training task at its real size; its comparison, with the learner that was refitted and stored."""
+    done = workflows.train(t.panel_once(spark, d), REGION, scratch_dir(spark, "training"), on_problem="mark")
+    return learn.ranked(done.results).withColumn("best", F.col("model") == done.best).withColumn("params", F.to_json("params"))
+
+
 @query("M12_boosting", "DRS d:PERIODE r:prediction problem")
 def refit_and_forecast(spark, d):
     """Refit on all rows, then twelve recursive months under the usual weather."""
@@ -204,7 +214,7 @@ def model_backtest(spark, d):
     panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     known = frame.filter(F.col("PERIODE") <= F.lit("1999-12-01").cast("date"))
-    model = learn.fit(known, REGION, NUMERIC, *QUICK_BOOSTING)
+    model = learn.fit(known, REGION, NUMERIC, *WHOLE_BOOSTING)
     return forecast.backtest(panel, REGION, ["1999-12-01"], 12, model=model, on_problem="mark")
 
 
@@ -226,5 +236,5 @@ def national_forest(spark, d):
     nation = build_panel(t.merged(spark, d).withColumn("DRS", F.lit("national")), spec)
     frame = features.complete_rows(features.create_features(nation, spec), features.feature_names(spec))
     frame = written(frame, "national")
-    model = learn.fit(frame, spec, NUMERIC, *QUICK_FOREST, key=None)
+    model = learn.fit(frame, spec, NUMERIC, *WHOLE_FOREST, key=None)
     return model.transform(frame).select("PERIODE", "cas", "prediction")

@@ -83,13 +83,14 @@ def forecast_many(
 
 
 def forecast_next_year(
-    history: DataFrame, model: PipelineModel | Rule, spec: PanelSpec, horizon: int = 12, fallback: str = "full"
+    history: DataFrame, model: PipelineModel | Rule, spec: PanelSpec, horizon: int = 12, fallback: str = "full",
+    on_problem: str = "raise",
 ) -> DataFrame:
     """Months after the last one on record, measures repeating the last twelve rows."""
     start = futures.after_history(history, spec)
     none = 0.0 if fallback == "partial" else None
     ahead = futures.by_persistence(history, spec, start, horizon, if_none=none)
-    return _run(history, ahead, model, spec, horizon, fallback=fallback)
+    return _run(history, ahead, model, spec, horizon, fallback=fallback, on_problem=on_problem)
 
 
 def predict_national_range(*args, **kwargs) -> DataFrame:
@@ -125,7 +126,7 @@ class Training:
 def train(
     panel: DataFrame, spec: PanelSpec, path: str, scope: str = "DRS", version: str = "1.0.0",
     learners: Sequence[learn.Learner] = learn.LEARNERS, points: Callable[[learn.Learner], Sequence[Mapping]] | None = None,
-    n_splits: int = 5,
+    n_splits: int = 5, on_problem: str = "raise",
 ) -> Training:
     """Search every learner, compare on the held-out months, refit the best, store everything.
 
@@ -152,5 +153,5 @@ def train(
     registry.save_model(spark, f"{path}/{scope}", model, names, panel)
     registry.append_run(spark, f"{path}/runs", scope, learner.name, top["rmse"], seen.count(), version, params, names)
     writers.save_csv(learn.ranked(results).drop("params"), f"{path}/comparison")
-    writers.save_forecast(forecast_next_year(panel, model, spec), f"{path}/next_months")
+    writers.save_forecast(forecast_next_year(panel, model, spec, on_problem=on_problem), f"{path}/next_months")
     return Training(results, learner.name, params, model, path)
