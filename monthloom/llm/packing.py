@@ -133,17 +133,35 @@ class _Search:
         theirs, their_fill = self.sizes[others], self.fill[self.where[others]]
         others, theirs = others[their_fill >= fill], theirs[their_fill >= fill]
         gaps = self.capacity - self.fill[self.where[others]]
-        single = [[i] for i in own]
-        double = [[a, b] for k, a in enumerate(own) for b in own[k + 1:]] if len(own) <= 12 else []
-        for given in single + double:  # exchange one or two for one
+        for given in self._givable(own, theirs, gaps):  # exchange one or two for one
             gain = int(self.sizes[given].sum()) - theirs
             gain[(gain <= 0) | (gain > gaps)] = 0
-            if len(gain) and gain.max():
-                taken = int(others[np.argmax(gain)])
-                self._shift(given, [taken], source, int(self.where[taken]))
-                return True
+            taken = int(others[np.argmax(gain)])
+            self._shift(given, [taken], source, int(self.where[taken]))
+            return True
         return False
 
+    def _givable(self, own: list[int], theirs: np.ndarray, gaps: np.ndarray) -> Iterator[list[int]]:
+        """Single items, then pairs, that can go for one of ``theirs``, the largest first.
+
+        A table over all sizes tells which sums some exchange takes.  Items of
+        equal size are alike, and a bin holds few different sizes, so pairs of
+        sizes stand for the pairs of items.
+        """
+        edges = np.bincount(theirs + 1, minlength=self.capacity + 2)[:self.capacity + 2]
+        edges = edges - np.bincount(theirs + gaps + 1, minlength=self.capacity + 2)[:self.capacity + 2]
+        taken = np.cumsum(edges) > 0
+        alike: dict[int, list[int]] = {}
+        for item in own:
+            alike.setdefault(int(self.sizes[item]), []).append(item)
+        sizes = np.array(list(alike), dtype=np.int64)
+        for size in sizes[taken[sizes]].tolist():
+            yield [alike[size][0]]
+        for k, size in enumerate(sizes.tolist()):
+            rest = sizes[k + (len(alike[size]) < 2):]
+            for other in rest[taken[size + rest]].tolist():
+                yield [alike[size][0], alike[other][-1 if other == size else 0]]
+
     def _shift(self, given: list[int], taken: list[int], source: int, target: int) -> None:
         for items, a, b in ((given, source, target), (taken, target, source)):
             for item in items:
