@@ -6,8 +6,9 @@ changes nothing.  In a group, best fit decreasing gives a first packing.  The
 local search then takes the emptiest bins in turn and moves one of their
 pieces, or exchanges one or two of them for a smaller one of a fuller bin.
 Every step raises the sum of squared fills, so bins run empty and the search
-ends by itself.  A group wastes less than one bin more than a packing of the
-whole would.
+ends by itself.  The pieces of underfull sequences are dealt to groups again and
+packed anew, until a single group is left, no packing of them can take less, or
+nothing is gained.
 
 Defined results: a null text is the empty text, a single end id; repeated rows
 are packed as often as they occur; an empty table gives no rows; extra columns
@@ -33,6 +34,7 @@ CAPACITY = 2048
 GROUP_PIECES = 8192
 SLICE_BYTES = 2 << 20
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
+_PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32", "slot")
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -177,19 +179,26 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return _Search(sizes, _best_fit(sizes, capacity), capacity).run()
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, level: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("slot")
         sizes = group.column("length").to_numpy()
-        sequence, offset = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+        sequence, offset, fill = (np.zeros(len(sizes), dtype=np.int64) for _ in range(3))
         for k, items in enumerate(pack(sizes, capacity)):
-            sequence[items] = (key[0].as_py() << 32) + k
+            sequence[items] = (level << 56) + (key[0].as_py() << 32) + k
             offset[items] = np.cumsum(sizes[items]) - sizes[items]
-        return group.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column(
-            "sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            fill[items] = sizes[items].sum()
+        made = {"sequence_id": sequence, "offset": offset, "fill": fill}
+        return pa.table({**{c: group.column(c) for c in _PIECE_COLUMNS}, **{c: pa.array(v) for c, v in made.items()}})
     return run
 
 
+def _in_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
+    """The pieces dealt at random to groups, each packed by itself."""
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("slot", F.lit(level)), F.lit(groups)))
+    return dealt.groupBy("_group").applyInArrow(_pack_group(capacity, level), f"{_PIECE}, sequence_id long, offset long, fill long")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY,
                    group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
@@ -199,7 +208,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     """
     pieces = written(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
     groups = max(1, round(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("slot"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(
-        _pack_group(capacity),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed, settled, level = _in_groups(pieces, groups, 0, capacity), [], 0
+    while groups > 1:
+        packed, level = written(packed, "packed"), level + 1
+        short = packed.filter(F.col("fill") < capacity)
+        n, used, tokens, large = short.agg(
+            F.count(F.lit(1)), F.count_if(F.col("offset") == 0), F.sum("length"),
+            F.count_if(2 * F.col("length") > capacity)).first()
+        if not n or used <= max(-(-tokens // capacity), large):  # no packing of these pieces takes less
+            break
+        groups = max(1, round(n / group_pieces))
+        again = written(_in_groups(short.select(*_PIECE_COLUMNS), groups, level, capacity), "packed")
+        if again.filter("offset = 0").count() >= used:
+            break
+        settled.append(packed.filter(F.col("fill") == capacity))
+        packed = again
+    for part in settled:
+        packed = packed.union(part)
+    return packed.drop("slot", "fill")

@@ -1,8 +1,12 @@
-"""Exchanges of the packing search."""
+"""Exchanges of the packing search, and groups that meet again."""
+
+import random
 
 import numpy as np
 
 from monthloom.llm import packing
+from monthloom.llm.queries import tokenizer_path
+from monthloom.llm.shipping import ship
 
 
 def test_two_for_one_from_a_bin_of_many_pieces():
@@ -39,3 +43,17 @@ def test_size_table_finds_what_a_listing_finds():
         others = search.items[(search.where[search.items] != source) & (search.fill[search.where[search.items]] >= search.fill[source])]
         given = next(search._givable(own, search.sizes[others], 100 - search.fill[search.where[others]]), None)
         assert (sorted(sizes[given].tolist()) if given else None) == pairs_of_a_listing(search, source)
+
+
+def test_underfull_sequences_of_the_groups_meet_again(spark):
+    ship(spark)
+    draw = random.Random(3)
+    rows = [(k, " ".join(draw.choice(["the", "a", "of"]) for _ in range(draw.randrange(1, 12)))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=256, group_pieces=100).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(1500))
+    fills: dict = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fills.get(r.sequence_id, 0)
+        fills[r.sequence_id] = r.offset + r.length
+    assert max(fills.values()) <= 256 and len(fills) <= -(-sum(fills.values()) // 256) + 1
