@@ -8,12 +8,16 @@ be a key or token:
 
 * ``der``: one ASN.1 sequence whose nested lengths add up at every level and
   that starts like a key: a version number and integers, an algorithm, or a
-  key octet string;
+  key octet string; an encrypted key is an algorithm and an octet string;
 * ``ssh``: length-prefixed fields that fill the buffer, an OpenSSH private
   key or a public key blob;
-* ``jwt``: a signed token, whose header and payload are JSON objects and whose
-  header names an algorithm;
-* ``pem``: a private-key block whose base64 lines decode to one of these.
+* ``jwt``: a signed token, whose header and payload are JSON objects, however
+  spaced, and whose header names an algorithm;
+* ``pem``: a private-key block whose base64 lines decode to one of these, or to
+  whole cipher blocks if its header lines name a cipher.
+
+A key may be wrapped: neighbouring base64 or hex lines of equal length, with
+the shorter last one, are one candidate where no line is a key by itself.
 
 Defined results: a null or empty text has no spans; any length is scanned
 whole; rows are independent.
@@ -42,7 +46,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{48,}")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+_THREE_PARTS = re.compile(r"(?<![A-Za-z0-9_-])(?=(([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+                  r"(?:[ \t]*\r?\n((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*)+))?([A-Za-z0-9+/=\s]*)-----END \1-----")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_FIRST = "MAb036"  # how keys start in base64 or hex
 _LEAST_BYTES = 16
 _DEEPEST = 16
 
@@ -97,8 +106,8 @@ def is_der_key(data: bytes) -> bool:
     version = tags[0] == 0x02 and len(parts[0][1]) == 1 and parts[0][1][0] <= 1
     integers = all(t == 0x02 for t in tags) and len(tags) >= 6 and version  # integers of a private key
     wrapped = version and (tags[1] == 0x04 or tags[1:3] == [0x30, 0x04])    # a curve key, or an algorithm and its key
-    public = tags == [0x30, 0x03] and bool(_elements(parts[0][1])) and _elements(parts[0][1])[0][0] == 0x06
-    return integers or wrapped or public
+    named = tags in ([0x30, 0x03], [0x30, 0x04]) and bool(_elements(parts[0][1])) and _elements(parts[0][1])[0][0] == 0x06
+    return integers or wrapped or named  # named: the algorithm of a public key's bits or of an encrypted key's bytes
 
 
 def _fields(data: bytes, at: int) -> list[bytes] | None:
@@ -147,6 +156,59 @@ def _may_be_key(start: bytes | None) -> bool:
     return bool(start) and (start[0] == 0x30 or start[:2] == b"\0\0" or start.startswith(b"openssh-k"[:len(start)]))
 
 
+def _is_encrypted(headers: str | None, body: str) -> bool:
+    """Header lines that name a cipher, and whole blocks of it."""
+    data = _decoded(body) if headers and "ENCRYPTED" in headers and "DEK-Info:" in headers else None
+    return bool(data) and len(data) >= _LEAST_BYTES and len(data) % 8 == 0
+
+
+def _may_fill(start: bytes, size: int) -> bool:
+    """Whether a sequence that starts so can have ``size`` bytes; true for other content."""
+    if start[0] != 0x30 or len(start) < 6:
+        return _may_be_key(start)
+    width = start[1] & 0x7F if start[1] & 0x80 else 0
+    return width <= 4 and size == 2 + width + (int.from_bytes(start[2:2 + width], "big") if width else start[1])
+
+
+def _kind_of_lines(lines: list[str]) -> str | None:
+    """The kind of key that lines hold together, in hex digits or base64."""
+    size = sum(map(len, lines)) - lines[-1].count("=")
+    for start, whole, decode in ((_unhexed(lines[0][:12]), size // 2, _unhexed), (_decoded(lines[0][:12]), size * 3 // 4, _decoded)):
+        kind = _kind_of(decode("".join(lines))) if start and _may_fill(start, whole) else None
+        if kind:
+            return kind
+    return None
+
+
+def _unhexed(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run)
+    except ValueError:
+        return None
+
+
+def _wrapped(text: str) -> list[Span]:
+    """Keys over several lines of equal length and a last one at most as long."""
+    spans = []
+    for m in _LINES.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        at = 0
+        while at < len(lines):
+            width, same = lines[at][1] - lines[at][0], at + 1
+            while same < len(lines) and lines[same][1] - lines[same][0] == width:
+                same += 1
+            stops = [same + 1, same] if same < len(lines) and lines[same][1] - lines[same][0] < width else [same]
+            for first, stop in ((first, stop) for first in range(at, same) for stop in stops if stop - first > 1):
+                if text[lines[first][0]] not in _FIRST:
+                    continue
+                kind = _kind_of_lines([text[a:b] for a, b in lines[first:stop]])
+                if kind:
+                    spans.append((kind, lines[first][0], lines[stop - 1][1]))
+                    break
+            at = same
+    return spans
+
+
 def find(text: str) -> list[Span]:
     """Spans by start, then kind as listed."""
     spans = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -161,8 +223,11 @@ def find(text: str) -> list[Span]:
             spans += [(kind, *m.span())] if kind else []
     if "eyJ" in text:
         spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
-    if "-----BEGIN " in text:
-        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if _kind_of(_decoded("".join(m[2].split())))]
+    spans += [("jwt", *m.span(1)) for m in _THREE_PARTS.finditer(text) if is_token(m[2], m[3])]
+    blocks = _PEM.finditer(text) if "-----BEGIN " in text else []
+    blocks = [m.span() for m in blocks if _kind_of(_decoded("".join(m[3].split()))) or _is_encrypted(m[2], "".join(m[3].split()))]
+    spans += [("pem", *b) for b in blocks]
+    spans += [s for s in _wrapped(text) if not any(a <= s[1] and s[2] <= b for a, b in blocks)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
