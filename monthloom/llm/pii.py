@@ -37,10 +37,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?:[ ]?(?:number|no|nr|id)\b\.?)?[ ]?[:#=]?[ ]?([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.ASCII)
 _USER = re.compile(r"([A-Za-z0-9._~%+-]+(?::[^\s/@]*)?)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
-_STREET_BEFORE = re.compile(r"([0-9]{1,5}[A-Za-z]? (?:[A-Z][\w.'-]* ){0,3}[A-Z][\w.'-]*)\Z")
+_NAME_WORD = re.compile(r"[A-Z][\w.'-]*")
+_NAME_MARKS = frozenset("_.'-")
+_NUMBER_TAIL = re.compile(r"(?<![0-9])[0-9]+[A-Za-z]?\Z")
 _STREET_AFTER = re.compile(r" [0-9]{1,4}[a-z]?\b")
-_WORD_TAIL = re.compile(r"[^\W\d_]*\Z")
-_STREET_REACH = 80  # characters that a house number and a street name may take
+_MOST_WORDS = 4  # of a street name
 
 
 @cache
@@ -137,17 +138,32 @@ class _Scan:
             self.add("login", *match.span(1))
             self.resume["login"] = match.end(1)
 
+    def house_number(self, end: int) -> int | None:
+        """Where the house number before one to four whole name words begins; the furthest, back word by word."""
+        least, found = self.resume["street"], None
+        for words in range(_MOST_WORDS + 1):
+            begin = end
+            while begin > least and (self.text[begin - 1].isalnum() or self.text[begin - 1] in _NAME_MARKS):
+                begin -= 1
+            number = _NUMBER_TAIL.search(self.text, begin, end) if words else None
+            found = number.start() if number else found
+            if not _NAME_WORD.fullmatch(self.text, begin, end) or begin <= least or self.text[begin - 1] != " ":
+                break
+            end = begin - 1
+        return found
+
     def street(self, begin: int, end: int) -> None:
         if begin < self.resume["street"] or self.text[end:end + 1].isalnum():
             return
-        least = max(self.resume["street"], begin - _STREET_REACH)
         found = None
         if self.text[begin] == " ":  # house number, name, street word
-            before = _STREET_BEFORE.search(self.text[least:begin])
-            found = (least + before.start(), end) if before else None
+            start = self.house_number(begin)
+            found = (start, end) if start is not None else None
         else:  # name with street word, house number
-            name, after = _WORD_TAIL.search(self.text[least:begin]), _STREET_AFTER.match(self.text, end)
-            found = (least + name.start(), after.end()) if name[0] and after else None
+            start, after = begin, _STREET_AFTER.match(self.text, end)
+            while after and start > self.resume["street"] and self.text[start - 1].isalnum() and not self.text[start - 1].isdecimal():
+                start -= 1
+            found = (start, after.end()) if after and start < begin else None
         if found:
             self.add("street", *found)
             self.resume["street"] = found[1]
