@@ -11,7 +11,8 @@ chosen suffixes, together with the bytes around them that their strings take.
 2. Each part sends the distinct hashes of its chosen grams, sorted, five bytes
    at most.  A bit comes back for each: does another part have it too?
 3. Only suffixes with company go on, one of each run of equal bytes in a part,
-   for the smallest id that has it; larger ids are covered by it at once.
+   for the smallest id that has it; larger ids are covered by it at once.  In a
+   part, hashes bring equal rows together and their bytes are compared.
    Sampled splitters part them into buckets by their leading bytes.  A leading
    gram that fills several buckets has its strings dealt singly among them.
 4. Buckets sort by multikey quicksort and compare neighbours.  All strings of a
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from monthloom.llm import suffix_sort as ss
 from monthloom.llm.arrow import slices
 
+_AT_ONCE = 50_000       # rows compared at a time
 PART_BYTES = 16 << 20       # of text in one part
 BLOB_BYTES = 2 << 20
 SAMPLE_DOCUMENTS = 2000     # whose suffixes place the splitters; they affect balance only
@@ -180,6 +182,21 @@ def _row_hash(*columns: np.ndarray) -> np.ndarray:
     return total
 
 
+def _kinds(s: dict[str, np.ndarray], rows: np.ndarray, kind_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where another mark begins, and where other strings do; rows of equal hashes are compared byte by byte."""
+    new_mark = np.ones(len(rows), dtype=bool)
+    new_mark[1:] = s["mark"][1:] != s["mark"][:-1]
+    new_kind = new_mark.copy()
+    new_kind[1:] |= kind_hash[1:] != kind_hash[:-1]
+    equal = np.flatnonzero(~new_kind)
+    for at in range(0, len(equal), _AT_ONCE):
+        k = equal[at:at + _AT_ONCE]
+        new_kind[k] = (rows[k] != rows[k - 1]).any(axis=1)
+        for c in ("gram", "strings"):
+            new_kind[k] |= s[c][k] != s[c][k - 1]
+    return new_mark, new_kind
+
+
 def _send_suffixes(splitters: np.ndarray):
     """Suffixes with company to their buckets; what the part can tell by itself goes along as bucket -1 - part.
 
@@ -208,10 +225,7 @@ def _send_suffixes(splitters: np.ndarray):
         kind_hash = _row_hash(*ss.as_words(rows), s["gram"] * 64 + s["strings"])
         order = np.lexsort((s["home"], s["document"], s["owner"], kind_hash, s["mark"]))
         s, rows, shared, kind_hash = {c: v[order] for c, v in s.items()}, rows[order], shared[order], kind_hash[order]
-        new_mark = np.ones(len(order), dtype=bool)
-        new_mark[1:] = s["mark"][1:] != s["mark"][:-1]
-        new_kind = new_mark.copy()
-        new_kind[1:] |= kind_hash[1:] != kind_hash[:-1]
+        new_mark, new_kind = _kinds(s, rows, kind_hash)
         heads, kind = ss.starts_of(new_kind)
         lead = heads[kind] if len(heads) else kind
         behind = s["owner"] > s["owner"][lead]
