@@ -44,7 +44,10 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (u, v) but the roots; the root is the smallest node it can reach."""
+    """(node, root) for every node of edges (u, v) but the roots; the root is the smallest node it can reach.
+
+    Raises if the edges are not stable after ``MOST_ROUNDS``.
+    """
     edges = written(_small_star(edges.filter("u <> v")), "edges")
     state = _state(edges)
     for _ in range(MOST_ROUNDS):
@@ -54,4 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"edges are not stable after {MOST_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

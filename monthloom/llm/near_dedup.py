@@ -3,7 +3,9 @@
 1. Every text becomes the set of its word shingles and 128 minima of universal
    hash functions, cut into 32 bands of 4.  Texts with equal sets form a class
    with one representative, so exact copies cost nothing from here on.  A pair
-   with similarity 0.8 misses all bands once in 20 million.
+   with similarity 0.8 misses all bands with probability 4.7e-8 and fails the
+   bit test below with 8.5e-8; lower similarities are refused, since both rates
+   grow fast.
 2. Representatives that share a band are compared with the smallest of its
    bucket (a star, not all pairs), first by one bit of each minimum, then on
    their full sets.  The links are joined to components.
@@ -277,8 +279,15 @@ def _hidden_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots
     return _grouped(meeting, ["root", "part", "q_part", "m_part"]).mapInArrow(_meet(similarity), "u long, v long")
 
 
+def _require_similarity(similarity: int) -> None:
+    """Bands and bit limit are set for ``SIMILARITY``; pairs below it would be lost without a word."""
+    if not SIMILARITY <= similarity <= 100:
+        raise ValueError(f"similarity {similarity}: bands and bit limit hold from {SIMILARITY} to 100 per cent")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; linked are sets with similarity of so many per cent."""
+    _require_similarity(similarity)
     labelled = _labelled(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), words, similarity)
     return labelled.select(
         "doc_id", "n_shingles",
@@ -340,6 +349,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """The documents with one row of each group left, the one with the smallest id; all without words stay."""
+    _require_similarity(similarity)
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "numbered", compression="zstd")
     grouped = _labelled(rows.select("row", "doc.doc_id", "doc.text"), words, similarity).filter("root IS NOT NULL")
