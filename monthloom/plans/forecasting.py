@@ -203,6 +203,16 @@ def forecast_with_partial_means(spark, d):
     return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="mark")
 
 
+@query("T17_whole", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
+       ctes=_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3, partial=True))
+def forecast_with_partial_means_of_all(spark, d):
+    """T17 with every series as long as its record."""
+    panel = t.panel_once(spark, d)
+    spec = REGION.having(rolls=(3, 6, 12))
+    weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
+    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="mark")
+
+
 _SHOT = (("lag_1", 0.4), ("rolling_mean_3", 0.3), ("lag_12", 0.2), ("precipitation", 0.05), ("quarter", 0.1))
 _SHOT_RULE = forecast.Rule(dict(_SHOT), 0.25)
 
