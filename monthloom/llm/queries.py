@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, suffix_dedup, token_counts, token_files, vector_search
+from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, suffix_dedup, token_counts, token_files, url_filter, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -107,3 +107,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_token_files(_documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"))
     rows = token_files.read_token_files(spark, path).select("doc_id", "start", "ids")
     return rows.mapInArrow(_digest_tokens, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+# Host and path rules, and whether they allow.
+URL_RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
+
+
+@_query("op13_url_filter", queries_sql.URL_FILTER)
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a rule are blocked if all pages of their host and path are thin."""
+    ship(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(URL_RULES, "rule string, allow boolean")
+    judged = url_filter.judge(pages.select(F.col("page_id").alias("id"), "url"), rules, url_filter.thin_pages(pages))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "listed", "verdict")

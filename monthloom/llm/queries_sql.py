@@ -126,3 +126,27 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BI
        sha256(unhex(CASE WHEN kept.e IS NULL THEN h ELSE head || substr(h, 2 * kept.e - 1) END)) AS kept_sha256
 FROM coded LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+URL_FILTER = r"""
+WITH rules AS (
+  SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+    ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+    ('com/de/', 'com', '/de/', 'block')) r(rule, rule_host, rule_path, says)
+), rest AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages
+), urls AS (
+  SELECT page_id, html, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), thin AS (
+  SELECT host || path AS key FROM urls GROUP BY ALL
+  HAVING max(len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[^\x20\x09-\x0D]+'))) < 100
+), ruled AS (
+  SELECT u.*, (SELECT max_by(r.rule, length(r.rule)) FROM rules r
+    WHERE (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)) AS rule
+  FROM urls u
+)
+SELECT page_id, host, path, rule, host || path IN (SELECT key FROM thin) AS listed,
+       coalesce((SELECT says FROM rules r WHERE r.rule = ruled.rule),
+                CASE WHEN host || path IN (SELECT key FROM thin) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
