@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, suffix_dedup, token_counts, token_files, url_filter, vector_search
+from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, spelling, suffix_dedup, token_counts, token_files, url_filter, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -121,3 +121,9 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, allow boolean")
     judged = url_filter.judge(pages.select(F.col("page_id").alias("id"), "url"), rules, url_filter.thin_pages(pages))
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "listed", "verdict")
+
+
+@_query("op12_spelling", queries_sql.SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_documents(spark, sf_dir), least_length=6, least_count=5, every=199)
+    return spelling.spelling_variants(words, times=5)

@@ -150,3 +150,48 @@ SELECT page_id, host, path, rule, host || path IN (SELECT key FROM thin) AS list
                 CASE WHEN host || path IN (SELECT key FROM thin) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
 """
+
+# the digest is a table-driven CRC-32 over the UTF-8 bytes of letters below U+0100
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), lowered AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS place,
+         translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM runs GROUP BY ALL
+), coded AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+           list_filter(string_split(place || w, ''), lambda x: x <> ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+             ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END))),
+         lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS h
+  FROM lowered, crc_table
+), changed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2)
+         ELSE w END AS word, n FROM coded
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), shorter AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min({'w': other, 'm': m}, {'a': -m, 'b': other}) AS top FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN top.m >= 5 * w.n THEN top.w END AS form,
+         CASE WHEN top.m >= 5 * w.n THEN top.m END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, form, word AS root FROM forms
+  UNION ALL SELECT f.word, g.form, g.word FROM followed f JOIN forms g ON f.form = g.word
+)
+SELECT f.word, n, n_near, f.form, form_n, r.root
+FROM forms f JOIN followed r ON f.word = r.word AND r.form IS NULL
+"""
