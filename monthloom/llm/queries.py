@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, spelling, suffix_dedup, token_counts, token_files, url_filter, vector_search
+from monthloom.llm import conversation_trie, mixing, near_dedup, packing, pii, quality, queries_sql, secret_scan, spelling, suffix_dedup, token_counts, token_files, url_filter, vector_search
 from monthloom.llm.shipping import ship
 from monthloom.llm.spans import digest_columns
 from monthloom.session import scratch_dir
@@ -127,3 +127,15 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.word_counts(_documents(spark, sf_dir), least_length=6, least_count=5, every=199)
     return spelling.spelling_variants(words, times=5)
+
+
+@_query("op11_conversation_trie", queries_sql.CONVERSATION_TRIE)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations open with turns of another one, are named by their prefixes and summed over subtrees."""
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    nodes, ends = conversation_trie.trie(*conversation_trie.shared_openings(conversation_trie.numbered_turns(rows)))
+    digests = conversation_trie.end_digests(ends)
+    return nodes.join(digests, "name", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))

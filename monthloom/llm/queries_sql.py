@@ -195,3 +195,43 @@ WITH RECURSIVE crc_table AS (
 SELECT f.word, n, n_near, f.form, form_n, r.root
 FROM forms f JOIN followed r ON f.word = r.word AND r.form IS NULL
 """
+
+CONVERSATION_TRIE = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+), rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns
+  FROM rows GROUP BY conv_id
+), opened AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+           list_filter(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: x <> ''), lambda x: CAST(unicode(x) AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) % 9 AS h
+  FROM own, crc_table
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), coalesce(o.turns[o.h + 1:], [])) AS turns
+  FROM opened o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, turns[1:d] AS prefix, CASE WHEN d > 0 THEN strlen(turns[d].t) ELSE 0 END AS n_bytes
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), members AS (
+  SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM prefixes
+), nodes AS (
+  SELECT m.node AS conv_id, m.depth, any_value(p.node) AS parent_conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(m.n_bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (m.depth = m.size), '')) AS ends_sha256
+  FROM members m LEFT JOIN members p ON p.conv_id = m.conv_id AND p.depth = m.depth - 1 GROUP BY m.node, m.depth
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (conv_id, depth)
+), totals AS (
+  SELECT m.node AS conv_id, m.depth, sum(n.saved) AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM counted n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN totals USING (conv_id, depth)
+"""
