@@ -3,12 +3,15 @@
 Both steps replace edges by edges to the smallest neighbour, so they shrink
 chains and fan stars in without ever listing a node's neighbours: the smallest
 neighbour is an aggregate combined on the map side, and the edges meet it in a
-join that splits hot nodes.  Every step is written to the shared folder.
+join that splits hot nodes.  The same aggregate tells whether anything is left
+to do, and only nodes with several smaller neighbours need the join of the
+small-star step.  Every step is written to the shared folder, and its counts
+are taken while it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from monthloom.session import written
@@ -17,30 +20,46 @@ MOST_ROUNDS = 60
 BROADCAST_NODES = 500_000  # pairs of nodes that are broadcast to the edges; beyond, both are joined by node
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node goes to the smallest of its neighbourhood.
+def _counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """The written table, and how many of its rows meet each condition; a repeated task may count twice."""
+    seen = Observation()
+    table = written(df.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in counts.items()]), name)
+    return table, seen.get
 
-    A node without smaller neighbours keeps its edges, so the edges of a hub
-    need no join; only nodes that have a smaller neighbour are looked up.
-    """
+
+def _short(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_NODES else table
+
+
+def _neighbours(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """(u, m): the smallest neighbour of every node that has a smaller one; how many are not yet leaves of a star."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u"), "least")
-    if least.count() <= BROADCAST_NODES:
-        least = F.broadcast(least)
-    return both.filter("v > u").join(least, "u", "left").select(
-        F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+    down = F.col("v") < F.col("u")
+    nodes = both.groupBy("u").agg(
+        F.min("v").alias("m"), F.max(F.when(down, F.col("v"))).alias("most"), F.max(~down).alias("up")).filter("m < u")
+    return _counted(nodes, "neighbours", n=F.lit(1), loose=F.col("up") | (F.col("most") > F.col("m")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, go to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """Every smaller neighbour of a node, and the node, go to the smallest of them; edges go from u down to v."""
+    several = F.col("most") > F.col("m")
+    nodes, seen = _counted(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "least", n=several)
+    moved = nodes.select("u", F.col("m").alias("v"))
+    if not seen["n"]:
+        return moved
+    hubs = _short(nodes.filter(several).select("u", "m"), seen["n"])
+    lowered = edges.join(hubs, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return written(moved.union(lowered.distinct()), "edges")
+
 
+def _large_star(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node goes to the smallest of its neighbourhood, the node itself included.
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    Edges go from u down to v; a node without smaller neighbours keeps its own,
+    so the edges of a hub find no partner in the join.
+    """
+    least = _short(nodes.select(F.col("u").alias("v"), "m"), n)
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,16 +67,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Raises if the edges are not stable after ``MOST_ROUNDS``.
     """
-    edges = written(_small_star(edges.filter("u <> v")), "edges")
-    state = _state(edges)
+    edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    edges = _small_star(edges)
     for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
-        edges = written(_small_star(_large_star(edges)), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        if state[0]:
-            raise RuntimeError(f"edges are not stable after {MOST_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        nodes, seen = _neighbours(edges)
+        if not seen["loose"]:
+            return nodes.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        edges = _small_star(_large_star(edges, nodes, seen["n"]))
+    raise RuntimeError(f"edges are not stable after {MOST_ROUNDS} rounds")

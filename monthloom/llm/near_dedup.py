@@ -14,7 +14,7 @@
    outside the bucket's main component against all.  What comes out is no pair,
    but which representative has to meet which part of the main component, and
    which have to meet in its pool.
-4. These meet on full sets, again inside bounded tasks; only links come out.
+4. These meet on full sets, every shingle in two independent 64-bit hashes, again inside bounded tasks; only links come out.
    Both sides are cut into parts, so no bucket, component or pool, however
    large, lands in one task, and none is capped.
 
@@ -47,7 +47,7 @@ PART = 2048             # members of a bucket or component in one task
 QUERY_PART = 1024
 BROADCAST_IDS = 1_000_000
 SLICE_BYTES = 1 << 20
-_CODE_BYTES = 6         # of a shingle's hash, in sets that are shipped
+_PROOF = 1              # seed of a second, independent hash of every shingle
 
 _RANDOM = np.random.default_rng(8)
 _FACTOR = _RANDOM.integers(1, 1 << 63, size=(HASHES, 1), dtype=np.uint64) | np.uint64(1)
@@ -65,8 +65,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
-def _set_hash(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def _set_hash(shingles: np.ndarray, proof: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes() + proof.tobytes(), digest_size=16).digest()
+
+
+def _both_sets(texts: list[str | None], words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The set of every text under both hashes, 128 bits in all."""
+    return list(zip(shingle_sets(texts, words), shingle_sets(texts, words, _PROOF)))
 
 
 def _band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -84,14 +89,14 @@ def _signatures(words: int):
         slot = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in slices(batch, "text", SLICE_BYTES):
-                sets = shingle_sets(some.column("text").to_pylist(), words)
-                signatures = np.stack([minima(s) for s in sets])
+                sets = _both_sets(some.column("text").to_pylist(), words)
+                signatures = np.stack([minima(s) for s, _ in sets])
                 bits = np.packbits((signatures & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 keys = _band_keys(signatures)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(slot, slot + n)), some.column("row"), some.column("doc_id"),
-                    pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_set_hash(s) for s in sets]),
+                    pa.array([len(s) for s, _ in sets], type=pa.int64()), pa.array([_set_hash(*s) for s in sets]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
                     pa.array(bits[:, 0]), pa.array(bits[:, 1]),
                 ], schema=_SIGNATURE)
@@ -100,27 +105,27 @@ def _signatures(words: int):
 
 
 def _codes(words: int):
-    """(set_hash, n, codes): full sets, sorted, in six bytes a shingle."""
+    """(set_hash, codes, proof): full sets, sorted, under both hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", SLICE_BYTES):
-                sets = shingle_sets(some.column("text").to_pylist(), words)
+                sets = _both_sets(some.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([_set_hash(s) for s in sets]), pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array([_packed(s) for s in sets], type=pa.binary()),
-                ], names=["set_hash", "n", "codes"])
+                    pa.array([_set_hash(*s) for s in sets]),
+                    *[pa.array([s[k].tobytes() for s in sets], type=pa.binary()) for k in (0, 1)],
+                ], names=["set_hash", "codes", "proof"])
     return run
 
 
-def _packed(shingles: np.ndarray) -> bytes:
-    """The upper bytes of sorted hashes, which keeps their order."""
-    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 8 - _CODE_BYTES:]).tobytes()
+def _set_of(codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, dtype=np.uint64)
 
 
-def _unpacked(codes: bytes) -> np.ndarray:
-    wide = np.zeros((len(codes) // _CODE_BYTES, 8), dtype=np.uint8)
-    wide[:, :_CODE_BYTES] = np.frombuffer(codes, dtype=np.uint8).reshape(-1, _CODE_BYTES)
-    return wide.view(np.uint64).ravel()
+def _proven(a: bytes, b: bytes, similarity: int) -> bool:
+    """Whether two sets are linked, from their bytes under one hash."""
+    x, y = _set_of(a), _set_of(b)
+    return bool(_may_link(len(x), len(y), similarity) and _linked(
+        len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
 
 
 def _linked(common, a, b, similarity: int):
@@ -128,17 +133,12 @@ def _linked(common, a, b, similarity: int):
 
 
 def _confirm(similarity: int):
-    """Pairs with both sets to the pairs that are links."""
+    """Pairs with both sets to the pairs that are links under both hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (batch.column(c).to_pylist() for c in ("u", "v", "codes_u", "codes_v"))
-            keep = []
-            for x, y in zip(a, b):
-                x, y = _unpacked(x), _unpacked(y)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if _may_link(len(x), len(y), similarity) else 0
-                keep.append(bool(_linked(common, len(x), len(y), similarity)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k for k, y in zip(c, keep) if y], type=pa.int64()) for c in (u, v)], names=["u", "v"])
+            u, v, *sets = (batch.column(c).to_pylist() for c in ("u", "v", "codes_u", "codes_v", "proof_u", "proof_v"))
+            keep = [k for k, (a, b, c, d) in enumerate(zip(*sets)) if _proven(a, b, similarity) and _proven(c, d, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], type=pa.int64()) for c in (u, v)], names=["u", "v"])
     return run
 
 
@@ -163,7 +163,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in whole_groups(batches, ["bucket", "q_part", "m_part"]):
         columns = {c: group.column(c).to_numpy() for c in ("node", "root", "main", "part", "bits0", "bits1")}
         asks = group.column("asks").to_numpy(zero_copy_only=False)
-        bits = np.stack([columns["bits0"], columns["bits1"]], axis=1)
+        bits = np.stack([columns["bits0"], columns["bits1"]], axis=1).view(np.uint64)  # of negative numbers, numpy counts other bits
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         in_main = columns["root"][m] == columns["main"][m]
         found = set()
@@ -190,7 +190,8 @@ def _meet(similarity: int):
         for group in whole_groups(batches, ["root", "part", "q_part", "m_part"]):
             asks = group.column("asks").to_numpy(zero_copy_only=False)
             nodes = group.column("node").to_numpy()
-            sets = [_unpacked(c) for c in group.column("codes").to_pylist()]
+            sets = [_set_of(c) for c in group.column("codes").to_pylist()]
+            proof = group.column("proof")
             q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(q) or not len(m):
                 continue
@@ -205,7 +206,8 @@ def _meet(similarity: int):
                 at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                 common = np.bincount(owner[at], minlength=len(m))
                 links += [(int(nodes[i]), int(nodes[m[j]])) for j in np.flatnonzero(
-                    _linked(common, len(sets[i]), sizes, similarity)) if nodes[i] != nodes[m[j]]]
+                    _linked(common, len(sets[i]), sizes, similarity)) if nodes[i] != nodes[m[j]]
+                    and _proven(proof[int(i)].as_py(), proof[int(m[j])].as_py(), similarity)]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*links)], names=["u", "v"])
     return run
@@ -275,7 +277,7 @@ def _hidden_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots
     asking = asks.join(targets, ["root", "part"]).select(
         "root", "part", _dealt(F.col("node"), F.col("q_parts")).alias("q_part"), _each("m_parts").alias("m_part"),
         F.lit(True).alias("asks"), "node")
-    meeting = asked.union(asking).join(sets.select("node", "codes"), "node")
+    meeting = asked.union(asking).join(sets.select("node", "codes", "proof"), "node")
     return _grouped(meeting, ["root", "part", "q_part", "m_part"]).mapInArrow(_meet(similarity), "u long, v long")
 
 
@@ -302,12 +304,9 @@ def _labelled(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         _signatures(words),
         "slot long, row long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits0 long, bits1 long"),
         "signatures")
-    least = rows.filter("n_shingles > 0").groupBy("set_hash").agg(
-        F.min("slot").alias("node"), F.min("doc_id").alias("first_id"))
-    least = written(least, "classes")
-    classes = rows.join(least.select("node"), rows["slot"] == F.col("node")).select(
-        "node", "doc_id", "set_hash", "bands", "bits0", "bits1")
-    classes = written(classes, "representatives")
+    first = F.min(F.struct(F.col("slot").alias("node"), "doc_id", "bands", "bits0", "bits1"))
+    classes = rows.filter("n_shingles > 0").groupBy("set_hash").agg(first.alias("first"), F.min("doc_id").alias("first_id"))
+    classes = written(classes.select("set_hash", "first.*", "first_id"), "classes")
     # buckets with two members or more, each with its smallest
     spread = classes.select(F.explode("bands").alias("bucket"), "node")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1")
@@ -315,24 +314,24 @@ def _labelled(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     sets = _full_sets(own, classes, members, words)
     star = members.filter("node <> center").select("node", "center").distinct()
     # the join on the hot side, the centers, comes last and alone, so that its large partitions can be split
-    pairs = star.join(sets.select("node", F.col("codes").alias("codes_v"), "bits0", "bits1"), "node").join(
-        sets.select(F.col("node").alias("center"), F.col("codes").alias("codes_u"), F.col("bits0").alias("c0"),
+    pairs = star.join(sets.select("node", F.col("codes").alias("codes_v"), F.col("proof").alias("proof_v"), "bits0", "bits1"), "node").join(
+        sets.select(F.col("node").alias("center"), F.col("codes").alias("codes_u"), F.col("proof").alias("proof_u"), F.col("bits0").alias("c0"),
                     F.col("bits1").alias("c1")), "center")
     pairs = pairs.filter(_apart(F.col("bits0"), F.col("bits1"), F.col("c0"), F.col("c1")) <= BITS_APART).select(
-        F.col("center").alias("u"), F.col("node").alias("v"), "codes_u", "codes_v")
+        F.col("center").alias("u"), F.col("node").alias("v"), "codes_u", "codes_v", "proof_u", "proof_v")
     links = written(pairs.mapInArrow(_confirm(similarity), "u long, v long"), "links")
     roots = components(links)
     hidden = written(_hidden_links(members, classes, sets, roots, similarity), "hidden")
     stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = components(stars.union(hidden.select("u", "v"))) if hidden.limit(1).count() else roots
-    labels = _with_roots(least.select("node", "set_hash", "first_id"), roots)
+    labels = _with_roots(classes.select("node", "set_hash", "first_id"), roots)
     smallest = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(smallest, "root").select("set_hash", "root", "component_id")
     return rows.join(labels, "set_hash", "left").select("row", "doc_id", "n_shingles", "root", "component_id")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(node, n, codes, bits0, bits1) of the representatives that share a bucket.
+    """(node, codes, proof, bits0, bits1) of the representatives that share a bucket.
 
     Their texts are read again.  The list of their ids filters the scan where
     it is short enough to be broadcast, and is joined by key otherwise.
@@ -342,9 +341,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    coded = texts.mapInArrow(_codes(words), "set_hash binary, n long, codes binary")
+    coded = texts.mapInArrow(_codes(words), "set_hash binary, codes binary, proof binary")
     coded = coded.join(wanted.select("set_hash", "node", "bits0", "bits1"), "set_hash")
-    return written(coded.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "codes", "bits0", "bits1")]), "sets")
+    return written(coded.groupBy("node").agg(*[F.first(c).alias(c) for c in ("codes", "proof", "bits0", "bits1")]), "sets")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:

@@ -1,16 +1,21 @@
-"""Word shingles of texts as sets of 64-bit hashes, computed for many texts at once."""
+"""Word shingles of texts as sets of 64-bit hashes, computed for many texts at once.
+
+A word is hashed by eight bytes at a time: each block is mixed, by functions
+that are not linear, with its place in the word before the blocks are summed.
+Seeds give independent functions.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_RANDOM = np.random.default_rng(20240229)
-# a random odd number for each byte; in the second table A to Z count as a to z
-_BYTE = _RANDOM.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
+# A to Z count as a to z
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A"):ord("Z") + 1] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -22,13 +27,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    steps = np.full(max(n, 1), _STEP, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+@dataclass(frozen=True)
+class Runs:
+    """Runs of bytes: their hashes, and the blocks of eight bytes that tell them apart for certain."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray   # bytes of each run
+    blocks: np.ndarray  # of all runs, one after the other
+    first: np.ndarray   # of each run
+    counts: np.ndarray  # of each run
+
+    def take(self, rows: np.ndarray) -> "Runs":
+        """Some of the runs; their blocks stay where they are."""
+        return Runs(self.hashes[rows], self.sizes[rows], self.blocks, self.first[rows], self.counts[rows])
 
+    def packed(self) -> np.ndarray:
+        """The blocks of the runs in order."""
+        ends = np.cumsum(self.counts)
+        return self.blocks[np.repeat(self.first - (ends - self.counts), self.counts) + np.arange(ends[-1] if len(ends) else 0)]
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def same(self, other: "Runs") -> bool:
+        """Whether every run has the bytes of the other's at its place."""
+        return bool((self.sizes == other.sizes).all()) and bool((self.packed() == other.packed()).all())
+
+
+def hashed_runs(data: np.ndarray, starts: np.ndarray, skipped: np.ndarray, folded: bool, seed: int = 0) -> Runs:
+    """The bytes from each start to the next, without the skipped ones at their ends."""
+    base = starts[0]
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(base, len(data)) - np.repeat(starts, lengths)
+    values = (_FOLDED[data[base:]] if folded else data[base:]).astype(np.uint64)
+    kept = ~skipped[base:]
+    values *= kept
+    values <<= ((place & 7) << 3).astype(np.uint64)
+    heads = np.flatnonzero((place & 7) == 0)
+    blocks = np.add.reduceat(values, heads)
+    salts = (place[heads] >> 3).astype(np.uint64) * _STEP + np.uint64(seed)
+    spread = mixed(mixed(salts) ^ blocks)
+    full = kept[heads]  # a block of skipped bytes only says nothing
+    spread *= full
+    first = np.searchsorted(heads, starts - base)
+    sizes = np.add.reduceat(kept.astype(np.int64), starts - base)
+    hashes = mixed(np.add.reduceat(spread, first) + mixed(sizes.astype(np.uint64) + _WORD_STEP + np.uint64(seed)))
+    return Runs(hashes, sizes, blocks, first, -(-sizes // 8))
+
+
+def _word_hashes(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in bytes."""
     space = SPACES[data]
     before = np.empty(len(data) + 1, dtype=bool)
@@ -36,20 +80,18 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(before[:-1] & ~space)
     if not len(starts):
         return starts, np.zeros(0, dtype=np.uint64)
-    return starts, hashed_runs(data, starts, space, True)
+    return starts, hashed_runs(data, starts, space, True, seed).hashes
 
 
-def hashed_runs(data: np.ndarray, starts: np.ndarray, skipped: np.ndarray, folded: bool) -> np.ndarray:
-    """Hashes of the bytes from each start to the next, without the skipped ones at their ends."""
-    base = starts[0]
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(base, len(data)) - np.repeat(starts, lengths)
-    values = (_FOLDED if folded else _BYTE)[data[base:]] * _powers(int(lengths.max()))[place]
-    values[skipped[base:]] = 0
-    return mixed(np.add.reduceat(values, starts - base))
+def _folded_sum(hashes: np.ndarray, words: int, n: int, seed: int) -> np.ndarray:
+    """One number for each run of so many words, by mixing in one after the other."""
+    runs = np.full(n, words + (seed << 32), dtype=np.uint64)
+    for k in range(words):
+        runs = mixed(runs ^ hashes[k:k + n]) + _STEP
+    return runs
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int, seed: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingles of every text; a shorter text is one shingle, one without words none.
 
     A to Z count as a to z.  Words are separated by the space and U+0009 to U+000D.
@@ -57,26 +99,15 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(coded) + b" ", dtype=np.uint8)
     ends = np.cumsum([len(c) + 1 for c in coded])
-    starts, hashes = _word_hashes(data)
+    starts, hashes = _word_hashes(data, seed)
     bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
-    steps = _powers_of(_WORD_STEP, words)
-    n = len(hashes) - words + 1
-    runs = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(words if n > 0 else 0):
-        runs += hashes[k:k + n] * steps[k]
-    runs = mixed(runs)
+    runs = _folded_sum(hashes, words, max(len(hashes) - words + 1, 0), seed)
     found = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= words:
             found.append(np.unique(runs[a:b - words + 1]))
         elif b > a:
-            found.append(mixed((hashes[a:b] * steps[:b - a]).sum(dtype=np.uint64, keepdims=True)))
+            found.append(_folded_sum(hashes[a:b], b - a, 1, seed))
         else:
             found.append(np.zeros(0, dtype=np.uint64))
     return found
-
-
-def _powers_of(step: np.uint64, n: int) -> np.ndarray:
-    steps = np.full(n, step, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)

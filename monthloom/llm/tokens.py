@@ -7,8 +7,9 @@ or what stands between words; cuts are made only where both sides are known
 letters, common marks or single line ends.  The chunks of many texts are hashed
 at once, each distinct one is looked up or encoded, and the ids are gathered by
 array operations.  The table of a worker is emptied when it is full.  Texts with
-special tokens or unusual white space are encoded in one piece.  Chunks are told
-apart by 64-bit hashes.
+special tokens or unusual white space are encoded in one piece.  Chunks are found
+by 64-bit hashes and compared byte by byte, with each other and with the table;
+texts with chunks of equal hash but other bytes are encoded in one piece too.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import re
 
 import numpy as np
 
-from monthloom.llm.shingles import SPACES, hashed_runs
+from monthloom.llm.shingles import SPACES, Runs, hashed_runs
 
-TABLE_LIMIT = 1_200_000  # chunks, near 40 bytes each
+TABLE_LIMIT = 1_200_000  # chunks, near 60 bytes each
+TABLE_BLOCKS = 8_000_000  # of eight bytes
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = ".,;:!?|"
 _ONE_PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
@@ -43,6 +45,23 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class EqualHashes(Exception):
+    """Two chunks have one hash."""
+
+
+class _Grown:
+    """An array that numbers are added to."""
+
+    def __init__(self, dtype):
+        self.size, self.values = 0, np.zeros(1 << 14, dtype=dtype)
+
+    def add(self, more: np.ndarray) -> None:
+        while self.size + len(more) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+
 class _Table:
     """Ids of known chunks, one after the other in an array; hashes in sorted order name their numbers."""
 
@@ -53,28 +72,47 @@ class _Table:
     def clear(self) -> None:
         self.size = 0
         self._hashes, self._numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-        self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.ends = np.zeros(1 << 14, dtype=np.int64)  # of chunk k at k + 1
+        self._ids, self._ends = _Grown("<u4"), _Grown(np.int64)  # the end of chunk k is at k + 1
+        self._ends.add(np.zeros(1, dtype=np.int64))
+        self._blocks, self._first, self._sizes = _Grown(np.uint64), _Grown(np.int64), _Grown(np.int64)
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self._ids.values
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self._ends.values
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of sorted hashes, -1 for those that are missing."""
+    def has_room(self, chunks: Runs) -> bool:
+        return (self.size + len(chunks.hashes) <= self.limit
+                and self._blocks.size + int(chunks.counts.sum()) <= TABLE_BLOCKS)
+
+    def find(self, chunks: Runs) -> np.ndarray:
+        """Numbers of chunks in the order of their hashes, -1 for those that are missing."""
         if not self.size:
-            return np.full(len(hashes), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self._hashes, hashes), self.size - 1)
-        return np.where(self._hashes[at] == hashes, self._numbers[at], -1).astype(np.int64)
+            return np.full(len(chunks.hashes), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self._hashes, chunks.hashes), self.size - 1)
+        known = self._hashes[at] == chunks.hashes
+        numbers = np.where(known, self._numbers[at], -1).astype(np.int64)
+        rows = numbers[known]
+        sizes = self._sizes.values[rows]
+        stored = Runs(self._hashes[at[known]], sizes, self._blocks.values, self._first.values[rows], -(-sizes // 8))
+        if not stored.same(chunks.take(known)):
+            raise EqualHashes
+        return numbers
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def add(self, chunks: Runs, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers of new chunks, whose ids follow each other."""
         begin, end = self.size, int(self.ends[self.size])
-        self.size += len(hashes)
-        while end + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.size + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[end:end + len(ids)] = ids
-        self.ends[begin + 1:self.size + 1] = end + np.cumsum(counts)
+        self.size += len(chunks.hashes)
+        self._ids.add(ids)
+        self._ends.add(end + np.cumsum(counts))
+        self._first.add(self._blocks.size + np.cumsum(chunks.counts) - chunks.counts)
+        self._blocks.add(chunks.packed())
+        self._sizes.add(chunks.sizes)
         numbers = np.arange(begin, self.size)
-        every = np.concatenate([self._hashes, hashes])
+        every = np.concatenate([self._hashes, chunks.hashes])
         order = np.argsort(every, kind="stable")
         self._hashes = every[order]
         self._numbers = np.concatenate([self._numbers, numbers.astype(np.int32)])[order]
@@ -97,7 +135,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         plain = [t or "" for t in texts]
         alone = {k: self._direct(t) for k, t in enumerate(plain) if self._irregular(t)}
-        ids, sizes = self._by_chunks([("" if k in alone else t).encode() for k, t in enumerate(plain)])
+        try:
+            ids, sizes = self._by_chunks([("" if k in alone else t).encode() for k, t in enumerate(plain)])
+        except EqualHashes:
+            pieces = [alone.get(k, self._direct(t)) for k, t in enumerate(plain)]
+            return np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
         if not alone:
             return ids, sizes
         pieces = np.split(ids, np.cumsum(sizes)[:-1])
@@ -131,9 +173,11 @@ class Encoder:
         starts = np.flatnonzero(heads)
         if not len(starts):
             return np.zeros(0, dtype="<u4"), np.zeros(len(coded), dtype=np.int64)
-        keys, first, inverse = np.unique(hashed_runs(data, starts, skipped, not self._spaced),
-                                         return_index=True, return_inverse=True)
-        numbers = self._numbers(keys, first, data, starts, ends)
+        chunks = hashed_runs(data, starts, skipped, not self._spaced)
+        _, first, inverse = np.unique(chunks.hashes, return_index=True, return_inverse=True)
+        if not chunks.same(chunks.take(first[inverse])):
+            raise EqualHashes
+        numbers = self._numbers(chunks.take(first), first, data, starts, ends)
         begin, end = self._table.ends[numbers], self._table.ends[numbers + 1]
         begin, counts = begin[inverse], (end - begin)[inverse]
         filled = np.cumsum(counts)
@@ -141,15 +185,15 @@ class Encoder:
         through = np.concatenate([[0], filled])[np.searchsorted(starts, ends)]
         return ids, np.diff(through, prepend=0)
 
-    def _numbers(self, keys, first, data, starts, ends) -> np.ndarray:
-        """Numbers of the chunks in the table; the missing ones are encoded."""
-        numbers = self._table.find(keys)
+    def _numbers(self, chunks: Runs, first, data, starts, ends) -> np.ndarray:
+        """Numbers of distinct chunks in the table; the missing ones are encoded."""
+        numbers = self._table.find(chunks)
         missing = np.flatnonzero(numbers < 0)
         if not len(missing):
             return numbers
-        if self._table.size + len(missing) > self._table.limit:
+        if not self._table.has_room(chunks.take(missing)):
             self._table.clear()
-            missing = np.arange(len(keys))
+            missing = np.arange(len(first))
         begins = starts[first[missing]]
         stops = np.append(starts, len(data))[first[missing] + 1]
         if self._spaced:
@@ -158,7 +202,7 @@ class Encoder:
         found = [self._chunk((raw[a:b] if self._spaced else raw[a:b].split()[0]).decode())
                  for a, b in zip(begins.tolist(), stops.tolist())]
         counts = np.array([len(f) for f in found])
-        numbers[missing] = self._table.add(keys[missing], np.array([i for f in found for i in f], dtype="<u4"), counts)
+        numbers[missing] = self._table.add(chunks.take(missing), np.array([i for f in found for i in f], dtype="<u4"), counts)
         return numbers
 
     def _chunk(self, chunk: str) -> list[int]:
