@@ -13,7 +13,9 @@ leftmost scan of the whole text with their patterns gives:
   ``street`` (house number before or after a street name with a street word).
 
 Defined results: a null or empty text has no spans; any length is scanned
-whole; rows are independent, so repeated rows give repeated results.
+whole; rows are independent, so repeated rows give repeated results and an empty
+table gives none; other columns are carried, whatever their names, and one named
+like the result gives way to it.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@ Only counts per host are shuffled, combined on the map side.  The verdicts
 come back as the list of rejected hosts: broadcast while it is short, joined
 by key beyond that.
 
-Defined results: a null text has no words and fails; documents with a null
-source form a host of their own; repeated rows count as often as they occur;
-an empty table gives no rows.
+Defined results: a null text has no words and fails; texts of any length are
+measured whole; documents with a null source form a host of their own; repeated
+rows count as often as they occur; an empty table gives no rows; other columns
+are ignored by the table and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,14 +78,20 @@ def host_rates(rows: DataFrame) -> DataFrame:
     """Per host: documents, failures and the failure rate shrunk to the prior.
 
     ``rows`` needs ``source`` and ``_quality``.  With mean m and variance v of
-    the hosts' rates the prior counts for m(1 - m)/v - 1 documents.
+    the hosts' rates the prior counts for m(1 - m)/v - 1 documents.  The rates of
+    small hosts also vary by chance: of the variance over hosts, the mean of
+    m(1 - m)/n is no difference between hosts and taken off.  Where nothing is
+    left, hosts don't differ, and the prior counts for ``FLAT_STRENGTH``.
     """
     hosts = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_quality.base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n")).alias("c"))
+    chance = F.col("m") * (1 - F.col("m"))
+    prior = prior.withColumn("between", F.col("v") - chance * F.col("c"))
+    # a variance of nothing but rounding is none
     prior = prior.select("m", F.when(
-        F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))
+        F.col("between") > 1e-9, F.least(F.greatest(chance / F.col("between") - 1, F.lit(0.0)), F.lit(FLAT_STRENGTH))
     ).otherwise(F.lit(FLAT_STRENGTH)).alias("strength"))
     shrunk = hosts.withColumn("_prior", prior.select(F.struct("m", "strength")).scalar())
     strength = F.col("_prior.strength")

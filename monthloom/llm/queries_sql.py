@@ -29,9 +29,10 @@ WITH w AS (
 ), hosts AS (
   SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed FROM judged GROUP BY source
 ), prior AS (
-  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts
+  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v, avg(1.0 / n) AS c FROM hosts
 ), strength AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 1000 END AS s FROM prior
+  SELECT m, CASE WHEN v - m * (1 - m) * c > 1e-9 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * c) - 1, 0), 1000)
+            ELSE 1000 END AS s FROM prior
 ), rejected AS (
   SELECT source FROM hosts, strength WHERE (failed + m * s) / (n + s) > 0.5
 )

@@ -17,10 +17,15 @@ be a key or token:
   whole cipher blocks if its header lines name a cipher.
 
 A key may be wrapped: neighbouring base64 or hex lines of equal length, with
-the shorter last one, are one candidate where no line is a key by itself.
+the shorter last one, are one candidate where no line is a key by itself.  Lines
+are decoded once, and a candidate is looked at only if its first bytes state the
+size that it has, so the time grows with the length of the text.
 
 Defined results: a null or empty text has no spans; any length is scanned
-whole; rows are independent.
+whole; rows are independent, so repeated rows have equal spans and an empty
+table gives none; other columns are carried, whatever their names, and one named
+like the result gives way to it.  Elements nested deeper than 16 levels, which no
+key format has, are not confirmed.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -45,12 +51,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{48,}")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_THREE_PARTS = re.compile(r"(?<![A-Za-z0-9_-])(?=(([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*))")
+# three parts, looked for at the beginning of runs only
+_THREE_PARTS = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
                   r"(?:[ \t]*\r?\n((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*)+))?([A-Za-z0-9+/=\s]*)-----END \1-----")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_HEX_LINE = re.compile(r"[0-9A-Fa-f]+")
+_FIELD_NAMES = (b"ssh-", b"ecdsa-", b"sk-")
+_LONGEST_NAME = 64
 _FIRST = "MAb036"  # how keys start in base64 or hex
 _LEAST_BYTES = 16
 _DEEPEST = 16
@@ -64,7 +73,7 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
+def _elements(data: memoryview) -> list[tuple[int, memoryview]] | None:
     """Tags and contents that fill ``data`` exactly; nothing if the lengths don't add up."""
     found, at = [], 0
     while at < len(data):
@@ -85,15 +94,16 @@ def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return found
 
 
-def _nested(data: bytes, depth: int = 0) -> bool:
+def _nested(data: memoryview, depth: int = 0) -> bool:
     """Whether the lengths of constructed elements add up at every level."""
     found = _elements(data)
     if found is None or depth > _DEEPEST:
         return False
-    return all(bool(content) and _nested(content, depth + 1) for tag, content in found if tag in (0x30, 0x31))
+    return all(len(content) > 0 and _nested(content, depth + 1) for tag, content in found if tag in (0x30, 0x31))
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | memoryview) -> bool:
+    data = memoryview(data)
     if len(data) < _LEAST_BYTES or data[0] != 0x30:
         return False
     outer = _elements(data)
@@ -110,7 +120,7 @@ def is_der_key(data: bytes) -> bool:
     return integers or wrapped or named  # named: the algorithm of a public key's bits or of an encrypted key's bytes
 
 
-def _fields(data: bytes, at: int) -> list[bytes] | None:
+def _fields(data: memoryview, at: int) -> list[memoryview] | None:
     found = []
     while at < len(data):
         size = int.from_bytes(data[at:at + 4], "big")
@@ -121,15 +131,20 @@ def _fields(data: bytes, at: int) -> list[bytes] | None:
     return found
 
 
-def is_ssh_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\x00"
-    if data.startswith(magic):
+def is_ssh_key(data: bytes | memoryview) -> bool:
+    data, magic = memoryview(data), b"openssh-key-v1\x00"
+    if data[:len(magic)] == magic:
         at = len(magic)
         for _ in range(3):  # cipher, derivation, its options
             at += 4 + int.from_bytes(data[at:at + 4], "big")
         return at + 4 < len(data) and bool(_fields(data, at + 4))
-    fields = _fields(data, 0) if len(data) >= _LEAST_BYTES and data[:2] == b"\0\0" else None
-    return bool(fields) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    fields = _fields(data, 0) if len(data) >= _LEAST_BYTES and _starts_with_name(data) else None
+    return bool(fields) and len(fields) >= 2
+
+
+def _starts_with_name(data: bytes | memoryview) -> bool:
+    """Whether the first field is the name of a public key."""
+    return 4 <= int.from_bytes(data[:4], "big") <= _LONGEST_NAME and bytes(data[4:10]).startswith(_FIELD_NAMES)
 
 
 def _json_object(run: str) -> dict | None:
@@ -145,7 +160,7 @@ def is_token(header: str, payload: str) -> bool:
     return head is not None and isinstance(head.get("alg"), str) and _json_object(payload) is not None
 
 
-def _kind_of(data: bytes | None) -> str | None:
+def _kind_of(data: bytes | memoryview | None) -> str | None:
     if not data:
         return None
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
@@ -153,7 +168,7 @@ def _kind_of(data: bytes | None) -> str | None:
 
 def _may_be_key(start: bytes | None) -> bool:
     """Cheap test of the first bytes, before a long run is decoded."""
-    return bool(start) and (start[0] == 0x30 or start[:2] == b"\0\0" or start.startswith(b"openssh-k"[:len(start)]))
+    return bool(start) and (start[0] == 0x30 or start[:3] == b"\0\0\0" or start.startswith(b"openssh-k"[:len(start)]))
 
 
 def _is_encrypted(headers: str | None, body: str) -> bool:
@@ -163,23 +178,15 @@ def _is_encrypted(headers: str | None, body: str) -> bool:
 
 
 def _may_fill(start: bytes, size: int) -> bool:
-    """Whether a sequence that starts so can have ``size`` bytes; true for other content."""
-    if start[0] != 0x30 or len(start) < 6:
-        return _may_be_key(start)
+    """Whether a key that starts so can have ``size`` bytes, from its first dozen."""
+    if len(start) < 6:
+        return False
+    if start[0] != 0x30:
+        return _starts_with_name(start) if start[:2] == b"\0\0" else start.startswith(b"openssh-k"[:len(start)])
     width = start[1] & 0x7F if start[1] & 0x80 else 0
     return width <= 4 and size == 2 + width + (int.from_bytes(start[2:2 + width], "big") if width else start[1])
 
 
-def _kind_of_lines(lines: list[str]) -> str | None:
-    """The kind of key that lines hold together, in hex digits or base64."""
-    size = sum(map(len, lines)) - lines[-1].count("=")
-    for start, whole, decode in ((_unhexed(lines[0][:12]), size // 2, _unhexed), (_decoded(lines[0][:12]), size * 3 // 4, _decoded)):
-        kind = _kind_of(decode("".join(lines))) if start and _may_fill(start, whole) else None
-        if kind:
-            return kind
-    return None
-
-
 def _unhexed(run: str) -> bytes | None:
     try:
         return bytes.fromhex(run)
@@ -187,6 +194,38 @@ def _unhexed(run: str) -> bytes | None:
         return None
 
 
+class _Joined:
+    """Lines put together and decoded at most once for each way their digits can fall into groups."""
+
+    def __init__(self, lines: list[str]):
+        self._text, self._done = "".join(lines), {}
+        self.size = len(self._text.rstrip("="))
+        digits, self._hex_from = len(self._text), len(self._text)
+        for line in reversed(lines):
+            if not _HEX_LINE.fullmatch(line):
+                break
+            digits -= len(line)
+            self._hex_from = digits
+
+    def key_at(self, at: int) -> str | None:
+        """The kind of key that everything from a place on holds, in hex digits or base64."""
+        start = _unhexed(self._text[at:at + 24]) if at >= self._hex_from else None
+        if start and _may_fill(start, (self.size - at) // 2):
+            kind = _kind_of(self._from(at, 2, 1, _unhexed))
+            if kind:
+                return kind
+        start = _decoded(self._text[at:at + 16])
+        return _kind_of(self._from(at, 4, 3, _decoded)) if start and _may_fill(start, (self.size - at) * 3 // 4) else None
+
+    def _from(self, at: int, digits: int, size: int, decode) -> memoryview | None:
+        begin = self._hex_from if decode is _unhexed else 0
+        begin += (at - begin) % digits
+        if (digits, begin) not in self._done:
+            self._done[digits, begin] = decode(self._text[begin:])
+        data = self._done[digits, begin]
+        return memoryview(data)[(at - begin) // digits * size:] if data else None
+
+
 def _wrapped(text: str) -> list[Span]:
     """Keys over several lines of equal length and a last one at most as long."""
     spans = []
@@ -198,10 +237,10 @@ def _wrapped(text: str) -> list[Span]:
             while same < len(lines) and lines[same][1] - lines[same][0] == width:
                 same += 1
             stops = [same + 1, same] if same < len(lines) and lines[same][1] - lines[same][0] < width else [same]
-            for first, stop in ((first, stop) for first in range(at, same) for stop in stops if stop - first > 1):
-                if text[lines[first][0]] not in _FIRST:
-                    continue
-                kind = _kind_of_lines([text[a:b] for a, b in lines[first:stop]])
+            starts = [k for k in range(at, same) if text[lines[k][0]] in _FIRST]
+            joined = {stop: _Joined([text[a:b] for a, b in lines[at:stop]]) for stop in stops} if starts else {}
+            for first, stop in ((first, stop) for first in starts for stop in stops if stop - first > 1):
+                kind = joined[stop].key_at((first - at) * width)
                 if kind:
                     spans.append((kind, lines[first][0], lines[stop - 1][1]))
                     break
@@ -209,6 +248,17 @@ def _wrapped(text: str) -> list[Span]:
     return spans
 
 
+def _tokens(text: str) -> list[Span]:
+    """Signed tokens among three parts with dots; a header may begin inside the first part, where JSON often does."""
+    spans = []
+    for m in _THREE_PARTS.finditer(text):
+        inside = m[1].find("eyJ")
+        for at in {0, inside} if inside >= 0 else {0}:
+            if len(m[1]) - at >= 4 and is_token(m[1][at:], m[2]):
+                spans.append(("jwt", m.start(1) + at, m.end(3)))
+    return spans
+
+
 def find(text: str) -> list[Span]:
     """Spans by start, then kind as listed."""
     spans = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -221,13 +271,15 @@ def find(text: str) -> list[Span]:
         if len(m[0]) % 2 == 0 and _may_be_key(bytes.fromhex(m[0][:18])):
             kind = _kind_of(bytes.fromhex(m[0]))
             spans += [(kind, *m.span())] if kind else []
-    if "eyJ" in text:
-        spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
-    spans += [("jwt", *m.span(1)) for m in _THREE_PARTS.finditer(text) if is_token(m[2], m[3])]
+    spans += _tokens(text)
     blocks = _PEM.finditer(text) if "-----BEGIN " in text else []
     blocks = [m.span() for m in blocks if _kind_of(_decoded("".join(m[3].split()))) or _is_encrypted(m[2], "".join(m[3].split()))]
     spans += [("pem", *b) for b in blocks]
-    spans += [s for s in _wrapped(text) if not any(a <= s[1] and s[2] <= b for a, b in blocks)]
+    begins = [a for a, _ in blocks]
+    for span in _wrapped(text):
+        at = bisect_right(begins, span[1]) - 1
+        if at < 0 or span[2] > blocks[at][1]:
+            spans.append(span)
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

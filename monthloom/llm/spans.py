@@ -22,22 +22,22 @@ def add_spans(docs: DataFrame, column: str, find: Callable[[str], list[Span]], c
     """The carried columns (all of them, if none are named) and the spans of ``text`` as ``column``.
 
     Works row by row in batches, without a shuffle; positions count code
-    points, ends are exclusive.
+    points, ends are exclusive.  The carried columns travel as one, so their
+    names don't matter; one named like ``column`` gives way to it.
     """
-    names = carry if carry is not None else docs.columns
-    kept = docs.select(*[f"`{c}`" for c in names])
-    source = docs.select(*[f"`{c}`" for c in names], F.col("text").alias("_finder_text"))
+    names = [c for c in (carry if carry is not None else docs.columns) if c.lower() != column.lower()]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    source = docs.select(F.struct(*quoted).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "_finder_text", SLICE_BYTES):
+            for some in slices(batch, "text", SLICE_BYTES):
                 found = [[{"kind": k, "begin": a, "end": b} for k, a, b in find(t)] if t else []
-                         for t in some.column("_finder_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[some.column(c) for c in names], pa.array(found, type=_ARROW_SPANS)], names=[*names, column])
+                         for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(found, type=_ARROW_SPANS)], names=["row", "spans"])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField(column, SPAN_TYPE)])
-    return source.mapInArrow(run, schema)
+    schema = T.StructType([source.schema["row"], T.StructField("spans", SPAN_TYPE)])
+    return source.mapInArrow(run, schema).select(*[f"row.{c}" for c in quoted], F.col("spans").alias(column))
 
 
 def replace_texts(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:

@@ -13,7 +13,10 @@ probabilities, in whole numbers so that sums are exact.  A character without a
 piece costs one byte piece per UTF-8 byte.
 
 The trie and the table of words are kept between slices by each worker and
-emptied at a set size.  Rows are independent and nothing is shuffled.
+emptied at a set size.  Prefixes of more than ``NODE_DEPTH`` characters, which
+words hardly share, get no node: of them only the last values are kept that a
+piece can still reach, so a word of any length takes no memory of its own.  Rows
+are independent and nothing is shuffled.
 
 Defined results: a null or empty text has no pre-tokens; texts of any length
 are counted whole; repeated rows give repeated results; extra columns are
@@ -34,7 +37,9 @@ from monthloom.llm.arrow import slices
 WORD_MARK = "▁"
 _UNIT = 1 << 40  # above any number of pieces
 NODE_LIMIT = 600_000
+NODE_DEPTH = 64
 WORD_LIMIT = 400_000
+LONGEST_KEPT = 256  # bytes of a word in the table
 SLICE_BYTES = 4 << 20
 
 
@@ -63,12 +68,13 @@ class Trie:
         self._byte, self._limit = byte_score * _UNIT - 1, node_limit
         self._endings: dict[str, int | None] = {p[k:]: None for p in scores for k in range(1, len(p))}
         self._endings.update((p, s * _UNIT - 1) for p, s in scores.items())
+        self._reach = max(map(len, scores), default=1)  # characters of the longest piece
         self._clear()
 
     def _clear(self) -> None:
         self._children: dict[tuple[int, str], int] = {}
         self._best: list[int] = [0]
-        self._last, self._path = "", [0]
+        self._last, self._path, self._values = "", [0], [0]  # nodes of the last token and their values
 
     def insert(self, token: str) -> int:
         """Value of a pre-token; adds the prefixes that are new.
@@ -76,6 +82,8 @@ class Trie:
         The path of the last token is kept, so in sorted order only what
         follows the common prefix is walked.
         """
+        if len(token) > NODE_DEPTH:
+            return self._beyond(token)
         if len(self._best) > self._limit:
             self._clear()
         same = 0
@@ -83,34 +91,46 @@ class Trie:
             if a != b:
                 break
             same += 1
-        children, best, path = self._children, self._best, self._path
-        del path[same + 1:]
+        children, best, path, values = self._children, self._best, self._path, self._values
+        del path[same + 1:], values[same + 1:]
         node = path[-1]
         for end in range(same + 1, len(token) + 1):
             key = node, token[end - 1]
             following = children.get(key)
             if following is None:
                 following = children[key] = len(best)
-                best.append(self._forward(token, end, path))
+                best.append(self._forward(token, end, values))
             node = following
             path.append(node)
+            values.append(best[node])
         self._last = token
         return best[node]
 
-    def _forward(self, token: str, end: int, path: list[int]) -> int:
-        endings, best, begin = self._endings, self._best, end - 1
+    def _beyond(self, token: str) -> int:
+        """Value of a long pre-token, from the nodes of its beginning."""
+        self.insert(token[:NODE_DEPTH])
+        recent = self._values[:]
+        for end in range(NODE_DEPTH + 1, len(token) + 1):
+            recent.append(self._forward(token, end, recent))
+            if len(recent) > 4 * self._reach:
+                del recent[:-self._reach]
+        return recent[-1]
+
+    def _forward(self, token: str, end: int, recent: list[int]) -> int:
+        """Best value of the first ``end`` characters from those of the prefixes just before."""
+        endings, begin, back = self._endings, end - 1, -1
         value = endings.get(token[begin], None)
         if value is None:  # no piece of its own
             n = len(token[begin].encode("utf-8", "surrogatepass"))
             value = n * self._byte
-        found = best[path[begin]] + value
+        found = recent[back] + value
         while begin:
-            begin -= 1
+            begin, back = begin - 1, back - 1
             value = endings.get(token[begin:end], 0)
             if value == 0:
                 break
             if value is not None:
-                value += best[path[begin]]
+                value += recent[back]
                 if value > found:
                     found = value
         return found
@@ -128,12 +148,13 @@ class Counter:
         new = distinct.difference(self._words)
         if len(self._words) + len(new) > self._limit:
             self._words, new = {}, distinct
+        long = {}  # not kept for other texts
         for word in sorted(new):  # neighbours share their prefixes
-            self._words[word] = self._trie.insert(WORD_MARK + word.decode())
-        value = self._words.__getitem__
+            (self._words if len(word) <= LONGEST_KEPT else long)[word] = self._trie.insert(WORD_MARK + word.decode())
+        kept = self._words
         found = []
         for words in cut:
-            total = sum(map(value, words))
+            total = sum(long[w] if len(w) > LONGEST_KEPT else kept[w] for w in words)
             pieces = -total % _UNIT
             found.append((len(words), pieces, (total + pieces) // _UNIT))
         return found
