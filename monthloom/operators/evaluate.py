@@ -5,7 +5,7 @@ Each flavour of metrics is one aggregate; ``by`` adds groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions import maths
@@ -106,18 +106,49 @@ def errors_by_horizon(backtest: DataFrame, groups: list[str], spec: PanelSpec) -
     })
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = 10_000) -> list[float]:
+    """Interpolated quantiles of a written table, in two passes.
+
+    A mergeable sketch gives a value on either side of each quantile; the second
+    pass counts what lies below, and ranks only the distinct values in between,
+    a share of about ``8 / accuracy`` of the rows.
+    """
+    margin = 4 / accuracy
+    around = [s for q in shares for s in (max(0.0, q - margin), min(1.0, q + margin))]
+    first = df.agg(F.count(column).alias("n"), F.percentile_approx(column, around, accuracy).alias("at"),
+                   F.min(column).alias("low"), F.max(column).alias("high")).first()
+    found = []
+    for k, share in enumerate(shares):
+        if not first["n"]:
+            found.append(None)
+            continue
+        low, high = first["at"][2 * k], first["at"][2 * k + 1]
+        low, high = first["low"] if share <= margin else low, first["high"] if share >= 1 - margin else high
+        rank = share * (first["n"] - 1)
+        values = df.filter(F.col(column).between(low, high)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        below = df.filter(F.col(column) < low).count()
+        upto = F.sum("n").over(Window.orderBy(column)) + below
+        ends = values.select(F.col(column).alias("v"), upto.alias("upto")).agg(
+            F.min(F.when(F.col("upto") > int(rank), F.col("v"))), F.min(F.when(F.col("upto") >= rank + 1, F.col("v")))).first()
+        if below > rank or ends[0] is None or ends[1] is None:
+            raise RuntimeError(f"the sketch misses the quantile {share}")
+        found.append(ends[0] + (ends[1] - ends[0]) * (rank - int(rank)))
+    return found
+
+
 def residual_histogram(df: DataFrame, y: str, p: str, bins: int | None = 10) -> DataFrame:
     """Count of ``y - p`` per equal-width bin; the top edge belongs to the last bin.
 
-    ``bins=None`` takes the Freedman-Diaconis width from approximate
-    quartiles, which combine across tasks in bounded memory.
+    ``bins=None`` takes the Freedman-Diaconis width, twice the distance of the
+    quartiles over the cube root of the number; pass a written table then.
     """
     residual = df.select((F.col(y) - F.col(p)).alias("_r")).filter(F.col("_r").isNotNull())
     low, high = F.min("_r"), F.max("_r")
     if bins is None:
-        quartiles = F.percentile_approx("_r", [0.25, 0.75], 10000)
-        width = 2 * (quartiles[1] - quartiles[0]) / F.cbrt(F.count("_r").cast("double"))
-        count = F.greatest(F.lit(1), F.ceil((high - low) / F.nullif(width, F.lit(0.0))).cast("int"))
+        quartiles = exact_quantiles(residual, "_r", [0.25, 0.75])
+        spread = None if quartiles[0] is None else float(quartiles[1] - quartiles[0])
+        width = F.lit(2.0) * F.lit(spread).cast("double") / F.cbrt(F.count("_r").cast("double"))
+        count = F.coalesce(F.greatest(F.lit(1), F.ceil((high - low) / F.nullif(width, F.lit(0.0))).cast("int")), F.lit(1))
     else:
         count = F.lit(bins)
     edges = residual.agg(F.struct(low.alias("low"), high.alias("high"), count.alias("bins")).alias("e"))

@@ -391,9 +391,16 @@ def backtest(
     model: PipelineModel | None = None,
     on_problem: str = "raise",
     last: Column | None = None,
+    fits: DataFrame | None = None,
 ) -> DataFrame:
-    """Forecast after every cut-off from the history up to it, next to what was observed."""
+    """Forecast after every cut-off from the history up to it, next to what was observed.
+
+    ``fits`` is what was fitted up to each ``cutoff`` (and for each series, if it
+    has their columns); the rule reads its columns.
+    """
     state = prepare_backtest(history, spec, cutoffs, horizon, last)
+    if fits is not None:
+        state = state.join(fits, [c for c in (*spec.series, "cutoff") if c in fits.columns], "left")
     if rule is not None:
         filled = fill_by_rule(settle(state, on_problem), rule, spec, "full", on_problem)
     else:

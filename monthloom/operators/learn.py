@@ -1,8 +1,11 @@
 """Regression models on feature frames: encoding, search, comparison, importance.
 
-The data of every fit stays on the executors.  Only parameter points are
-iterated on the driver, a few fits at a time from a thread pool; what comes
-back is one score per fit.
+The data of every fit stays on the executors.  A search over a table of checked,
+small size broadcasts it and runs the fits of all points and folds side by side,
+one in each task; points that differ in the size of an ensemble share a fit.
+Over larger tables the points are iterated on the driver, a few distributed fits
+at a time from a thread pool.  Either way what comes back is one score per point
+and fold.
 """
 
 from __future__ import annotations
@@ -10,30 +13,33 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthloom.functions import text
-from monthloom.operators import evaluate
+from monthloom.operators import estimators, evaluate, trees
 from monthloom.operators.forecast import Rule
 from monthloom.operators.split import expanding_folds, fold_parts
 from monthloom.session import scratch_dir
+from monthloom.shipping import ship
 from monthloom.spec import PanelSpec
 
 SEED = 42
 KEY_LIMIT = 10_000
 
 # Points tried by a random search, per learner.
-RANDOM_POINTS = {"forest": 40, "boosting": 80, "robust": 40}
+RANDOM_POINTS = {"forest": 40, "boosting": 80, "leafwise": 80, "symmetric": 40, "epsilon": 40, "robust": 40}
 
 
 # ------------------------------------------------------------------- encoding
@@ -92,22 +98,36 @@ def set_indicators(df: DataFrame, column: str, prefix: str | None = None) -> Dat
 
 @dataclass(frozen=True)
 class Learner:
-    """A way to build an estimator from parameters, and what to search."""
+    """A way to build an estimator from parameters, and what to search.
+
+    ``predictions`` fits arrays and predicts others, for all values of the
+    parameter ``size`` at once; without it every point is a distributed fit.
+    """
 
     name: str
     build: Callable[[Mapping], Estimator]
     space: Mapping[str, Sequence] = field(default_factory=dict, hash=False)
     scaled: bool = False
+    predictions: Callable | None = None
+    size: str | None = None
 
 
 def _forest(params: Mapping) -> Estimator:
     return RandomForestRegressor(featuresCol="features", labelCol="label", seed=SEED, **params)
 
 
-def _boosting(params: Mapping) -> Estimator:
+def _staged(params: Mapping) -> Estimator:
     return GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, **params)
 
 
+def _boosting(params: Mapping) -> Estimator:
+    return estimators.HistogramBoosting(featuresCol="features", labelCol="label", seed=SEED, **params)
+
+
+def _epsilon(params: Mapping) -> Estimator:
+    return estimators.EpsilonRegression(featuresCol="features", labelCol="label", **params)
+
+
 def _robust(params: Mapping) -> Estimator:
     return LinearRegression(featuresCol="features", labelCol="label", loss="huber", maxIter=50, tol=1e-4, **params)
 
@@ -122,26 +142,36 @@ def _line(params: Mapping) -> Estimator:
 
 
 LINE = Learner("line", _line, {"slot": [0], "fitIntercept": [True, False]})
+STAGED = Learner("staged", _staged)
 FOREST = Learner("forest", _forest, {
     "numTrees": [20, 50, 100, 200],
     "maxDepth": [5, 10, 15],
     "minInstancesPerNode": [1, 2, 4, 8],
     "featureSubsetStrategy": ["sqrt", "log2", "0.5", "all"],
-})
-BOOSTING = Learner("boosting", _boosting, {
-    "maxIter": [20, 50, 100],
-    "maxDepth": [2, 3, 5, 7],
+}, predictions=estimators.forest_predictions, size="numTrees")
+_SHARED = {
+    "maxIter": [50, 100, 200, 400],
     "stepSize": [0.01, 0.03, 0.05, 0.1],
     "subsamplingRate": [0.6, 0.8, 1.0],
     "featureSubsetStrategy": ["0.5", "0.8", "all"],
     "minInstancesPerNode": [1, 5, 10, 20],
-    "minInfoGain": [0.0, 0.01],
-})
+    "l1": [0.0, 0.1, 1.0, 10.0],
+    "l2": [0.0, 1.0, 5.0, 20.0],
+}
+_BOOSTED = {"predictions": estimators.boosting_predictions, "size": "maxIter"}
+BOOSTING = Learner("boosting", _boosting, {**_SHARED, "maxDepth": [2, 3, 5, 7], "minGain": [0.0, 1.0]}, **_BOOSTED)
+LEAFWISE = Learner("leafwise", _boosting, {**_SHARED, "maxIter": [25, 50, 100, 200], "leaves": [7, 15, 31, 63], "maxDepth": [0, 4, 8]}, **_BOOSTED)
+SYMMETRIC = Learner("symmetric", _boosting, {**_SHARED, "symmetric": [True], "maxDepth": [2, 4, 6]}, **_BOOSTED)
+EPSILON = Learner("epsilon", _epsilon, {
+    "epsilon": [0.01, 0.05, 0.1, 0.3, 1.0, 3.0],
+    "cost": [0.01, 0.1, 1.0, 10.0, 100.0],
+    "gamma": [0.0, 0.003, 0.03],
+}, scaled=True, predictions=estimators.epsilon_predictions)
 ROBUST = Learner("robust", _robust, {
     "epsilon": [1.1, 1.35, 1.8, 2.5],
     "regParam": [0.0, 0.001, 0.01, 0.1, 1.0],
 }, scaled=True)
-LEARNERS = (FOREST, BOOSTING, ROBUST)
+LEARNERS = (FOREST, BOOSTING, LEAFWISE, SYMMETRIC, EPSILON)
 
 
 # --------------------------------------------------------------------- search
@@ -186,6 +216,8 @@ def search(
     """
     if key:
         require_few_keys(frame, key)
+    if learner.predictions is not None and _is_small(frame, numeric, key):
+        return _search_at_once(frame, spec, numeric, learner, points, n_splits, key)
     marked = expanding_folds(labelled(frame, spec), spec, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
     scores: list[list[float]] = [[] for _ in points]
     try:
@@ -212,6 +244,60 @@ def search(
     ]
 
 
+def _is_small(frame: DataFrame, numeric: Sequence[str], key: str | None) -> bool:
+    """Whether the coded rows are few enough to be broadcast."""
+    counts = frame.agg(F.count(F.lit(1)), F.approx_count_distinct(key) if key else F.lit(0)).first()
+    return counts[0] * (len(numeric) + counts[1]) <= trees.SMALL_CELLS
+
+
+def _search_at_once(frame, spec, numeric, learner: Learner, points, n_splits: int, key: str | None) -> list[dict]:
+    """All points and folds as tasks of one job over a broadcast table of checked size."""
+    spark = frame.sparkSession
+    ship(spark)
+    rows = expanding_folds(labelled(frame, spec), spec, n_splits).select(
+        (F.col(key) if key else F.lit("")).cast("string").alias("key"), F.col(spec.time).cast("string").alias("time"),
+        F.coalesce("fold", F.lit(-1)).alias("fold"), "label", F.array(*[F.col(c).cast("double") for c in numeric]).alias("x"))
+    table = rows.orderBy("key", "time").toArrow()
+    keys = np.array(table.column("key").to_pylist(), dtype=object)
+    shared = spark.sparkContext.broadcast((
+        keys, table.column("fold").to_numpy(), table.column("label").to_numpy().astype(float),
+        np.array(table.column("x").to_pylist(), dtype=float).reshape(len(keys), len(numeric))))
+    alike: dict[str, list[int]] = {}
+    for k, p in enumerate(points):
+        alike.setdefault(str(sorted((n, str(v)) for n, v in p.items() if n != learner.size)), []).append(k)
+    units = [(group, fold) for group in alike.values() for fold in range(n_splits)]
+    size, scaled, predictions, tried = learner.size, learner.scaled, learner.predictions, [dict(p) for p in points]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, folds, label, x = shared.value
+        for batch in batches:
+            for unit in batch.column("id").to_pylist():
+                group, fold = units[unit]
+                train, valid = folds < fold, folds == fold
+                parts = _coded(keys, x, train, valid, bool(key), scaled)
+                params = {n: v for n, v in tried[group[0]].items() if n != size}
+                found = predictions(*parts[:1], label[train], *parts[1:], params, [tried[k].get(size) for k in group])
+                errors = [float(np.sqrt(np.mean((p - label[valid]) ** 2))) for p in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group, type=pa.int64()), pa.array([fold] * len(group), type=pa.int64()), pa.array(errors)],
+                    names=["point", "fold", "rmse"])
+
+    found = spark.range(0, len(units), 1, len(units)).mapInArrow(run, "point long, fold long, rmse double").collect()
+    scores = {(r["point"], r["fold"]): r["rmse"] for r in found}
+    return [{"model": learner.name, "params": dict(p), "rmse": sum(scores[k, i] for i in range(n_splits)) / n_splits}
+            for k, p in enumerate(points)]
+
+
+def _coded(keys, x, train, valid, flags: bool, scaled: bool) -> list[np.ndarray]:
+    """Training and validation rows as ``encoder`` makes them."""
+    if scaled:
+        spread = x[train].std(axis=0, ddof=1)
+        x = np.where(spread > 0, (x - x[train].mean(axis=0)) / np.where(spread > 0, spread, 1), 0)
+    known = sorted(set(keys[train])) if flags else []
+    return [np.c_[np.array([keys[part] == k for k in known], dtype=float).reshape(len(known), -1).T, x[part]]
+            if known else x[part] for part in (train, valid)]
+
+
 def best_point(results: Sequence[Mapping]) -> Mapping:
     return min(results, key=lambda r: (r["rmse"], str(r["params"])))
 
@@ -295,7 +381,9 @@ def encoded_names(model: PipelineModel, sample: DataFrame) -> list[str]:
 
 
 def split_counts(spark: SparkSession, model: Model) -> DataFrame:
-    """(slot, n): number of tree nodes that test each vector slot, from the node table of the saved model."""
+    """(slot, n): number of tree nodes that test each vector slot, from the node table of the model."""
+    if isinstance(model, estimators.HistogramBoostingModel):
+        return model.node_table(spark).filter("slot >= 0").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     path = scratch_dir(spark, "trees")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -331,7 +419,7 @@ def family_importance(table: DataFrame) -> DataFrame:
 def parameter_sheet(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Parameters of the fitted estimator as rows."""
     last = model.stages[-1]
-    rows = [(p.name, str(v)) for p, v in sorted(last.extractParamMap().items(), key=lambda e: e[0].name)]
+    rows = [(p.name, str(v)) for p, v in sorted(last.extractParamMap().items(), key=lambda e: e[0].name) if p.name != "nodes"]
     return spark.createDataFrame(rows, "parameter string, value string")
 
 
@@ -342,3 +430,17 @@ def as_rule(model: PipelineModel, sample: DataFrame) -> Rule:
     if any(n.startswith("cat__") for n in names):
         raise ValueError("a rule has no key indicators; fit without the key")
     return Rule(dict(zip(names, [float(c) for c in last.coefficients])), float(last.intercept))
+
+
+def as_tree_rule(model: PipelineModel, sample: DataFrame) -> Callable[[dict[str, Column]], Column]:
+    """A fitted boosting pipeline without scaling as a rule over features: its node table, walked by an expression."""
+    made = model.stages[-1].trees
+
+    def value(name: str, found: dict[str, Column]) -> Column:
+        if not name.startswith("cat__"):
+            return found[name.removeprefix("num__")].cast("double")
+        key, _, level = name.removeprefix("cat__").partition("_")
+        return (F.col(key) == level).cast("double")
+
+    names = encoded_names(model, sample)
+    return lambda found: trees.predicted(F.array(*[value(n, found) for n in names]), made)

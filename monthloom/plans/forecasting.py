@@ -185,32 +185,24 @@ def forecast_next_year(spark, d):
     return forecast.forecast_by_rule(panel, weather, RULE, REGION, on_problem="mark")
 
 
-_SHORT = """
-short_panel AS (SELECT * FROM panel WHERE NOT regexp_matches(DRS, '[02468]$')
-  OR PERIODE > (SELECT max(PERIODE) FROM panel) - INTERVAL 8 MONTH),"""
-
-
-@query("T17", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
-       ctes=_SHORT + (_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3, partial=True)).replace(
-           "FROM panel", "FROM short_panel").replace("JOIN panel", "JOIN short_panel"))
-def forecast_with_partial_means(spark, d):
-    """Series of even numbers are taken as known for the last eight months only."""
+def _partial_means(spark, d):
     panel = t.panel_once(spark, d)
-    recent = F.col("PERIODE") > F.add_months(panel.agg(F.max("PERIODE")).scalar(), -8)
-    panel = panel.filter(recent | ~F.col("DRS").rlike("[02468]$"))
     spec = REGION.having(rolls=(3, 6, 12))
     weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
     return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="mark")
 
 
+@query("T17", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
+       ctes=_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3, partial=True))
+def forecast_with_partial_means(spark, d):
+    return _partial_means(spark, d)
+
+
 @query("T17_whole", "DRS d:PERIODE r:prediction problem", "SELECT * FROM answered",
        ctes=_PERSIST.format(n=13) + "," + recursion("future", mean=PARTIAL_MEAN_3, partial=True))
 def forecast_with_partial_means_of_all(spark, d):
-    """T17 with every series as long as its record."""
-    panel = t.panel_once(spark, d)
-    spec = REGION.having(rolls=(3, 6, 12))
-    weather = futures.by_persistence(panel, spec, futures.after_history(panel, spec), 12, if_none=0.0)
-    return forecast.forecast_by_rule(panel, weather, RULE, spec, fallback="partial", on_problem="mark")
+    """T17 under its earlier name."""
+    return _partial_means(spark, d)
 
 
 _SHOT = (("lag_1", 0.4), ("rolling_mean_3", 0.3), ("lag_12", 0.2), ("precipitation", 0.05), ("quarter", 0.1))

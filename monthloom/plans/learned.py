@@ -73,7 +73,7 @@ residuals AS (SELECT month, 2 * (cas - CASE WHEN month <= cut THEN low ELSE high
 def two_rounds(spark, d):
     """Two rounds of boosting: a stump on the target, and one on twice the residual, added at the step size."""
     params = {"maxIter": 2, "maxDepth": 1, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
-    return _by_month(spark, learn.fit(_parts(spark, d)[0], REGION, ["month"], learn.BOOSTING, params, key=None))
+    return _by_month(spark, learn.fit(_parts(spark, d)[0], REGION, ["month"], learn.STAGED, params, key=None))
 
 
 def _importance(spark, d) -> DataFrame:

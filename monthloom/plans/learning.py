@@ -21,7 +21,7 @@ _COMPLETE = " AND ".join(f"{w} IS NOT NULL" for w in W) + " AND target_lag_12 IS
 
 # the largest sizes of the search spaces
 WHOLE_FOREST = (learn.FOREST, {"numTrees": 200, "maxDepth": 15})
-WHOLE_BOOSTING = (learn.BOOSTING, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1})
+WHOLE_BOOSTING = (learn.BOOSTING, {"maxIter": 400, "maxDepth": 3, "stepSize": 0.05})
 QUICK_ROBUST = (learn.ROBUST, {"epsilon": 1.35, "regParam": 0.01})
 
 
@@ -231,10 +231,11 @@ def fitted_line_forecast(spark, d):
 
 @query("M5_national", "d:PERIODE r:cas r:prediction")
 def national_forest(spark, d):
-    """The national series as one more series of the same kind."""
+    """The national series as one more series of the same kind: fitted before the held-out months, predicted for them."""
     spec = REGION.having(exog_agg=NATION.exog_agg)
     nation = build_panel(t.merged(spark, d).withColumn("DRS", F.lit("national")), spec)
-    frame = features.complete_rows(features.create_features(nation, spec), features.feature_names(spec))
-    frame = written(frame, "national")
-    model = learn.fit(frame, spec, NUMERIC, *WHOLE_FOREST, key=None)
-    return model.transform(frame).select("PERIODE", "cas", "prediction")
+    stored = written(features.create_features(nation, spec), "national")
+    frame = features.complete_rows(split.period_split(stored, spec), features.feature_names(spec))
+    train, test = _parts(frame)
+    model = learn.fit(train, spec, NUMERIC, *WHOLE_FOREST, key=None)
+    return model.transform(test).select("PERIODE", "cas", "prediction")

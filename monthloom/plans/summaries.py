@@ -216,6 +216,18 @@ def residuals(spark, d):
     return evaluate.residual_histogram(written(_pairs(spark, d), "pairs"), "observe", "prevu", 10)
 
 
+@query("A25_width", "i:bin i:n",
+       """SELECT least(coalesce(CAST(floor((r - low) / nullif(high - low, 0) * bins) AS INTEGER), 0), bins - 1) AS bin, count(*) AS n
+          FROM (SELECT observe - prevu AS r FROM pairs WHERE observe - prevu IS NOT NULL),
+               (SELECT low, high, coalesce(greatest(1, CAST(ceil((high - low) / nullif(2 * (q3 - q1) / cbrt(n), 0)) AS INTEGER)), 1) AS bins
+                FROM (SELECT min(observe - prevu) AS low, max(observe - prevu) AS high, count(observe - prevu) AS n,
+                        quantile_cont(observe - prevu, 0.25) AS q1, quantile_cont(observe - prevu, 0.75) AS q3 FROM pairs)) GROUP BY ALL""",
+       ctes=PAIRS)
+def residuals_in_bins_of_their_own(spark, d):
+    """As many bins as the spread of the residuals asks for."""
+    return evaluate.residual_histogram(written(_pairs(spark, d), "pairs"), "observe", "prevu", None)
+
+
 @query("A26", "DRS region r:cas r:lat r:lon",
        "SELECT DRS, replace(DRS, 'DRS ', '') AS region, sum(cas) AS cas, any_value(lat) AS lat, any_value(lon) AS lon "
        "FROM panel JOIN centroids USING (DRS) WHERE year(PERIODE) = (SELECT max(year(PERIODE)) FROM panel) GROUP BY DRS",

@@ -135,7 +135,7 @@ def trained(spark):
     panel = to_spark(spark, pdf[pdf["DRS"] != "DRS Z"]).cache()
     names = features.feature_names(SPEC)
     frame = features.complete_rows(features.create_features(split.period_split(panel, SPEC), SPEC), names).cache()
-    model = learn.fit(frame.filter("part = 'train'"), SPEC, names[1:], learn.BOOSTING, {"maxIter": 5, "maxDepth": 3})
+    model = learn.fit(frame.filter("part = 'train'"), SPEC, names[1:], learn.STAGED, {"maxIter": 5, "maxDepth": 3})
     return panel, frame, names[1:], model
 
 
