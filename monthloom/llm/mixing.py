@@ -10,13 +10,17 @@ decimals, so they don't depend on the order of rows and reruns agree.
 
 Rates become copies by cumulative rounding from the longest documents to the
 shortest, so a source misses its target by a fraction of one long document at
-most; three corrections by the copy of one fitting document bring it closer.  Documents of one source and size are dealt to cells of some hundred by
-a hash, and the copies of a cell go to its documents in hash order: no group
-is larger than a cell, however hot a source or size is.
+most; three corrections by the copy of one fitting document bring it closer.
+Documents of one source and size are dealt to cells of some hundred by a hash,
+and the copies of a cell go to its documents in hash order.  The running sums
+have two levels: cells within chunks of ``CHUNK_CELLS``, and chunks within a source.
+A window over a source thus sees its distinct sizes and a millionth of its
+documents.  Targets are settled in a window over the table of sources.
 
 Defined results: a null or empty text has size 0 and is taken once (0 words);
-the null source comes last; repeated rows are documents of their own; an empty
-table gives no rows; extra columns are ignored.
+texts of any length are counted whole; the null source comes last; repeated rows
+are documents of their own; an empty table gives no rows; extra columns are
+ignored.  Sources whose tilt isn't found in ``MOST_STEPS`` steps stop the job.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from monthloom.session import written
 WEIGHTS = (1, 2, 3)
 LIMIT = 3               # copies of a document, and target against size of a source
 CELL_DOCUMENTS = 256
+CHUNK_CELLS = 4096
 TOLERANCE = 1e-9        # of the logarithm of tokens against target
 MOST_STEPS = 60
 CORRECTIONS = 3
@@ -103,6 +108,8 @@ def tilts(cells: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame
             .drop("_tokens", "_slope"), "tilts")
         if not state.filter((F.abs("miss") > TOLERANCE) & (F.col("high") - F.col("low") > 1e-13)).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the tilts of some sources are not settled after {MOST_STEPS} steps")
     return state.select(*keys, "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
@@ -122,6 +129,20 @@ def _corrected(groups: DataFrame, targets: DataFrame, parts: list[str], limit: i
     ).otherwise(F.lit(0))).drop("_best")
 
 
+def _rounded(groups: DataFrame, cell: list[str]) -> DataFrame:
+    """Copies of every cell: differences of the rounded running sum from the longest size down, exact in billionths."""
+    exact = "decimal(38,0)"
+    rows = groups.withColumns({
+        "_mass": (F.col("rate") * F.col("n")).cast(exact), "chunk": F.floor(F.col("part") / CHUNK_CELLS)})
+    chunks = rows.groupBy(*cell, "chunk").agg(F.sum("_mass").cast(exact).alias("_chunk_mass"))
+    down = Window.partitionBy(*cell[:-1]).orderBy(F.col("size").desc(), "chunk")
+    before = (F.sum("_chunk_mass").over(down) - F.col("_chunk_mass")).alias("_before")
+    rows = rows.join(chunks.select(*cell, "chunk", before), [*cell, "chunk"])
+    upto = F.col("_before") + F.sum("_mass").over(Window.partitionBy(*cell, "chunk").orderBy("part"))
+    given, earlier = (F.floor((m + 500_000_000) / 1_000_000_000).cast("long") for m in (upto, upto - F.col("_mass")))
+    return rows.select(*cell, "part", "n", (given - earlier).alias("_copies"))
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """(id, size, source_size, target, copies, taken) per row of ``docs``."""
     keys, cell = ["no_source", "source_key"], ["no_source", "source_key", "size"]
@@ -137,15 +158,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = W
     ).select(*cell, F.ceil(F.col("n") / CELL_DOCUMENTS).alias("parts"), F.round(F.col("rate") * 1e9).cast("long").alias("rate"))
     dealt = sized.join(rates, cell).withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
     dealt = written(dealt.drop("parts"), "dealt")
-    # copies of a cell: differences of the rounded running sum, exact in billionths
-    groups = dealt.groupBy(*cell, "part", "rate").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.col("size").desc(), "part")
     parts = [*cell, "part"]
-    total = F.sum((F.col("rate") * F.col("n")).cast("decimal(38,0)")).over(down)
-    given = F.floor((total + 500_000_000) / 1_000_000_000).cast("long")
-    groups = groups.withColumn("_given", given).withColumn(
-        "_copies", F.col("_given") - F.coalesce(F.lag("_given").over(down), F.lit(0))).select(*parts, "n", "_copies")
-    groups = written(groups, "groups")
+    groups = dealt.groupBy(*cell, "part", "rate").agg(F.count(F.lit(1)).alias("n"))
+    groups = written(_rounded(groups, cell), "groups")
     for _ in range(CORRECTIONS):
         groups = written(_corrected(groups, targets, parts, limit), "groups")
     order = Window.partitionBy(*cell, "part").orderBy("place", "id")

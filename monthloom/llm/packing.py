@@ -196,7 +196,8 @@ def _pack_group(capacity: int, level: int):
 def _in_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
     """The pieces dealt at random to groups, each packed by itself."""
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("slot", F.lit(level)), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(_pack_group(capacity, level), f"{_PIECE}, sequence_id long, offset long, fill long")
+    # a group costs time, not bytes, so groups are not to be merged into few tasks
+    return dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(_pack_group(capacity, level), f"{_PIECE}, sequence_id long, offset long, fill long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY,

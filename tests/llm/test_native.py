@@ -176,3 +176,27 @@ def test_bounds_hold_and_save_reads(cells, monkeypatch):
         scores = exact @ exact[q]
         best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
         assert [(i, s) for p, i, s in found if p == q] == [(i, -s) for s, i in best]
+
+
+def test_running_sums_of_a_hot_source_in_two_levels(spark, monkeypatch):
+    """Cells and chunks of a few documents give the copies that one running sum over the source gives."""
+    draw = random.Random(8)
+    cells = [("a" if k % 3 else "b", draw.randrange(1, 6), k, draw.randrange(1, 9), draw.randrange(3 * 10 ** 9)) for k in range(300)]
+    rows = [(False, s, size, part, n, rate) for s, size, part, n, rate in cells]
+    table = spark.createDataFrame(rows, "no_source boolean, source_key string, size long, part long, n long, rate long").repartition(4)
+    expected, upto = {}, {}
+    for _, s, size, part, n, rate in sorted(rows, key=lambda r: (r[1], -r[2], r[3])):
+        before = upto.get(s, 0)
+        upto[s] = before + n * rate
+        expected[s, size, part] = (upto[s] + 500_000_000) // 10 ** 9 - (before + 500_000_000) // 10 ** 9
+    for chunk in (4096, 7):
+        monkeypatch.setattr(mixing, "CHUNK_CELLS", chunk)
+        made = mixing._rounded(table, ["no_source", "source_key", "size"])
+        assert {(r.source_key, r["size"], r.part): r._copies for r in made.collect()} == expected
+
+
+def test_tilts_that_are_not_found_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    docs = spark.createDataFrame([(k, "w " * (k % 40 + 1), "xyz"[k % 3 % 2]) for k in range(200)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing.mix(docs).count()
