@@ -8,9 +8,11 @@ leftmost scan of the whole text with their patterns gives:
 
 * ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19 digits, Luhn),
   ``phone`` (8 to 15 digits); a match that fails its check is passed over whole;
-* added: ``account`` (identifier after a cue word, at least 6 characters and 4
-  digits; an IBAN by its check digits), ``login`` (user part of a URL),
-  ``street`` (house number before or after a street name with a street word).
+* added: ``account`` (identifier after a cue word, 6 to 34 characters, which is
+  the longest IBAN, with 4 digits or more; an IBAN by its check digits),
+  ``login`` (user part of a URL), ``street`` (house number before or after a
+  street name of up to four words with one of the eight street words below; post
+  boxes, postal codes and other street words are outside the scope).
 
 Defined results: a null or empty text has no spans; any length is scanned
 whole; rows are independent, so repeated rows give repeated results and an empty
@@ -42,7 +44,7 @@ _USER = re.compile(r"([A-Za-z0-9._~%+-]+(?::[^\s/@]*)?)@[A-Za-z0-9-]+(?:\.[A-Za-
 _NAME_WORD = re.compile(r"[A-Z][\w.'-]*")
 _NAME_MARKS = frozenset("_.'-")
 _NUMBER_TAIL = re.compile(r"(?<![0-9])[0-9]+[A-Za-z]?\Z")
-_STREET_AFTER = re.compile(r" [0-9]{1,4}[a-z]?\b")
+_STREET_AFTER = re.compile(r" [0-9]+[a-z]?\b")
 _MOST_WORDS = 4  # of a street name
 
 
@@ -129,7 +131,7 @@ class _Scan:
         if not match:
             return
         identifier = match[1].replace(" ", "").replace("-", "")
-        valid = _iban(identifier) if re.match("[A-Z]{2}[0-9]{2}", identifier) else len(identifier) <= 20
+        valid = _iban(identifier) if re.match("[A-Z]{2}[0-9]{2}", identifier) else True
         if valid and sum(c.isdigit() for c in identifier) >= 4:
             self.add("account", *match.span(1))
             self.resume["account"] = match.end()

@@ -1,12 +1,17 @@
 """Exact top-k inner products with vector-approximation files.
 
 Vectors are stored in blocks: ids, one byte per component naming a cell of the
-component's range in the block, and the exact integers.  A query block meets a
-candidate block in one unit of work.  The cells are scanned first: one matrix
-product gives a lower and an upper bound of every score.  Vectors whose upper
-bound is below the k-th best lower bound are out.  The rest are read exactly
-in the order of their bounds, until the k-th best score is above every bound
-that is left.  Units return at most k rows per query, merged by score.
+component's range in the block, and the exact integers.
+
+1. Query blocks meet the cells of candidate blocks, an eighth of the vectors.
+   One matrix product gives a lower and an upper bound of every score; the k
+   best lower bounds of each unit are merged, and the k-th of all blocks is the
+   floor of a query.
+2. The cells are scanned again.  Vectors whose upper bound is below the floor of
+   a query are out, whatever block they are in; places and bounds of the others,
+   about k for a query, come out.
+3. These are read exactly, from the blocks joined by their numbers, in the order
+   of their bounds, until the k-th best score is above every bound that is left.
 
 Every unit holds a set number of query and candidate vectors, so memory is
 bounded; the work is queries times candidates by nature, all of it in blocks.
@@ -14,8 +19,8 @@ bounded; the work is queries times candidates by nature, all of it in blocks.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows without an id; shorter vectors count as padded with
 zeros; equal scores are ordered by id; a query meets no row of its own id; each
-repeated query row gets its own results; an empty table gives no rows.
-Components are floor(scale * x) and should stay below 2^26.
+repeated query row gets its own results; an empty table gives no rows; other
+columns are ignored.  Components are floor(scale * x) and should stay below 2^26.
 """
 
 from __future__ import annotations
@@ -94,70 +99,127 @@ def _matrix(data: bytes, n: int, dtype=np.int64) -> np.ndarray:
     return np.frombuffer(data, dtype=dtype).reshape(n, -1)
 
 
-def _best_of_block(queries: np.ndarray, query_ids: np.ndarray, block: dict, k: int) -> list[tuple[int, int, int]]:
-    """(query position, id, score): the k best of one block for each query."""
-    n = block["n"]
-    ids, exact = np.frombuffer(block["ids"], dtype=np.int64), _matrix(block["exact"], n)
+def _bounds(queries: np.ndarray, query_ids: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of a block from its cells; minus infinity for a query's own id."""
     low, step = (np.frombuffer(block[c], dtype=np.int64) for c in ("low", "width"))
     # a component lies in [low + cell * step, low + cell * step + step - 1]
-    corner = (queries * step).astype(float) @ _matrix(block["cells"], n, np.uint8).astype(float).T + (queries @ low)[:, None]
+    corner = (queries * step).astype(float) @ _matrix(block["cells"], block["n"], np.uint8).astype(float).T + (queries @ low)[:, None]
     above = (np.maximum(queries, 0) * (step - 1)).sum(axis=1)
     below = (np.minimum(queries, 0) * (step - 1)).sum(axis=1)
-    reach = np.abs(low) + CELLS * step
-    blur = 1e-12 * (np.abs(queries).astype(float) @ reach)  # of the product in floating point
-    found = []
-    for q in range(len(queries)):
-        own = ids == query_ids[q]
-        bounds = np.where(own, -np.inf, corner[q])
-        left = n - int(own.sum())
-        if not left:
-            continue
-        if left > k:
-            kth = np.partition(bounds, n - k)[n - k]
-            near = np.flatnonzero(bounds + above[q] + 2 * blur[q] >= kth + below[q])
-        else:
-            near = np.flatnonzero(~own)
-        near = near[np.argsort(-bounds[near], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(near), READ_AT_ONCE):
-            if len(best) == k and -best[-1][0] > bounds[near[at]] + above[q] + blur[q]:
-                break
-            some = near[at:at + READ_AT_ONCE]
-            scores = exact[some] @ queries[q]
-            best = sorted(best + list(zip((-scores).tolist(), ids[some].tolist())))[:k]
-        found += [(q, i, -s) for s, i in best]
-    return found
-
-
-def _search_unit(k: int):
+    blur = 1e-12 * (np.abs(queries).astype(float) @ (np.abs(low) + CELLS * step))  # of the product in floating point
+    corner[query_ids[:, None] == np.frombuffer(block["ids"], dtype=np.int64)[None]] = -np.inf
+    return corner + (below - blur)[:, None], corner + (above + blur)[:, None]
+
+
+def _best(values: np.ndarray, k: int) -> np.ndarray:
+    """The k largest numbers of every row, minus infinity where there are fewer."""
+    if values.shape[1] < k:
+        values = np.pad(values, ((0, 0), (0, k - values.shape[1])), constant_values=-np.inf)
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k:]
+
+
+def _lower_bounds(k: int):
+    """(block, place, low): the k best lower bounds of each query in a unit."""
     def run(key: tuple, query_blocks: pa.Table, candidates: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], []]
+        for part in query_blocks.to_pylist():
+            queries, ids = _matrix(part["exact"], part["n"]), np.frombuffer(part["ids"], dtype=np.int64)
+            best = np.full((part["n"], k), -np.inf)
+            for block in candidates.to_pylist():
+                best = _best(np.concatenate([best, _bounds(queries, ids, block)[0]], axis=1), k)
+            place, at = np.nonzero(np.isfinite(best))
+            columns[0] += [part["block"]] * len(place)
+            columns[1] += place.tolist()
+            columns[2] += best[place, at].tolist()
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, type=t) for c, t in zip(columns, types)], names=["block", "place", "low"])
+    return run
+
+
+_SURVIVORS = "block long, place long, query_id long, query binary, no int, at array<int>, high array<double>"
+
+
+def _survivors(key: tuple, query_blocks: pa.Table, candidates: pa.Table) -> pa.Table:
+    """For each query and candidate block, the rows that may be among the best, in the order of their upper bounds."""
+    rows = []
+    for part in query_blocks.to_pylist():
+        queries, ids = _matrix(part["exact"], part["n"]), np.frombuffer(part["ids"], dtype=np.int64)
+        floors = np.frombuffer(part["floors"], dtype=float)
         for block in candidates.to_pylist():
-            for part in query_blocks.to_pylist():
-                ids = np.frombuffer(part["ids"], dtype=np.int64)
-                for q, i, score in _best_of_block(_matrix(part["exact"], part["n"]), ids, block, k):
-                    for column, value in zip(columns, (part["block"], q, int(ids[q]), i, score)):
+            high = _bounds(queries, ids, block)[1]
+            alive = (high >= floors[:, None]) & np.isfinite(high)
+            for q in np.flatnonzero(alive.any(axis=1)).tolist():
+                at = np.flatnonzero(alive[q])
+                at = at[np.argsort(-high[q, at], kind="stable")]
+                rows.append({"block": part["block"], "place": q, "query_id": int(ids[q]), "query": queries[q].tobytes(),
+                             "no": block["no"], "at": at.tolist(), "high": high[q, at].tolist()})
+    return pa.Table.from_pylist(rows, schema=pa.schema([
+        ("block", pa.int64()), ("place", pa.int64()), ("query_id", pa.int64()), ("query", pa.binary()), ("no", pa.int32()),
+        ("at", pa.list_(pa.int32())), ("high", pa.list_(pa.float64()))]))
+
+
+def _read_exactly(exact: np.ndarray, ids: np.ndarray, query: np.ndarray, at: np.ndarray, high: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) among some rows, read in the order of their upper bounds."""
+    best: list[tuple[int, int]] = []
+    for begin in range(0, len(at), READ_AT_ONCE):
+        if len(best) == k and -best[-1][0] > high[begin]:
+            break
+        some = at[begin:begin + READ_AT_ONCE]
+        best = sorted(best + list(zip((-(exact[some] @ query)).tolist(), ids[some].tolist())))[:k]
+    return [(-s, i) for s, i in best]
+
+
+def _exact_unit(k: int):
+    def run(key: tuple, asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        columns: list[list] = [[], [], [], [], []]
+        for block in blocks.to_pylist():
+            exact, ids = _matrix(block["exact"], block["n"]), np.frombuffer(block["ids"], dtype=np.int64)
+            for r in asked.to_pylist():
+                query = np.frombuffer(r["query"], dtype=np.int64)
+                for score, i in _read_exactly(exact, ids, query, np.array(r["at"]), np.array(r["high"]), k):
+                    for column, value in zip(columns, (r["block"], r["place"], r["query_id"], i, score)):
                         column.append(value)
-        return pa.table([pa.array(c, type=pa.int64()) for c in columns],
-                        names=["block", "place", "query_id", "id", "score"])
+        return pa.table([pa.array(c, type=pa.int64()) for c in columns], names=["block", "place", "query_id", "id", "score"])
     return run
 
 
+def _packed_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One floor for every query of a block, minus infinity where there are fewer bounds than asked for."""
+    for batch in batches:
+        floors = []
+        for n, places, lows in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "lows"))):
+            own = np.full(n, -np.inf)
+            own[places or []] = lows or []
+            floors.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(floors, type=pa.binary())], names=["block", "floors"])
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score) for tables (id, v) of integer vectors."""
     width = max(1, candidates.select(F.max(F.size("v"))).first()[0] or 1,
                 queries.select(F.max(F.size("v"))).first()[0] or 1)
-    blocks = _in_blocks(candidates, width, CANDIDATE_BLOCK, "vectors")
-    asked = _in_blocks(queries, width, QUERY_BLOCK, "queries")
+    blocks = written(_in_blocks(candidates, width, CANDIDATE_BLOCK, "vectors"), "blocks")
+    asked = written(_in_blocks(queries, width, QUERY_BLOCK, "queries").withColumn(
+        "unit", F.floor(F.col("no") / QUERY_BLOCKS_PER_UNIT).cast("int")), "asked")
     n_blocks, n_asked = blocks.count(), asked.count()
-    n_groups = -(-n_asked // QUERY_BLOCKS_PER_UNIT)
-    every = F.sequence(F.lit(0), F.lit(max(n_blocks, 1) - 1))
-    units = F.sequence(F.lit(0), F.lit(max(n_groups, 1) - 1))
-    left = asked.select("block", "n", "ids", "exact", F.floor(F.col("no") / QUERY_BLOCKS_PER_UNIT).cast("int").alias("unit"),
-                        F.explode(every).alias("no"))
-    right = blocks.select("n", "ids", "exact", "cells", "low", "width", "no", F.explode(units).alias("unit"))
-    best = left.groupBy("no", "unit").cogroup(right.groupBy("no", "unit")).applyInArrow(
-        _search_unit(k), "block long, place long, query_id long, id long, score long")
+    n_units = -(-n_asked // QUERY_BLOCKS_PER_UNIT)
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks, 1) - 1))).alias("no")
+    units = F.explode(F.sequence(F.lit(0), F.lit(max(n_units, 1) - 1))).alias("unit")
+    cells = blocks.select("n", "ids", "cells", "low", "width", "no", units).groupBy("no", "unit")
+    left = asked.select("block", "n", "ids", "exact", "unit", every)
+    lows = left.groupBy("no", "unit").cogroup(cells).applyInArrow(_lower_bounds(k), "block long, place long, low double")
+    order = Window.partitionBy("block", "place").orderBy(F.col("low").desc())
+    floors = lows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
+    # a block has a set number of queries
+    floors = floors.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("low").alias("lows"))
+    floors = written(asked.select("block", "n").join(floors, "block", "left").mapInArrow(_packed_floors, "block long, floors binary"), "floors")
+    left = asked.join(floors, "block").select("block", "n", "ids", "exact", "floors", "unit", every)
+    alive = left.groupBy("no", "unit").cogroup(cells).applyInArrow(_survivors, _SURVIVORS)
+    alive = written(alive.join(asked.select("block", "unit"), "block"), "survivors")
+    wanted = alive.select("no", "unit").distinct().toDF("no", "unit")
+    reading = wanted.join(blocks.select("no", "n", "ids", "exact"), "no").toDF("no", "unit", "n", "ids", "exact")
+    best = alive.groupBy("no", "unit").cogroup(reading.groupBy("no", "unit")).applyInArrow(
+        _exact_unit(k), "block long, place long, query_id long, id long, score long")
     order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "id", "score")

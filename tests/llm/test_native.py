@@ -171,11 +171,39 @@ def test_bounds_hold_and_save_reads(cells, monkeypatch):
     step = np.maximum(1, -(-(exact.max(axis=0) - low + 1) // cells))
     block = {"n": 500, "ids": np.arange(500).tobytes(), "exact": exact.tobytes(), "low": low.tobytes(), "width": step.tobytes(),
              "cells": ((exact - low) // step).astype(np.uint8).tobytes()}
-    found = vector_search._best_of_block(exact[:20], np.arange(20), block, 5)
+    ids = np.arange(500)
+    lower, upper = vector_search._bounds(exact[:20], ids[:20], block)
+    scores = (exact[:20] @ exact.T).astype(float)
+    others = ids[:20, None] != ids[None]
+    assert ((lower <= scores) & (scores <= upper))[others].all() and np.isneginf(lower[~others]).all()
+    floors = vector_search._best(lower, 5).min(axis=1)
+    alive = upper >= floors[:, None]
+    if cells == 256:
+        assert alive.sum() < 20 * 12  # few more than the five that are wanted
     for q in range(20):
-        scores = exact @ exact[q]
-        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
-        assert [(i, s) for p, i, s in found if p == q] == [(i, -s) for s, i in best]
+        at = np.flatnonzero(alive[q])
+        at = at[np.argsort(-upper[q, at], kind="stable")]
+        best = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        assert vector_search._read_exactly(exact, ids, exact[q], at, upper[q, at], 5) == [(-s, i) for s, i in best]
+
+
+def test_exact_vectors_are_read_of_survivors_only(spark, monkeypatch):
+    """The floor of a query holds in all blocks, so most blocks give nothing to read."""
+    ship(spark)
+    monkeypatch.setattr(vector_search, "CANDIDATE_BLOCK", 50)
+    tables = {}
+    keep = vector_search.written
+
+    def kept(df, name, *args):
+        tables[name] = keep(df, name, *args)
+        return tables[name]
+
+    monkeypatch.setattr(vector_search, "written", kept)
+    docs = spark.createDataFrame(vectors(3), "vec_id long, embedding array<float>, id int").repartition(3)
+    found = vector_search.top_k(docs).collect()
+    # every score of the empty vector is equal, so all of its rows are read
+    read = {r[0]: r[1] for r in tables["survivors"].groupBy("query_id").agg(F.sum(F.size("at"))).collect()}
+    assert read.pop(3050) > 700 and sum(read.values()) < 2 * len(found)
 
 
 def test_running_sums_of_a_hot_source_in_two_levels(spark, monkeypatch):

@@ -16,7 +16,7 @@ def streets(text):
 
 @pytest.mark.parametrize("address", [
     "12 " + " ".join(c * 40 for c in ("Ab", "Cd", "Ef", "Gh")) + " Street",
-    "1234567 Main Street", "98765 " + "M" + "x" * 70 + " Avenue", "123456b St. Mary's Road", "X" + "y" * 120 + "straße 7",
+    "1234567 Main Street", "98765 " + "M" + "x" * 70 + " Avenue", "123456b St. Mary's Road", "X" + "y" * 120 + "straße 7", "Hauptstraße 123456b",
     "12 Highway7 Main Street", "12 Main Street"])
 def test_whole_addresses(address):
     assert streets(f"to {address}, or no. {address}") == [address] * 2
@@ -43,3 +43,9 @@ def test_short_addresses_as_before():
     for _ in range(5000):
         text = " ".join(draw.choice(parts) for _ in range(8))
         assert streets(text) == short_streets(text), text
+
+
+@pytest.mark.parametrize("identifier", ["X1" * 10, "X1" * 11, "1234-" * 6 + "X", "X1" * 17])
+def test_accounts_of_all_lengths(identifier):
+    text = f"your account: {identifier}."
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "account"] == [identifier]
