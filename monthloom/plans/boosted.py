@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions import fixed
 from monthloom.operators import features, forecast, futures, learn, trees
 from monthloom.operators.aggregate import build_panel
 from monthloom.plans import tables as t
-from monthloom.plans.learned import _COMPLETE, _PARTS, CALENDAR, LAGS, _parts
 from monthloom.plans.forecasting import _PERSIST
+from monthloom.plans.learned import _COMPLETE, _M, _METRICS, _PARTS, CALENDAR, LAGS, _parts
+from monthloom.plans.learning import NUMERIC, WHOLE_BOOSTING
 from monthloom.plans.registry import query
-from monthloom.plans.sql import FEATURES, recursion
+from monthloom.plans.sql import FEATURES, W, recursion
 from monthloom.session import written
 from monthloom.spec import NATION, REGION
 
@@ -209,10 +211,85 @@ def recursion_with_trees(spark, d):
 @query("T14_boosting", "DRS d:PERIODE r:prediction problem")
 def recursion_with_boosting(spark, d):
     """The whole ensemble, key indicators included, inside one plan."""
-    from monthloom.plans.learning import NUMERIC, WHOLE_BOOSTING
-
     panel = t.panel_once(spark, d)
     frame = features.complete_rows(features.create_features(panel, REGION), features.feature_names(REGION))
     rule = learn.as_tree_rule(learn.fit(frame, REGION, NUMERIC, *WHOLE_BOOSTING), frame)
     weather = futures.by_persistence(panel, REGION, futures.after_history(panel, REGION), 12)
     return forecast.forecast_by_rule(panel, weather, rule, REGION, on_problem="mark")
+
+
+# --------------------------------------------- a tree over all columns and keys
+
+_WIDE = {"maxDepth": 3, "stepSize": 0.5, "l1": 1.0, "l2": 1.0, "maxBins": 8192}
+
+
+def _wide_sql(how: dict) -> str:
+    """CTEs of one tree over every encoded column: ``predicted`` rows and ``importance`` of every column."""
+    numeric = " UNION ALL ".join(
+        f"SELECT DRS, PERIODE, {1000 + k} AS slot, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM rows" for k, c in enumerate(NUMERIC))
+    steps = []
+    for k in range(how["maxDepth"]):
+        gain = f"{_worth('gl', 'nl', how)} + {_worth('(gt - gl)', '(nt - nl)', how)} - {_worth('gt', 'nt', how)}"
+        steps.append(f"""hist{k} AS (SELECT node, slot, feature, v, sum(g) AS g, count(*) AS n FROM place{k} JOIN longs USING (DRS, PERIODE)
+  WHERE part = 'train' GROUP BY ALL),
+cum{k} AS (SELECT node, slot, feature, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER whole AS gt, sum(n) OVER whole AS nt
+  FROM hist{k} WINDOW w AS (PARTITION BY node, slot ORDER BY v), whole AS (PARTITION BY node, slot)),
+best{k} AS (SELECT node, arg_min({{'s': slot, 'f': feature, 'c': v}}, {{'a': -round(gain, 6), 'b': slot, 'c': v}}) AS s
+  FROM (SELECT *, {gain} AS gain FROM cum{k}) WHERE nl < nt AND gain > 0 GROUP BY node),
+place{k + 1} AS (SELECT p.* REPLACE (CASE WHEN b.node IS NULL THEN p.node ELSE 2 * p.node + 1 + CAST(l.v > b.s.c AS INTEGER) END AS node)
+  FROM place{k} p LEFT JOIN best{k} b ON b.node = p.node
+  LEFT JOIN longs l ON l.DRS = p.DRS AND l.PERIODE = p.PERIODE AND l.slot = b.s.s)""")
+    last = f"place{how['maxDepth']}"
+    splits = " UNION ALL ".join(f"SELECT s.f AS feature, s.s AS slot FROM best{k}" for k in range(how["maxDepth"]))
+    return _PARTS + f""",
+rows AS (SELECT *, 'train' AS part FROM train UNION ALL SELECT *, 'test' AS part FROM test),
+longs AS ({numeric}
+  UNION ALL SELECT r.DRS, r.PERIODE, k.slot, k.feature, CAST(r.DRS = k.DRS AS DOUBLE) FROM rows r, (
+    SELECT DRS, dense_rank() OVER (ORDER BY DRS) AS slot, '{fixed.KEY_LABEL_PREFIX}' || replace(DRS, 'DRS ', '') AS feature
+    FROM (SELECT DISTINCT DRS FROM train)) k),
+base AS (SELECT avg(cas) AS b FROM train),
+place0 AS (SELECT DRS, PERIODE, cas, part, b - cas AS g, 0 AS node FROM rows, base),
+""" + ",\n".join(steps) + f""",
+leaves AS (SELECT node, -({_soft('sum(g)', how['l1'])}) / (count(*) + {how['l2']}) AS value FROM {last} WHERE part = 'train' GROUP BY node),
+predicted AS (SELECT part, cas, greatest(0, b + {how['stepSize']} * value) AS p FROM {last} JOIN leaves USING (node), base),
+splits AS ({splits}),
+importance AS (SELECT f.feature, CAST(coalesce(n, 0) AS DOUBLE) AS importance,
+    CASE WHEN f.slot < 1000 THEN '{fixed.FAMILY_KEY}'
+      WHEN f.feature LIKE 'target_lag%' OR f.feature LIKE 'target_roll%' THEN '{fixed.FAMILY_HISTORY}'
+      WHEN f.feature IN ({', '.join(f"'{w}'" for w in W)}) THEN '{fixed.FAMILY_WEATHER}' ELSE '{fixed.FAMILY_CALENDAR}' END AS famille
+  FROM (SELECT DISTINCT slot, feature FROM longs) f LEFT JOIN (SELECT slot, count(*) AS n FROM splits GROUP BY slot) s ON s.slot = f.slot)"""
+
+
+def _wide(spark, d):
+    train, test = _parts(spark, d)
+    return learn.fit(train, REGION, NUMERIC, learn.BOOSTING, {**_WIDE, "maxIter": 1}), train, test
+
+
+@query("M10_trees", _M, f"SELECT {_METRICS} FROM predicted WHERE part = 'test'", ctes=_wide_sql(_WIDE))
+def evaluated_tree(spark, d):
+    """Held-out metrics of a boosted tree over every column and key."""
+    model, _, test = _wide(spark, d)
+    row = learn.evaluate_model(model, test, REGION)
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
+
+
+def _wide_importance(spark, d) -> DataFrame:
+    model, train, _ = _wide(spark, d)
+    return learn.importance_table(spark, model, train)
+
+
+@query("M13_trees", "feature|r:importance|famille", "SELECT * FROM importance", ctes=_wide_sql(_WIDE))
+def importance_of_every_column(spark, d):
+    return _wide_importance(spark, d)
+
+
+@query("O2_trees", "feature|r:importance", "SELECT feature, importance FROM importance ORDER BY importance DESC, feature LIMIT 20",
+       ctes=_wide_sql(_WIDE))
+def twenty_most_important(spark, d):
+    return learn.top_features(_wide_importance(spark, d))
+
+
+@query("A24_trees", "famille|r:importance", "SELECT famille, sum(importance) AS importance FROM importance GROUP BY famille",
+       ctes=_wide_sql(_WIDE))
+def importance_by_family_of_columns(spark, d):
+    return learn.family_importance(_wide_importance(spark, d))
