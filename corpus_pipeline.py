@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and
 read again as the next one's documents.  All but the last return documents.
+
+Defined results: null, empty and blank texts fail the rules and go; repeated rows
+are copies, of which one stays; texts of any length are taken whole; a null
+source is a host and a source of its own; rows without an id are kept like all
+others; other columns are carried, whatever their names; an empty table gives
+empty tables.
 """
 
 from __future__ import annotations
