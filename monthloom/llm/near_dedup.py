@@ -313,12 +313,16 @@ def _labelled(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     members = written(spread.join(shared.select("bucket", "center"), "bucket"), "members")
     sets = _full_sets(own, classes, members, words)
     star = members.filter("node <> center").select("node", "center").distinct()
+    # the bits of a pair are compared before any set is shipped
+    bits = classes.select("node", "bits0", "bits1")
+    center_bits = classes.select(F.col("node").alias("center"), F.col("bits0").alias("c0"), F.col("bits1").alias("c1"))
+    near = star.join(bits, "node").join(center_bits, "center").filter(
+        _apart(F.col("bits0"), F.col("bits1"), F.col("c0"), F.col("c1")) <= BITS_APART).select("node", "center")
+    near = written(near, "near")
     # the join on the hot side, the centers, comes last and alone, so that its large partitions can be split
-    pairs = star.join(sets.select("node", F.col("codes").alias("codes_v"), F.col("proof").alias("proof_v"), "bits0", "bits1"), "node").join(
-        sets.select(F.col("node").alias("center"), F.col("codes").alias("codes_u"), F.col("proof").alias("proof_u"), F.col("bits0").alias("c0"),
-                    F.col("bits1").alias("c1")), "center")
-    pairs = pairs.filter(_apart(F.col("bits0"), F.col("bits1"), F.col("c0"), F.col("c1")) <= BITS_APART).select(
-        F.col("center").alias("u"), F.col("node").alias("v"), "codes_u", "codes_v", "proof_u", "proof_v")
+    pairs = near.join(sets.select("node", F.col("codes").alias("codes_v"), F.col("proof").alias("proof_v")), "node").join(
+        sets.select(F.col("node").alias("center"), F.col("codes").alias("codes_u"), F.col("proof").alias("proof_u")), "center")
+    pairs = pairs.select(F.col("center").alias("u"), F.col("node").alias("v"), "codes_u", "codes_v", "proof_u", "proof_v")
     links = written(pairs.mapInArrow(_confirm(similarity), "u long, v long"), "links")
     roots = components(links)
     hidden = written(_hidden_links(members, classes, sets, roots, similarity), "hidden")
@@ -331,19 +335,20 @@ def _labelled(docs: DataFrame, words: int, similarity: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(node, codes, proof, bits0, bits1) of the representatives that share a bucket.
+    """(node, codes, proof) of the representatives that share a bucket.
 
     Their texts are read again.  The list of their ids filters the scan where
     it is short enough to be broadcast, and is joined by key otherwise.
     """
-    wanted = written(classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "set_hash", "bits0", "bits1"), "wanted")
+    wanted = written(classes.join(members.select("node").distinct(), "node").select("node", "doc_id", "set_hash"), "wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     coded = texts.mapInArrow(_codes(words), "set_hash binary, codes binary, proof binary")
-    coded = coded.join(wanted.select("set_hash", "node", "bits0", "bits1"), "set_hash")
-    return written(coded.groupBy("node").agg(*[F.first(c).alias(c) for c in ("codes", "proof", "bits0", "bits1")]), "sets")
+    coded = coded.join(wanted.select("set_hash", "node"), "set_hash")
+    # a class has one hash and one node, and the join has dealt the sets by the hash already
+    return written(coded.groupBy("set_hash", "node").agg(*[F.first(c).alias(c) for c in ("codes", "proof")]).drop("set_hash"), "sets")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
