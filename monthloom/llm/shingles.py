@@ -16,6 +16,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 # A to Z count as a to z
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[ord("A"):ord("Z") + 1] += 32
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)  # the first k of eight bytes
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -36,6 +37,7 @@ class Runs:
     blocks: np.ndarray  # of all runs, one after the other
     first: np.ndarray   # of each run
     counts: np.ndarray  # of each run
+    whole: bool = False  # the blocks are those of these runs, in their order
 
     def take(self, rows: np.ndarray) -> "Runs":
         """Some of the runs; their blocks stay where they are."""
@@ -43,6 +45,8 @@ class Runs:
 
     def packed(self) -> np.ndarray:
         """The blocks of the runs in order."""
+        if self.whole:
+            return self.blocks
         ends = np.cumsum(self.counts)
         return self.blocks[np.repeat(self.first - (ends - self.counts), self.counts) + np.arange(ends[-1] if len(ends) else 0)]
 
@@ -53,23 +57,22 @@ class Runs:
 
 def hashed_runs(data: np.ndarray, starts: np.ndarray, skipped: np.ndarray, folded: bool, seed: int = 0) -> Runs:
     """The bytes from each start to the next, without the skipped ones at their ends."""
-    base = starts[0]
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(base, len(data)) - np.repeat(starts, lengths)
-    values = (_FOLDED[data[base:]] if folded else data[base:]).astype(np.uint64)
-    kept = ~skipped[base:]
-    values *= kept
-    values <<= ((place & 7) << 3).astype(np.uint64)
-    heads = np.flatnonzero((place & 7) == 0)
-    blocks = np.add.reduceat(values, heads)
-    salts = (place[heads] >> 3).astype(np.uint64) * _STEP + np.uint64(seed)
-    spread = mixed(mixed(salts) ^ blocks)
-    full = kept[heads]  # a block of skipped bytes only says nothing
-    spread *= full
-    first = np.searchsorted(heads, starts - base)
-    sizes = np.add.reduceat(kept.astype(np.int64), starts - base)
-    hashes = mixed(np.add.reduceat(spread, first) + mixed(sizes.astype(np.uint64) + _WORD_STEP + np.uint64(seed)))
-    return Runs(hashes, sizes, blocks, first, -(-sizes // 8))
+    ends = np.append(starts[1:], len(data))
+    left_out = np.concatenate([[0], np.cumsum(skipped, dtype=np.int64)])
+    sizes = ends - starts - (left_out[ends] - left_out[starts])
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = _FOLDED[data] if folded else data
+    # the eight bytes from every place on, as one number each
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    counts = -(-sizes // 8)
+    first = np.cumsum(counts) - counts
+    number = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    rest = np.minimum(np.repeat(sizes, counts) - 8 * number, 8)
+    blocks = eight[np.repeat(starts, counts) + 8 * number] & _MASKS[rest]
+    salts = mixed(np.arange(int(counts.max(initial=0)), dtype=np.uint64) * _STEP + np.uint64(seed))
+    spread = np.append(mixed(salts[number] ^ blocks), np.uint64(0))
+    sums = np.where(counts > 0, np.add.reduceat(spread, first), np.uint64(0))
+    return Runs(mixed(sums + mixed(sizes.astype(np.uint64) + _WORD_STEP + np.uint64(seed))), sizes, blocks, first, counts, True)
 
 
 def _word_hashes(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
