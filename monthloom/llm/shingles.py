@@ -54,12 +54,35 @@ class Runs:
         """Whether every run has the bytes of the other's at its place."""
         return bool((self.sizes == other.sizes).all()) and bool((self.packed() == other.packed()).all())
 
+    def same_as(self, rows: np.ndarray) -> bool:
+        """Whether every run has the bytes of the run that is named for it; most are one block."""
+        if not (self.sizes == self.sizes[rows]).all():
+            return False
+        begin = self.blocks[np.minimum(self.first, max(len(self.blocks) - 1, 0))] if len(self.blocks) else self.first
+        if not (begin == begin[rows]).all():
+            return False
+        longer = np.flatnonzero(self.counts > 1)
+        return self.take(longer).same(self.take(rows[longer]))
+
+
+def _skipped_at_ends(starts: np.ndarray, ends: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+    """How many bytes are skipped at the end of each run: one by one, and by a running count where there are many."""
+    found, open_ = np.zeros(len(starts), dtype=np.int64), np.arange(len(starts))
+    for back in range(1, 5):
+        at = ends[open_] - back
+        open_ = open_[(at >= starts[open_]) & skipped[np.maximum(at, 0)]]
+        if not len(open_):
+            return found
+        found[open_] = back
+    upto = np.concatenate([[0], np.cumsum(skipped, dtype=np.int64)])
+    found[open_] = upto[ends[open_]] - upto[starts[open_]]
+    return found
+
 
 def hashed_runs(data: np.ndarray, starts: np.ndarray, skipped: np.ndarray, folded: bool, seed: int = 0) -> Runs:
     """The bytes from each start to the next, without the skipped ones at their ends."""
     ends = np.append(starts[1:], len(data))
-    left_out = np.concatenate([[0], np.cumsum(skipped, dtype=np.int64)])
-    sizes = ends - starts - (left_out[ends] - left_out[starts])
+    sizes = ends - starts - _skipped_at_ends(starts, ends, skipped)
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[:len(data)] = _FOLDED[data] if folded else data
     # the eight bytes from every place on, as one number each

@@ -175,7 +175,7 @@ class Encoder:
             return np.zeros(0, dtype="<u4"), np.zeros(len(coded), dtype=np.int64)
         chunks = hashed_runs(data, starts, skipped, not self._spaced)
         _, first, inverse = np.unique(chunks.hashes, return_index=True, return_inverse=True)
-        if not chunks.same(chunks.take(first[inverse])):
+        if not chunks.same_as(first[inverse]):
             raise EqualHashes
         numbers = self._numbers(chunks.take(first), first, data, starts, ends)
         begin, end = self._table.ends[numbers], self._table.ends[numbers + 1]

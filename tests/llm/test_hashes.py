@@ -95,3 +95,11 @@ def test_pairs_equal_under_one_hash_only():
         names=["u", "v", "codes_u", "codes_v", "proof_u", "proof_v"])
     (made,) = near_dedup._confirm(80)([batch])
     assert made.to_pydict() == {"u": [2], "v": [4]}
+
+
+def test_any_number_of_spaces_between_words():
+    words = ["a", "bcdefghi", "jklmnopqrstuvwxyz", "é"]
+    plain = shingle_sets([" ".join(words)], 2)[0]
+    for n in (2, 3, 4, 5, 6, 50, 10_000):
+        for gap in (" " * n, "\n" * n, "\t " * n):
+            assert (shingle_sets([gap + gap.join(words) + gap], 2)[0] == plain).all()
