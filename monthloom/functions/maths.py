@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,16 @@ def change_percent(new: Column, base: Column) -> Column:
     return percent_of(new - base, base)
 
 
+def constant(values: Sequence, kind: str) -> Column:
+    """Nested lists of numbers as one constant; an expression for each number would make a plan as large as the list."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cyclic_pick(values: Column, step: Column) -> Column:
     """Element ``step`` (1-based) of an array repeated without end."""
     return F.get(values, F.pmod(step - 1, F.nullif(F.size(values), F.lit(0))))

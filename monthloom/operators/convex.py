@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions import maths
+
 LAST_WIDTH = 1e-8
 SHRINK = 6.0
 MOST_COLUMNS = 1500  # the curvature has a number for each pair
@@ -58,7 +60,7 @@ def local_sums(x: np.ndarray, y: np.ndarray, epsilon: float) -> tuple[Slopes, Va
 
 def score(weights: np.ndarray) -> Column:
     """The weighted sum of a row's columns."""
-    held = F.array(*[F.lit(float(v)) for v in weights])
+    held = maths.constant(weights.tolist(), "array<double>")
     return F.aggregate(F.zip_with("at", "x", lambda i, v: F.get(held, i) * v), F.lit(0.0), lambda a, v: a + v)
 
 

@@ -17,6 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions import maths
 from monthloom.operators import convex, trees
 from monthloom.operators.trees import Growth, Trees
 from monthloom.session import written
@@ -197,10 +198,10 @@ def kernel_map(n: int, m: int, gamma: float, seed: int) -> tuple[np.ndarray | No
 
 def kernel_features(x, frequencies: np.ndarray, phases: np.ndarray):
     """The random features of a row as an expression."""
-    held = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in frequencies])
-    shift = F.array(*[F.lit(float(v)) for v in phases])
-    return F.zip_with(held, shift, lambda row, p: F.lit(math.sqrt(2 / len(phases))) * F.cos(
-        p + F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
+    held = maths.constant(np.asarray(frequencies).tolist(), "array<array<double>>")
+    shift = maths.constant(np.asarray(phases).tolist(), "array<double>")
+    return maths.once(x, lambda x: F.zip_with(held, shift, lambda row, p: F.lit(math.sqrt(2 / len(phases))) * F.cos(
+        p + F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))))
 
 
 class EpsilonRegressionModel(Model, _Columns):
@@ -218,7 +219,7 @@ class EpsilonRegressionModel(Model, _Columns):
         x, phases = self._values(), np.array(self.getOrDefault(self.phases))
         if len(phases):
             x = kernel_features(x, np.array(self.getOrDefault(self.frequencies)).reshape(len(phases), -1), phases)
-        weights = F.array(*[F.lit(v) for v in self.getOrDefault(self.coefficients)]).cast("array<double>")
+        weights = maths.constant(self.getOrDefault(self.coefficients), "array<double>")
         total = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(self.getOrDefault(self.intercept))), lambda a, v: a + v)
         return df.withColumn(self.getPredictionCol(), total)
 

@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from monthloom.functions import maths
 from monthloom.session import written
 
 SMALL_CELLS = 4_000_000
@@ -79,23 +80,30 @@ class Trees:
 
 
 def _array(values, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    return maths.constant(np.asarray(values, dtype=float if kind == "double" else int).tolist(), f"array<{kind}>")
 
 
 def predicted(values: Column, trees: Trees) -> Column:
-    """The prediction for an array of column values, as one expression that walks the node table."""
-    column, left = _array(trees.column, "int"), _array(trees.left, "int")
-    threshold, value = _array(trees.threshold, "double"), _array(trees.value, "double")
-    steps = F.sequence(F.lit(1), F.lit(max(trees.depth, 1)))
-
-    def down(node: Column, _: Column) -> Column:
-        right = (F.get(values, F.get(column, node)) > F.get(threshold, node)).cast("int")
-        return F.when(F.get(column, node) < 0, node).otherwise(F.get(left, node) + right)
+    """The prediction for an array of column values, as one expression that walks the node table.
 
+    Its size does not depend on the number of nodes.
+    """
     if not trees.roots:
         return F.lit(trees.base)
-    return F.aggregate(_array(trees.roots, "int"), F.lit(float(trees.base)),
-                       lambda total, root: total + F.get(value, F.aggregate(steps, root, down)))
+    steps = F.sequence(F.lit(1), F.lit(max(trees.depth, 1)))
+    held = F.struct(
+        values.alias("x"), _array(trees.column, "int").alias("column"), _array(trees.left, "int").alias("left"),
+        _array(trees.threshold, "double").alias("threshold"), _array(trees.value, "double").alias("value"))
+
+    def walked(row: Column) -> Column:
+        def down(node: Column, _: Column) -> Column:
+            right = (F.get(row["x"], F.get(row["column"], node)) > F.get(row["threshold"], node)).cast("int")
+            return F.when(F.get(row["column"], node) < 0, node).otherwise(F.get(row["left"], node) + right)
+
+        return F.aggregate(_array(trees.roots, "int"), F.lit(float(trees.base)),
+                           lambda total, root: total + F.get(row["value"], F.aggregate(steps, root, down)))
+
+    return maths.once(held, walked)
 
 
 def predict_arrays(x: np.ndarray, trees: Trees) -> np.ndarray:
@@ -355,7 +363,7 @@ def edges(rows: DataFrame, n: int, bins: int) -> list[list[float]]:
 
 def binned(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
     """The rows with ``bins``, the number of cuts below each value."""
-    held = F.array(*[_array(c, "double") for c in cuts])
+    held = maths.constant([[float(v) for v in c] for c in cuts], "array<array<double>>")
     return rows.withColumn("bins", F.zip_with("x", held, lambda v, c: F.size(F.filter(c, lambda e: e < v)).cast("short")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from monthloom.operators import convex, estimators
 from monthloom.operators.estimators import EpsilonRegression
+from tests.expressions import expression_size
 
 
 def points(seed, n, d):
@@ -71,6 +72,15 @@ def test_random_features_approach_the_kernel(spark):
         assert r.z == pytest.approx(estimators._with_kernel(np.array([r.x]), *few)[0, :-1])
 
 
+def test_expression_of_the_kernel_does_not_grow_with_its_features(spark):
+    x, _ = points(6, 10, 4)
+    rows, sizes = frame(spark, x, x[:, 0]), []
+    for m in (3, 150):
+        expression = rows.select(estimators.kernel_features(F.col("x"), *estimators.kernel_map(4, m, 0.2, 42)))
+        sizes.append(expression_size(expression))
+    assert sizes[0] == sizes[1] < 100
+
+
 def test_kernel_fits_what_no_line_can(spark):
     draw = np.random.default_rng(8)
     x = draw.uniform(-2, 2, size=(300, 2))

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from monthloom.functions import maths
 from monthloom.operators import trees
 from monthloom.operators.trees import Growth
+from tests.expressions import expression_size
 
 
 def some_rows(seed=1, n=400):
@@ -131,3 +133,33 @@ def test_edges_are_values(spark):
     local = trees.edges_of(x, 64)
     assert [list(e) for e in local] == trees.edges(table(spark, x, y), 3, 64)
     assert all(v in x[:, k] for k, e in enumerate(local) for v in itertools.islice(e, 5))
+
+
+def test_expression_of_a_prediction_does_not_grow_with_the_trees(spark):
+    x, y = some_rows(n=40)
+    rows = table(spark, x, y)
+    few, many = (trees.boost_arrays(x, y, Growth(rounds=n, depth=3)) for n in (2, 300))
+    assert len(few.value) < 100 < 2000 < len(many.value)
+    scored = [rows.select("x", trees.predicted(F.col("x"), made).alias("p")) for made in (few, many)]
+    assert expression_size(scored[0]) == expression_size(scored[1]) < 100
+    known = dict(zip(map(tuple, x.tolist()), (many.base + trees.predict_arrays(x, many).sum(axis=0)).tolist()))
+    assert all(r.p == pytest.approx(known[tuple(r.x)], abs=1e-9) for r in scored[1].collect())
+
+
+def test_a_row_without_values_has_no_prediction(spark):
+    x, y = some_rows(n=40)
+    made = trees.boost_arrays(x, y, Growth(rounds=2, depth=2))
+    rows = spark.createDataFrame([(None,), ([1.0, None, 0.0],), ([1.0, 2.0, 0.0],)], "x array<double>")
+    found = [r.p for r in rows.select(trees.predicted(F.col("x"), made).alias("p")).collect()]
+    assert found[0] is None and found[2] == pytest.approx(made.base + trees.predict_arrays(np.array([[1.0, 2.0, 0.0]]), made).sum())
+
+
+def test_constants_are_the_numbers_themselves(spark):
+    numbers = [0.1, 1 / 3, -0.0, 5e-324, 1.7976931348623157e308, 123456789.123456789, float("inf"), float("-inf"), 2.0]
+    row = spark.range(1).select(
+        maths.constant(numbers, "array<double>").alias("a"), maths.constant([numbers, []], "array<array<double>>").alias("b"),
+        maths.constant([-1, 0, 2**31 - 1], "array<int>").alias("c"), maths.constant([], "array<int>").alias("d")).first()
+    assert list(map(repr, row.a)) == list(map(repr, numbers)) and list(map(repr, row.b[0])) == list(map(repr, numbers))
+    assert (row.b[1], row.c, row.d) == ([], [-1, 0, 2**31 - 1], [])
+    many = np.random.default_rng(3).normal(scale=1e5, size=5000).tolist()
+    assert spark.range(1).select(maths.constant(many, "array<double>").alias("a")).first().a == many
